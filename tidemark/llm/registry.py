@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, ngram_join
+from . import decontaminate, exact_dedup, ngram_join
 
-MODULES = (exact_dedup, ngram_join)
+MODULES = (exact_dedup, ngram_join, decontaminate)
 
 
 def queries() -> dict:
