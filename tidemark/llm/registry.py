@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, ngram_join
+from . import decontaminate, exact_dedup, ngram_join, packing, token_counts
 
-MODULES = (exact_dedup, ngram_join, decontaminate)
+MODULES = (exact_dedup, ngram_join, decontaminate, packing, token_counts)
 
 
 def queries() -> dict:
