@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, lm_score, ngram_join, packing, token_counts
+from . import decontaminate, exact_dedup, lm_score, ngram_join, packing, quality, token_counts, toxicity
 
-MODULES = (exact_dedup, ngram_join, decontaminate, packing, token_counts, lm_score)
+MODULES = (exact_dedup, ngram_join, decontaminate, packing, token_counts, lm_score, quality, toxicity)
 
 
 def queries() -> dict:
