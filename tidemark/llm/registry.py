@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, lm_score, main_text, ngram_join, packing, quality, token_counts, toxicity
+from . import decontaminate, exact_dedup, lm_score, main_text, ngram_join, packing, pii, quality, token_counts, toxicity
 
-MODULES = (exact_dedup, ngram_join, decontaminate, packing, token_counts, lm_score, quality, toxicity, main_text)
+MODULES = (exact_dedup, ngram_join, decontaminate, packing, token_counts, lm_score, quality, toxicity, main_text, pii)
 
 
 def queries() -> dict:
