@@ -1,7 +1,58 @@
-"""Cleaning a corpus in five stages (filled in below as the operators are built)."""
-STAGES = []
+"""Clean a corpus in five stages: toxicity, exact dedup, n-gram Jaccard join, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir), works on every row that its predecessor
+kept and returns a DataFrame; it is written as Parquet in the shared folder and
+read again as the next one's ``docs``.  All but the last return the columns of
+``documents``.  Stages on word n-grams take five words and a similarity of 0.8.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import decontaminate, exact_dedup, ngram_join, packing, toxicity
+from tidemark.llm._shared import written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose noisy-or over sentences is under 0.3; learns from all labelled documents."""
+    return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose texts are equal but for white space."""
+    return exact_dedup.keep_one(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component of linked documents."""
+    return ngram_join.keep_one(docs, n=5, num=80, den=100)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold less than 0.8 of the shingles of every benchmark item."""
+    return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, in sequences of 1024 tokens at most."""
+    return packing.digest(packing.pack(docs))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_jaccard", drop_near_copies),
+    ("decontaminate", drop_benchmark),
+    ("packing", pack),
+]
+
+#: A learned score and token ids are not SQL's; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
