@@ -19,7 +19,9 @@ import pyarrow as pa
 from ._words import SPACE, hash_ranges, text_pieces
 
 #: Units and ids that a task remembers at most; it begins anew beyond that.
-MOST_UNITS, MOST_IDS = 3_000_000, 20_000_000
+MOST_UNITS, MOST_IDS = 1_000_000, 6_000_000
+#: Bytes of text that are encoded at once; a single longer text is a piece of its own.
+PIECE_BYTES = 1 << 20
 
 
 
@@ -64,7 +66,7 @@ class Encoder:
 
     def batches(self, column: pa.Array, end_id: int | None):
         """(first row, ids, where each text's ids begin) of consecutive rows; ``end_id`` follows each text."""
-        for first, _, data, offsets in text_pieces(column):
+        for first, _, data, offsets in text_pieces(column, PIECE_BYTES):
             ids, of_text = self.piece(data, offsets)
             if end_id is not None:
                 ids = np.insert(ids, of_text[1:], end_id)

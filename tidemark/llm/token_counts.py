@@ -8,8 +8,7 @@ ended before, where the last of them ended) places every document's first part.
 
 Files are written by Spark's text writer, one document a line and the separator
 as line end, so a line's bytes are the file's bytes.  A reader takes a file as
-one value; a task's part of a table is a file, so files are as large as the
-table's partitions.
+one value, so a task of the writer begins a new file after FILE_ROWS documents.
 
 Defined cases: a null or empty text is a separator alone, of 0 tokens; tokens
 after a file's last separator are a document that isn't ended; an empty file
@@ -29,26 +28,25 @@ from pyspark.sql import functions as F
 from ._shared import map_batches, new_path
 from ._tokens import Encoder, vocabulary_path
 
-#: Numbers of a file that are scanned at once.
-BLOCK = 1 << 20
+#: Numbers of a file that are scanned at once, and documents of a file.
+BLOCK, FILE_ROWS = 1 << 20, 2048
 
 
 def _lines(batches, vocabulary: str):
     encoder = Encoder(vocabulary)
     for batch in batches:
-        lines = []
         for _, ids, of_text in encoder.batches(batch.column(0), None):
             if len(ids) and ids.max() > 65534:
                 raise ValueError("a token id is over 65534; 16 bits don't hold it")
-            raw = (ids + 1).astype("<u2").tobytes()
-            lines += [raw[2 * a : 2 * b] for a, b in zip(of_text[:-1], of_text[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], ["line"])
+            raw = pa.py_buffer((ids + 1).astype("<u2").tobytes())
+            ends = pa.py_buffer((2 * of_text).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(of_text) - 1, [None, ends, raw])], ["line"])
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, text_col: str = "text") -> None:
-    """One flat file for each partition of ``docs``, in the order of its rows."""
+    """Flat files of FILE_ROWS documents for each partition of ``docs``, in the order of its rows."""
     lines = map_batches(docs.select(F.col(text_col).cast("string").alias("text")), partial(_lines, vocabulary=vocabulary or vocabulary_path()), "line binary")
-    lines.select(F.col("line").cast("string").alias("value")).write.option("lineSep", "\0\0").text(path)
+    lines.select(F.col("line").cast("string").alias("value")).write.option("lineSep", "\0\0").option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
 def _blocks(batches, block: int):
@@ -87,14 +85,15 @@ def scan(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens) of every row of ``docs``, a table that is read from files: written as token files, then scanned.
 
-    The k-th document of a task's file is the k-th row of the task's partition,
+    The documents of a task's files, in order, are the rows of the task's partition,
     which both reads of an unchanged table deal out alike; that the numbers of
     rows and documents agree in every partition is checked.
     """
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "tokens")
     write_token_files(docs, path, vocabulary, text_col)
-    part = F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"part-(\d+)", 1).cast("bigint")
-    counts = scan(spark, path, block).select(part.alias("part"), F.col("ordinal").alias("row"), "n_tokens")
+    name = F.element_at(F.split("file", "/"), -1)
+    part, number = (F.regexp_extract(name, pattern, 1).cast("bigint") for pattern in (r"part-(\d+)", r"-c(\d+)"))
+    counts = scan(spark, path, block).select(part.alias("part"), (number * FILE_ROWS + F.col("ordinal")).alias("row"), "n_tokens")
     at = F.monotonically_increasing_id()
     ids = docs.select(F.col(id_col).alias("id"), at.alias("at")).select("id", F.shiftrightunsigned("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
     met = counts.hint("merge").join(ids, ["part", "row"], "full")
