@@ -256,7 +256,7 @@ def rolling_pair(op: str, left: Factor, right: Factor, w: int) -> Factor:
             value = y - (part("meany", F.avg(F.when(both, y))) + slope * (x - part("meanx", F.avg(F.when(both, x)))))
         else:
             value = corr if op == "corr" else corr * corr
-        own = op + pair
+        own = f"pair {op}{pair}"
         name = p.stage(own, level + 1, F.when(n >= w, value))
         said = _ok()
         if p.with_status:

@@ -81,7 +81,7 @@ def quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def duplicate_keys(new: DataFrame, existing: DataFrame | None = None, key: Sequence[str] = (*KEY, "revision")) -> DataFrame:
     """Keys that an append must refuse: repeated in ``new`` or there already."""
-    twice = new.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key)
+    twice = new.groupBy(*key).agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1").select(*key)
     return twice if existing is None else twice.unionByName(new.join(existing, list(key), "left_semi").select(*key)).distinct()
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.factors import Factor, binary, evaluate, field, lag, last_rows, rolling
+from ..session import ship
 
 
 def benjamini_hochberg(trials: DataFrame, alpha: float = 0.05, p: str = "p") -> DataFrame:
@@ -74,6 +75,7 @@ def _beta(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
 
 def spearman_p(rho: Column, n: Column) -> Column:
     """Two-sided p-value of a rank correlation by Student's t; 1 for fewer than three pairs."""
+    ship(SparkSession.getActiveSession())
 
     @F.pandas_udf("double")
     def p_value(r: pd.Series, k: pd.Series) -> pd.Series:
