@@ -1 +1,374 @@
-"""Queries."""
+"""Queries over logs of attempts and runs, content hashes, campaign grids, sets and landed files."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import bitemporal as B
+from ..operators import pins as K
+from ..operators import runlog as G
+from ..operators import search as S
+from ..sources import ingest as I
+from . import views as V
+from .registry import query
+from .views import sql
+
+
+def _folder(spark) -> str:
+    """A new folder where the cluster's checkpoints go; a temporary one where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{named.rstrip('/')}/landed-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="tidemark-landed-") + "/data"
+
+
+_LATEST = "(SELECT * FROM attempts QUALIFY row_number() OVER (PARTITION BY work_order ORDER BY retry_seq DESC, seq DESC) = 1)"
+
+
+@query(sql(f"SELECT work_order, retry_seq, state, event_id FROM {_LATEST}", "attempts"))
+def g7_latest_attempt(spark, sf):
+    return G.latest_state(V.attempts(spark, sf), ["work_order"], F.desc("retry_seq"), F.desc("seq")).select("work_order", "retry_seq", "state", "event_id")
+
+
+@query(sql("SELECT work_order, max(retry_seq) + 1 AS next_retry FROM attempts GROUP BY work_order", "attempts"))
+def g8_next_retry(spark, sf):
+    return G.next_retry(V.attempts(spark, sf))
+
+
+def _moves_sql(moves: dict, first: str) -> str:
+    ok = " OR ".join(f"(p = '{s}' AND state IN ({', '.join(repr(x) for x in after)}))" for s, after in moves.items())
+    return f"CASE WHEN p IS NULL THEN state <> '{first}' ELSE NOT ({ok}) END"
+
+
+@query(sql(f"SELECT work_order, retry_seq, state, event_id, p AS previous FROM (SELECT *, lag(state) OVER (PARTITION BY work_order, retry_seq ORDER BY seq) AS p FROM attempts) WHERE {_moves_sql(G.ATTEMPT_MOVES, 'issued')}", "attempts"))
+def g10_transition_audit(spark, sf):
+    return G.illegal_moves(V.attempts(spark, sf), ["work_order", "retry_seq"], "seq", G.ATTEMPT_MOVES, "issued").select("work_order", "retry_seq", "state", "event_id", "previous")
+
+
+_LADDER = {"issued": "IDLE", "queued": "SEALED", "running": "RUNNING", "completed": "SCORED", "failed": "REJECTED"}
+
+
+@query(sql(f"SELECT work_order, event_id, state, p AS previous FROM (SELECT *, lag(state) OVER (PARTITION BY work_order ORDER BY seq) AS p FROM (SELECT work_order, event_id, seq, CASE state {' '.join(f'WHEN {a!r} THEN {b!r}' for a, b in _LADDER.items())} END AS state FROM attempts)) WHERE {_moves_sql(G.LADDER_MOVES, 'IDLE')}", "attempts"))
+def g10_promotion_ladder(spark, sf):
+    ladder = F.element_at(F.create_map(*(F.lit(x) for pair in _LADDER.items() for x in pair)), F.col("state"))
+    return G.illegal_moves(V.attempts(spark, sf).withColumn("state", ladder), ["work_order"], "seq", G.LADDER_MOVES, "IDLE").select("work_order", "event_id", "state", "previous")
+
+
+@query(sql("SELECT work_order, event_id, CASE WHEN r = 0 THEN 'before_review' ELSE 'duplicate' END AS fault FROM (SELECT *, sum((state = 'running')::INT) OVER w AS r, sum((state = 'completed')::INT) OVER w AS a FROM attempts WINDOW w AS (PARTITION BY work_order ORDER BY seq)) WHERE state = 'completed' AND (r = 0 OR a > 1)", "attempts"))
+def g11_authority(spark, sf):
+    log = V.attempts(spark, sf).withColumn("event", F.when(F.col("state") == "running", "review").when(F.col("state") == "completed", "approve"))
+    return G.authority_faults(log.filter("event is not null"), "work_order").select("work_order", "event_id", "fault")
+
+
+@query(sql("SELECT namespace, instrument_id, vt, revision, row_number() OVER (PARTITION BY namespace ORDER BY kt, instrument_id, vt, revision) AS place FROM records", "records"))
+def g12_output_order(spark, sf):
+    order = Window.partitionBy("namespace").orderBy("kt", "instrument_id", "vt", "revision")
+    return V.records(spark, sf).select(*B.KEY, "revision", F.row_number().over(order).alias("place"))
+
+
+@query("SELECT event_type AS lane, max(value) AS best, arg_max(event_id, (value, -event_id)) AS best_trial FROM events GROUP BY event_type")
+def g14_best_of_lane(spark, sf):
+    return V.table(spark, sf, "events").groupBy(F.col("event_type").alias("lane")).agg(F.max("value").alias("best"), F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("best_trial"))
+
+
+@query("SELECT user_id AS work_order, min(event_id) AS event_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 20) GROUP BY user_id")
+def h5_insert_or_ignore(spark, sf):
+    e = V.table(spark, sf, "events").select(F.col("user_id").alias("work_order"), "event_id", "event_type", "value")
+    have = e.filter("event_type = 'signup' and value > 20").select("work_order").distinct()
+    return G.insert_missing(have, e.filter("event_type = 'click'"), ["work_order"], F.col("event_id")).select("work_order", "event_id")
+
+
+_RECEIPTS = """(SELECT a.*, EXISTS (SELECT 1 FROM attempts x WHERE x.work_order = a.work_order AND x.retry_seq = a.retry_seq AND x.state = 'running') AS running FROM attempts a WHERE state IN ('completed', 'failed'))"""
+
+
+@query(sql(f"SELECT work_order, event_id, CASE WHEN NOT running THEN 'invalid' WHEN state = 'completed' AND k = 1 THEN 'committed' WHEN state = 'completed' THEN 'superseded_duplicate' ELSE 'ended' END AS outcome FROM (SELECT *, sum((running AND state = 'completed')::INT) OVER (PARTITION BY work_order ORDER BY seq) AS k FROM {_RECEIPTS})", "attempts"))
+def h6_receipt_outcomes(spark, sf):
+    log = V.attempts(spark, sf)
+    return G.receipt_outcomes(log.filter("state in ('completed', 'failed')"), log.filter("state = 'running'")).select("work_order", "event_id", "outcome")
+
+
+@query("SELECT o_custkey AS idempotency_key, o_orderkey AS run_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1")
+def h7_idempotent_begin(spark, sf):
+    o = V.table(spark, sf, "orders").select(F.col("o_custkey").alias("idempotency_key"), F.col("o_orderkey").alias("run_id"))
+    return G.begin_once(o, order="run_id")
+
+
+@query("SELECT o_orderkey, CASE WHEN n = 1 THEN 'first' WHEN o_orderstatus = f THEN 'repeated' ELSE 'conflict' END AS verdict FROM (SELECT *, row_number() OVER w AS n, first_value(o_orderstatus) OVER w AS f FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))")
+def h8_first_finalize(spark, sf):
+    return G.finalize_conflicts(V.table(spark, sf, "orders"), "o_custkey", "o_orderkey", ["o_orderstatus"]).select("o_orderkey", "verdict")
+
+
+@query("SELECT c_custkey AS run, coalesce(s, 'open') AS state FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderstatus) AS s FROM orders WHERE o_totalprice > 300000 GROUP BY o_custkey) ON c_custkey = o_custkey")
+def h9_visible_runs(spark, sf):
+    ends = V.table(spark, sf, "orders").filter("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("run")).agg(F.max("o_orderstatus").alias("state"))
+    return G.run_states(V.table(spark, sf, "customer").select(F.col("c_custkey").alias("run")), ends, "run")
+
+
+@query("SELECT event_type AS x FROM events WHERE value > 400 UNION ALL SELECT o_orderpriority FROM orders WHERE o_totalprice > 490000")
+def h1_union(spark, sf):
+    a = V.table(spark, sf, "events").filter("value > 400").select(F.col("event_type").alias("x"))
+    return a.unionByName(V.table(spark, sf, "orders").filter("o_totalprice > 490000").select(F.col("o_orderpriority").alias("x")))
+
+
+@query("SELECT user_id AS instrument FROM events INTERSECT SELECT l_suppkey FROM lineitem")
+def h2_intersection(spark, sf):
+    return V.table(spark, sf, "events").select(F.col("user_id").alias("instrument")).intersect(V.table(spark, sf, "lineitem").select("l_suppkey"))
+
+
+@query("SELECT user_id AS instrument FROM events EXCEPT SELECT l_suppkey FROM lineitem")
+def h3_missing(spark, sf):
+    return V.table(spark, sf, "events").select(F.col("user_id").alias("instrument")).subtract(V.table(spark, sf, "lineitem").select("l_suppkey"))
+
+
+@query("SELECT DISTINCT source, lang FROM documents")
+def h4_distinct_dimensions(spark, sf):
+    return V.table(spark, sf, "documents").select("source", "lang").dropDuplicates()
+
+
+@query("SELECT a.source AS fold, b.lang AS seed, sha256(a.source || '/' || b.lang) AS row_id FROM (SELECT DISTINCT source FROM documents) a CROSS JOIN (SELECT DISTINCT lang FROM documents) b")
+def c7_campaign_grid(spark, sf):
+    """The product of two dimensions of the data: the distinct values of one are gathered, few as they are, and dealt to the other's."""
+    d = V.table(spark, sf, "documents")
+    seeds = sorted(r[0] for r in d.select("lang").distinct().collect())
+    rows = d.select(F.col("source").alias("fold")).distinct().withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    return rows.withColumn("row_id", F.sha2(F.concat_ws("/", "fold", "seed"), 256))
+
+
+@query("SELECT 0::BIGINT AS only_a, count(*) AS only_b FROM orders WHERE o_orderstatus = 'P'")
+def c8_parity(spark, sf):
+    o = V.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return K.parity(o.filter("o_orderstatus <> 'P'"), o)
+
+
+_EXPECTED = "(SELECT c_custkey AS work_order, c_mktsegment AS campaign FROM customer WHERE c_custkey < 150)"
+
+
+@query(sql(f"SELECT campaign, count(*) AS expected, count(*) FILTER (state IN ('completed', 'failed')) AS terminal, count(*) FILTER (state IN ('completed', 'failed')) = count(*) AS complete FROM {_EXPECTED} e LEFT JOIN {_LATEST} USING (work_order) GROUP BY campaign", "attempts"))
+def c9_d14_completeness(spark, sf):
+    expected = V.table(spark, sf, "customer").filter("c_custkey < 150").select(F.col("c_custkey").alias("work_order"), F.col("c_mktsegment").alias("campaign"))
+    latest = G.latest_state(V.attempts(spark, sf), ["work_order"], F.desc("retry_seq"), F.desc("seq"))
+    return G.completeness(expected, latest, ["work_order"], ["campaign"])
+
+
+@query("SELECT o_custkey AS epoch, o_orderkey, coalesce(n, 0) AS registered FROM orders LEFT JOIN (SELECT o_custkey AS c, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON c = o_custkey")
+def c13_seal_registry(spark, sf):
+    o = V.table(spark, sf, "orders")
+    registry = o.filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return o.join(registry, "o_custkey", "left").select(F.col("o_custkey").alias("epoch"), "o_orderkey", F.coalesce("n", F.lit(0)).alias("registered"))
+
+
+@query("SELECT l_suppkey AS key, count(DISTINCT sha256(l_returnflag)) AS n_digests FROM lineitem WHERE l_linenumber = 1 GROUP BY l_suppkey HAVING count(DISTINCT l_returnflag) > 1")
+def d18_determinism(spark, sf):
+    runs = V.table(spark, sf, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("key"), F.sha2("l_returnflag", 256).alias("digest"))
+    return K.unstable_keys(runs, ["key"], "digest", 0).filter("n_digests > 1").select("key", "n_digests")
+
+
+@query()
+def d19_complete_only(spark, sf):
+    """Per campaign: authoritative and duplicate receipts, and a fingerprint only where every attempt has ended."""
+    log = V.attempts(spark, sf)
+    found = h6_receipt_outcomes(spark, sf).withColumn("campaign", F.col("work_order") % 10)
+    expected = log.select("work_order").distinct().withColumn("campaign", F.col("work_order") % 10)
+    status = G.completeness(expected, G.latest_state(log, ["work_order"], F.desc("retry_seq"), F.desc("seq")), ["work_order"], ["campaign"])
+    counts = found.groupBy("campaign").agg(F.count_if(F.col("outcome") == "committed").alias("n_authoritative"), F.count_if(F.col("outcome") == "superseded_duplicate").alias("duplicates"))
+    prints = K.group_fingerprint(found.filter("outcome = 'committed'"), ["campaign"], ["work_order", "event_id"]).select("campaign", "fingerprint")
+    return status.join(counts, "campaign", "left").join(prints, "campaign", "left").withColumn("fingerprint", F.when(F.col("complete"), F.col("fingerprint")))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def k1_record_digest(spark, sf):
+    return V.table(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+
+
+@query()
+def k2_snapshot_pin(spark, sf):
+    """The pin of all records, and that of the same rows in another order."""
+    r = V.records(spark, sf)
+    return K.snapshot_pin(r).withColumn("order", F.lit("as read")).unionByName(K.snapshot_pin(r.orderBy(F.desc("value"))).withColumn("order", F.lit("by value")))
+
+
+@query()
+def k3_manifest(spark, sf):
+    """A manifest of all records, verified against them."""
+    r = V.records(spark, sf)
+    return K.verify(r, K.manifest(r, "records"))
+
+
+@query()
+def k4_merkle_root(spark, sf):
+    """The Merkle root over the digests of all orders."""
+    leaves = V.table(spark, sf, "orders").select(F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256).alias("leaf"))
+    n = leaves.count()
+    return spark.range(1).select(F.lit(K.merkle_root(leaves)).alias("root"), F.lit(n).alias("n"))
+
+
+@query("SELECT o_orderkey, sha256('{\"o_custkey\":' || o_custkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}') AS run_id FROM orders")
+def k6_stable_ids(spark, sf):
+    return V.table(spark, sf, "orders").select("o_orderkey", K.stable_id("o_orderstatus", "o_custkey").alias("run_id"))
+
+
+@query()
+def k7_query_fingerprint(spark, sf):
+    """A fingerprint of each namespace's visible facts."""
+    return K.group_fingerprint(B.as_of(V.records(spark, sf), F.lit("2024-01-15").cast("date")), ["namespace"], ["instrument_id", "vt", "revision", "value"])
+
+
+@query("SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, a.o_orderkey IS NULL AS only_b, b.o_orderkey IS NULL AS only_a FROM (SELECT * FROM orders WHERE o_orderkey % 10 <> 0) a FULL JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 11 <> 0) b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus <> b.o_orderstatus")
+def k8_rerun_differences(spark, sf):
+    o = V.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    again = o.filter("o_orderkey % 11 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")))
+    return K.rerun_differences(o.filter("o_orderkey % 10 <> 0"), again, ["o_orderkey"], ["o_orderstatus"])
+
+
+@query()
+def k9_file_digests(spark, sf):
+    """Whole-file digests of the small tables."""
+    found = I.file_digests(spark, [f"{sf}/{t}.parquet" for t in ("supplier", "orders")])
+    return found.select(F.element_at(F.split("file", "/"), -1).alias("file"), "sha256")
+
+
+@query("SELECT event_id, namespace, coalesce(run_id, 'fixture') AS ingest_run_id, value AS close FROM (SELECT event_id, 'bar' AS namespace, CASE WHEN event_id % 2 = 0 THEN 'r' END AS run_id, value FROM events)")
+def a1_a2_json_round_trip(spark, sf):
+    """Records appended as JSON lines in two writes and loaded again."""
+    path = _folder(spark)
+    e = V.table(spark, sf, "events")
+    rows = e.select(
+        F.lit("bar").alias("namespace"), F.col("event_id").cast("string").alias("instrument_id"), F.to_date("ts").alias("vt"), F.to_date("ts").alias("kt"), F.lit(0).alias("revision"),
+        F.struct(F.col("value").alias("close")).alias("payload"), F.when(F.col("event_id") % 2 == 0, "r").alias("ingest_run_id"),
+    )
+    I.append_records(rows.filter("revision = 0 and cast(instrument_id as bigint) % 3 = 0"), path, "json")
+    I.append_records(rows.filter("revision = 0 and cast(instrument_id as bigint) % 3 <> 0"), path, "json")
+    return I.read_records(spark, path).select(F.col("instrument_id").cast("bigint").alias("event_id"), "namespace", "ingest_run_id", F.col("payload.close").alias("close"))
+
+
+@query(sql("SELECT instrument_id, vt, open, high, low, close, volume FROM bars", "bars"))
+def a6_a9_vendor_bars(spark, sf):
+    """Bars landed as vendor pages, a file for each day, and mapped back to records."""
+    path = _folder(spark)
+    b = V.bars(spark, sf)
+    result = F.struct(
+        (F.unix_date("vt").cast("bigint") * 86_400_000).alias("t"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"),
+        F.col("volume").cast("double").alias("v"), F.col("close").alias("vw"), F.col("instrument_id").alias("n"),
+    )
+    b.groupBy("vt").agg(F.collect_list(result).alias("results")).select("results").write.json(path)
+    pages, _ = _landed(spark, path, I.BAR_PAGE)
+    rows = I.bar_records(pages, F.col("r.n"), "run")
+    return rows.select("instrument_id", "vt", "open", "high", "low", "close", "volume")
+
+
+def _landed(spark, path, schema):
+    """Pages that Spark wrote are one to a line."""
+    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path).select("results", "_bad", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("landed"))
+    return raw.filter("results is not null").select("file", "landed", F.explode("results").alias("r")), raw.filter("results is null")
+
+
+@query(sql("SELECT instrument_id, vt, ratio FROM splits UNION ALL SELECT o_custkey % 100, o_orderdate::DATE, NULL FROM orders WHERE o_orderpriority = '2-HIGH'", "splits"))
+def a7_a8_a10_actions(spark, sf):
+    """Splits and dividends as vendor pages, mapped and put together; the ratio comes from split_from and split_to."""
+    s = V.splits(spark, sf)
+    a, b = _folder(spark), _folder(spark)
+    day = F.col("vt").cast("string")
+    s.groupBy("instrument_id").agg(F.collect_list(F.struct(day.alias("execution_date"), F.lit(1.0).alias("split_from"), F.col("ratio").alias("split_to"), F.col("instrument_id"))).alias("results")).select("results").write.json(a)
+    o = V.table(spark, sf, "orders").filter("o_orderpriority = '2-HIGH'").select((F.col("o_custkey") % 100).alias("instrument_id"), F.to_date("o_orderdate").alias("vt"))
+    o.groupBy("instrument_id").agg(F.collect_list(F.struct(day.alias("ex_dividend_date"), F.lit(1.0).alias("cash_amount"), F.col("instrument_id"))).alias("results")).select("results").write.json(b)
+    more = lambda schema: schema.replace("array<struct<", "array<struct<instrument_id:bigint,")
+    splits, _ = _landed(spark, a, more(I.SPLIT_PAGE))
+    dividends, _ = _landed(spark, b, more(I.DIVIDEND_PAGE))
+    both = I.actions(I.dividend_records(dividends, F.col("r.instrument_id"), "run"), I.split_records(splits, F.col("r.instrument_id"), "run"))
+    return both.select("instrument_id", "vt", "ratio")
+
+
+@query("SELECT event_id, ts::DATE AS vt FROM events")
+def i15_vendor_dates(spark, sf):
+    """Days from four forms of vendor dates."""
+    ms = (F.unix_date(F.to_date("ts")).cast("bigint") * 86_400_000).cast("string")
+    text = F.when(F.col("event_id") % 3 == 0, ms).when(F.col("event_id") % 3 == 1, F.to_date("ts").cast("string")).otherwise(F.concat(F.to_date("ts").cast("string"), F.lit("T12:30:00Z")))
+    return V.table(spark, sf, "events").select("event_id", I.vendor_date(text).alias("vt"))
+
+
+@query("SELECT c_custkey, make_date(y, m, least(d, 28)) AS day FROM (SELECT c_custkey, year(n) AS y, month(n) AS m, day(o) AS d FROM (SELECT c_custkey, o, (date_trunc('month', o) + INTERVAL 2 MONTH)::DATE AS n FROM (SELECT c_custkey, DATE '2023-01-31' + (c_custkey % 300)::INT AS o FROM customer)))")
+def i18_months_to_28th(spark, sf):
+    from ..sources.fixture import month_after
+
+    day = F.date_add(F.lit("2023-01-31").cast("date"), (F.col("c_custkey") % 300).cast("int"))
+    return V.table(spark, sf, "customer").select("c_custkey", month_after(day, 2).alias("day"))
+
+
+@query("SELECT c_custkey, ((1103515245::HUGEINT * c_custkey + 12345) % 2147483648)::BIGINT AS h FROM customer")
+def i22_lcg(spark, sf):
+    from ..sources.fixture import lcg
+
+    return V.table(spark, sf, "customer").select("c_custkey", lcg(F.col("c_custkey")).alias("h"))
+
+
+@query(sql("SELECT namespace, instrument_id::VARCHAR AS instrument_id, vt, kt, revision, CASE WHEN revision = 0 THEN round(value, 2)::VARCHAR END AS close FROM (SELECT * FROM records WHERE kt <= DATE '2024-01-10' QUALIFY row_number() OVER (PARTITION BY namespace, instrument_id, vt ORDER BY revision DESC) = 1)", "records"))
+def a13_csv_extract(spark, sf):
+    """An as-of extract written as CSV and read back; closes of restated facts are left empty."""
+    path = _folder(spark)
+    rows = B.as_of(V.records(spark, sf), F.lit("2024-01-10").cast("date"))
+    I.export_csv(rows.withColumn("close", F.when(F.col("revision") == 0, F.round("value", 2))), path)
+    return spark.read.option("header", True).schema("namespace string, instrument_id string, vt date, kt date, revision int, close string").csv(path)
+
+
+@query(sql("SELECT min(vt) AS first, max(vt) AS last, count(*) AS n, count(DISTINCT instrument_id) AS n_instruments FROM records", "records"))
+def a16_manifest_shape(spark, sf):
+    return K.manifest(V.records(spark, sf), "m").select("first", "last", "n", "n_instruments")
+
+
+@query("SELECT event_id, ts::DATE AS vt, (ts + INTERVAL 1 HOUR)::DATE AS kt, 'run' AS ingest_run_id FROM events")
+def a12_normalise_times(spark, sf):
+    e = V.table(spark, sf, "events").select("event_id", F.col("ts").alias("vt"), (F.col("ts") + F.expr("interval 1 hour")).alias("kt"))
+    return I.to_days(e, "run")
+
+
+@query("SELECT strategy, count(r) AS n, round(sum(r), 6) AS total FROM (SELECT unnest(['B1', 'B2', 'B3']) AS strategy) LEFT JOIN (SELECT CASE WHEN user_id % 2 = 0 THEN 'B1' ELSE 'B2' END AS strategy, value AS r FROM events) USING (strategy) GROUP BY strategy")
+def a24_signals_json(spark, sf):
+    """Signals as JSON, wrapped for some days and bare for others; a strategy without signals has no rows but its own."""
+    e = V.table(spark, sf, "events").select(F.to_date("ts").alias("day"), F.when(F.col("user_id") % 2 == 0, "B1").otherwise("B2").alias("s"), "value")
+    lists = e.groupBy("day", "s").agg(F.collect_list(F.struct(F.col("value").alias("return"), F.lit(1.0).alias("turnover"))).alias("l"))
+    maps = lists.groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("s", "l"))).alias("m"))
+    text = F.when(F.day("day") % 2 == 0, F.to_json(F.struct(F.col("m").alias("signals")))).otherwise(F.to_json("m"))
+    found = I.signals_from_json(maps.select(text.alias("t")), "t", ["B1", "B2", "B3"])
+    return found.groupBy("strategy").agg(F.count("ret").alias("n"), F.round(F.sum("ret"), 6).alias("total"))
+
+
+@query("SELECT DISTINCT sha256(lang || source) AS hash FROM documents ORDER BY 1")
+def a23_evidence_hashes(spark, sf):
+    return V.table(spark, sf, "documents").select(F.sha2(F.concat("lang", "source"), 256).alias("hash")).distinct().orderBy("hash")
+
+
+@query("SELECT o_orderkey, sha256(o_orderkey::VARCHAR) AS entity_hash, 'ExperimentRun' AS entity_type, [sha256(o_custkey::VARCHAR)]::VARCHAR AS derived_from FROM orders")
+def p20_evidence_of_runs(spark, sf):
+    sha = lambda c: F.sha2(F.col(c).cast("string").cast("binary"), 256)
+    made = V.table(spark, sf, "orders").select("o_orderkey", sha("o_orderkey").alias("entity_hash"), F.lit("ExperimentRun").alias("entity_type"), F.array(sha("o_custkey")).alias("d"))
+    return made.select("o_orderkey", "entity_hash", "entity_type", F.concat(F.lit("["), F.array_join("d", ", "), F.lit("]")).alias("derived_from"))
+
+
+@query("SELECT l_orderkey, array_to_string(list_sort(list(sha256(l_partkey::VARCHAR))), ',') AS manifest, count(*) AS n FROM lineitem GROUP BY l_orderkey")
+def p21_receipt_projection(spark, sf):
+    sha = F.sha2(F.col("l_partkey").cast("string").cast("binary"), 256)
+    return V.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(sha)), ",").alias("manifest"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def c7_parameter_grid(spark, sf):
+    """A campaign's grid over the data's own dimensions, with an id for each row."""
+    d = V.table(spark, sf, "documents")
+    sources = [r[0] for r in d.select("source").distinct().collect()]
+    langs = [r[0] for r in d.select("lang").distinct().collect()]
+    return S.grid_rows(spark, {"train": {"source": sources, "seed": (1, 2)}, "evaluate": {"source": sources, "lang": langs}})
+
+
+@query("SELECT event_id, namespace, vt FROM (SELECT event_id, ts::DATE AS vt, 'bar' AS namespace FROM events)")
+def n1_stream_append(spark, sf):
+    """Landed records through the stream: checked, deduplicated and appended, then read back."""
+    from ..streaming.append import append_stream
+
+    root = _folder(spark)
+    e = V.table(spark, sf, "events").select(F.lit("bar").alias("namespace"), F.col("event_id").alias("instrument_id"), F.to_date("ts").alias("vt"), F.to_date("ts").alias("kt"), F.lit(0).alias("revision"), F.col("ts").cast("timestamp").alias("arrived"))
+    e.unionByName(e.filter("instrument_id % 10 = 0")).write.parquet(f"{root}/landed")
+    rows = spark.readStream.schema(e.schema).parquet(f"{root}/landed")
+    append_stream(rows, f"{root}/facts", f"{root}/rejected", f"{root}/progress").awaitTermination()
+    return spark.read.parquet(f"{root}/facts").select(F.col("instrument_id").alias("event_id"), "namespace", "vt")

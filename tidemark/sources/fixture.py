@@ -53,3 +53,26 @@ def panel(spark: SparkSession) -> DataFrame:
     for part in parts[1:]:
         whole = whole.unionByName(part)
     return whole
+
+
+def holdout(spark: SparkSession, days: int = 20, symbols: tuple[str, ...] = SYMBOLS[:5], first: str = "2025-01-01") -> DataFrame:
+    """(line, label): canonical JSON of generated bars, and apart from it the label of each."""
+    s = spark.createDataFrame(list(enumerate(symbols)), "k bigint, instrument_id string")
+    grid = s.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
+    day = F.date_add(F.lit(first).cast("date"), F.col("n")).cast("string")
+    close = F.lit(100.0) + F.col("k") * 10 + F.col("n") * 0.25
+    at = F.concat(day, F.lit("T16:00:00Z")).alias("vt")
+    payload = F.struct(close.alias("close"), (close + 0.5).alias("high"), (close - 1).alias("low"), (close - 0.5).alias("open"), (1000 + F.col("k") * 100 + F.col("n")).alias("volume"))
+    source = F.struct(F.lit("generated").alias("collection_method"), F.lit("stocks/eod").alias("feed"), F.lit("synthetic").alias("vendor"))
+    record = F.struct(
+        "instrument_id", F.concat(day, F.lit("T16:00:01Z")).alias("kt"), F.lit("bar").alias("namespace"), payload.alias("payload"), F.lit(1).alias("revision"),
+        source.alias("source"), F.lit(None).cast("string").alias("superseded_by"), at,
+    )
+    label = F.struct(at.alias("as_of"), F.round((F.col("k") - 2) * 0.01 + F.col("n") * 0.0001, 6).alias("future_return"), "instrument_id")
+    return grid.select(F.to_json(record, {"ignoreNullFields": "false"}).alias("line"), F.to_json(label).alias("label"))
+
+
+def write_holdout(rows: DataFrame, features: str, labels: str) -> None:
+    """Features and labels in separate places."""
+    rows.select("line").write.text(features)
+    rows.select("label").write.text(labels)
