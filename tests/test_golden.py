@@ -182,3 +182,8 @@ def test_depth(panel):
     row = B.depth(panel).first()
     assert row["ok"] and row["message"] == "ok: 6 instruments, 60 days, 4 namespaces"
     assert not B.depth(panel.filter("namespace <> 'universe'")).first()["ok"]
+
+
+def test_close_matrix(spark):
+    rows = {(r["instrument_id"], str(r["vt"])): r["close"] for r in fixture.close_matrix(spark).collect()}
+    assert len(rows) == 180 and rows["AAA", "2024-01-02"] == pytest.approx(80.33) and rows["DDD", "2024-01-03"] == pytest.approx(101.455)

@@ -102,3 +102,9 @@ def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     both = a.select(*sorted(a.columns)).withColumn("_w", F.lit(1)).unionByName(b.select(*sorted(b.columns)).withColumn("_w", F.lit(-1)))
     net = both.groupBy(*sorted(a.columns)).agg(F.sum("_w").alias("w"))
     return net.agg(F.coalesce(F.sum(F.greatest("w", F.lit(0))), F.lit(0)).alias("only_a"), F.coalesce(F.sum(F.greatest(-F.col("w"), F.lit(0))), F.lit(0)).alias("only_b"))
+
+
+def freeze(rows: DataFrame, path: str, manifest_id: str, order: Sequence[str]) -> None:
+    """Rows as JSON in range-sorted files and their manifest beside them."""
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("ignoreNullFields", "false").json(f"{path}/rows")
+    manifest(rows, manifest_id).write.parquet(f"{path}/manifest")

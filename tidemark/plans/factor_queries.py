@@ -405,3 +405,42 @@ def l8_boosted_trees(spark, sf):
     named = {"r1": X.binary("div", CLOSE, X.lag(CLOSE, 1)), "m5": X.binary("div", CLOSE, X.rolling("mean", CLOSE, 5)), "v5": X.rolling("std", VOLUME, 5)}
     rows = X.evaluate(bars, named, status=False).join(L.next_day_returns(bars, V.calendar(spark, sf)), ["instrument_id", "vt"])
     return S.boosted_trees(rows, list(named)).select("instrument_id", "vt", "fwd", "prediction")
+
+
+@query(sql("SELECT b.vt, count(*) AS pairs FROM bars b JOIN labels_next l USING (instrument_id, vt) WHERE b.close IS NOT NULL AND fwd IS NOT NULL GROUP BY b.vt", "bars", "labels_next"))
+def c11_index_intersection(spark, sf):
+    return _signal_labels(spark, sf).dropna(subset=["signal", "fwd"]).groupBy("vt").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query()
+def l7_mutual_ic(spark, sf):
+    """Rank correlation of every two candidates over the instruments at each fold: a self-join on (fold, instrument)."""
+    values = S.candidate_values(_facts(spark, sf), {n: X.rolling(op, CLOSE, w) for n, op, w in (("mean3", "mean", 3), ("std5", "std", 5), ("rank5", "rank", 5), ("slope4", "slope", 4))}, ("fold_id", "instrument_id"))
+    good = values.filter("status = 'ok'").select("fold_id", "instrument_id", "candidate", "value")
+    other = good.select("fold_id", "instrument_id", F.col("candidate").alias("other"), F.col("value").alias("fwd"))
+    pairs = good.withColumnRenamed("value", "signal").join(other, ["fold_id", "instrument_id"]).filter("candidate < other")
+    return L.rank_ic(pairs, ["fold_id", "candidate", "other"]).withColumn("rank_ic", F.round("rank_ic", 6))
+
+
+@query()
+def e7_campaign(spark, sf):
+    """The baselines' fold scores as trial artifacts, through the gate."""
+    from ..operators import rules
+
+    facts = _facts(spark, sf)
+    cs = X.evaluate_cross_section(facts, "rank", CLOSE, group=["fold_id"]).select("fold_id", "instrument_id", F.col("cs").alias("signal"))
+    signals = {"B1": E.fold_signal(facts, E.sma(3), 3), "B3": E.fold_signal(facts, E.momentum(), 2), "B4": cs, "B5": E.buy_and_hold(facts)}
+    all_ = None
+    for name, rows in signals.items():
+        own = _scored(spark, sf, rows.select("fold_id", "instrument_id", "signal")).withColumn("experiment_id", F.lit(name))
+        all_ = own if all_ is None else all_.unionByName(own)
+    sha = lambda *c: F.sha2(F.concat_ws("/", *c), 256)
+    run = sha(F.col("experiment_id"), F.col("fold_id").cast("string"))
+    made = all_.withColumns({n: sha(F.lit(n), F.col("experiment_id")) for n in rules.HASHES})
+    made = made.withColumns(
+        {
+            "run_id": run, "seeds": F.array(F.lit(0)), "split_policy_ref": F.lit("walk-forward"), "cost_model_ref": F.lit("c-free"), "agent_origin": F.lit("baseline"), "status": F.lit("success"),
+            "artifacts": F.create_map(F.lit("signal"), run), "metrics": F.create_map(F.lit("rank_ic"), F.col("rank_ic")),
+        }
+    )
+    return rules.gate(made).select("experiment_id", "fold_id", "n_signals", "rank_ic", F.size("violations").alias("n_violations"))

@@ -372,3 +372,31 @@ def n1_stream_append(spark, sf):
     rows = spark.readStream.schema(e.schema).parquet(f"{root}/landed")
     append_stream(rows, f"{root}/facts", f"{root}/rejected", f"{root}/progress").awaitTermination()
     return spark.read.parquet(f"{root}/facts").select(F.col("instrument_id").alias("event_id"), "namespace", "vt")
+
+
+@query()
+def a14_a15_freeze(spark, sf):
+    """All records frozen as sorted JSON with a manifest, read again and verified against it."""
+    path = _folder(spark)
+    r = V.records(spark, sf)
+    K.freeze(r, path, "records-v1", ["namespace", "instrument_id", "vt", "revision"])
+    return K.verify(spark.read.schema(r.schema).json(f"{path}/rows"), spark.read.parquet(f"{path}/manifest")).select("manifest_id", "n", "matches")
+
+
+@query("SELECT doc_id % 4 = 0 AS broken, count(*) AS n FROM labels GROUP BY ALL")
+def a21_a22_artifact_log(spark, sf):
+    """Artifacts appended as lines of JSON, some of them broken, and read again: a broken one stays as a violation."""
+    path = _folder(spark)
+    rows = V.table(spark, sf, "labels").select(F.when(F.col("doc_id") % 4 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("doc_id").cast("string").alias("run_id"), F.lit("success").alias("status")))).alias("value"))
+    rows.write.mode("append").text(path)
+    found = I.read_artifacts(spark, path, "run_id string, status string")
+    return found.groupBy((F.col("violation").isNotNull()).alias("broken")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, sha256('{\"epoch\":' || (doc_id % 9) || ',\"features\":\"' || sha256(doc_id::VARCHAR) || '\",\"labels\":\"' || sha256('l' || doc_id) || '\"}') AS commitment, CASE WHEN toxic = 1 THEN 'fail' ELSE 'pass' END AS status FROM labels")
+def k5_seal_commitment(spark, sf):
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    doc = F.col("doc_id").cast("string")
+    rows = V.table(spark, sf, "labels").select("doc_id", "toxic", (F.col("doc_id") % 9).alias("epoch"), sha(doc).alias("features"), sha(F.concat(F.lit("l"), doc)).alias("labels"))
+    classes = F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))).otherwise(F.array().cast("array<string>"))
+    return rows.select("doc_id", K.stable_id("features", "labels", "epoch").alias("commitment"), F.when(F.size(classes) == 0, "pass").otherwise("fail").alias("status"))

@@ -76,3 +76,11 @@ def write_holdout(rows: DataFrame, features: str, labels: str) -> None:
     """Features and labels in separate places."""
     rows.select("line").write.text(features)
     rows.select("label").write.text(labels)
+
+
+def close_matrix(spark: SparkSession, days: int = 45, symbols: tuple[str, ...] = SYMBOLS[:4]) -> DataFrame:
+    """(vt, instrument_id, close) of four symbols over 45 weekdays, by a formula."""
+    s = spark.createDataFrame(list(enumerate(symbols)), "si bigint, instrument_id string")
+    grid = s.withColumn("di", F.explode(F.sequence(F.lit(0), F.lit(days - 1)))).join(weekdays(spark, n=days), "di")
+    close = 80 + 7 * F.col("si") + F.col("di") * (0.08 + 0.015 * F.col("si")) + ((F.col("di") + 1) * (F.col("si") + 3) % 9) * 0.11
+    return grid.select("vt", "instrument_id", close.alias("close"))

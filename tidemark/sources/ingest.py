@@ -108,3 +108,15 @@ def signals_from_json(raw: DataFrame, column: str, names: Sequence[str]) -> Data
 def file_digests(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(file, sha256) of whole files of less than 2 GB."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"))
+
+
+def read_artifacts(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
+    """Trial artifacts from lines of JSON, with ``violation`` for those that are no object."""
+    read = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = spark.read.text(path).filter("trim(value) <> ''").select(read.alias("a")).select("a.*")
+    return rows.withColumn("violation", F.when(F.col("_bad").isNotNull(), "invalid JSON")).drop("_bad")
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Audit lines, appended; what is there is never rewritten."""
+    rows.write.mode("append").json(path)
