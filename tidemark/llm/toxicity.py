@@ -128,20 +128,19 @@ def _bags(batches, known):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first), pa.array(many), *lists], ["id", "label", "n", "sentences", "clues"])
 
 
-def telling(label: np.ndarray, text: np.ndarray, clue: np.ndarray) -> np.ndarray:
+def telling(clue: np.ndarray, n: np.ndarray, toxic: np.ndarray, rate: float) -> np.ndarray:
     """Sorted clues that toxic texts have more often than chance allows.
 
-    Of all clues one at most would pass by chance: the probability of as many
-    toxic texts among those that have the clue is bounded (Chernoff) by
+    ``n`` texts have the clue, ``toxic`` of them are toxic and ``rate`` of all
+    are.  Of all clues one at most would pass by chance: the probability of as
+    many toxic texts among those that have the clue is bounded (Chernoff) by
     1 / number of clues.
     """
-    if not len(clue) or label.min() == label.max():
+    if not len(clue) or not 0 < rate < 1:
         return np.zeros(0, np.uint32)
-    own, at = np.unique(clue, return_inverse=True)
-    rate, n = label.mean(), np.bincount(at)
-    share = np.clip(np.bincount(at, label[text]) / n, 1e-9, 1 - 1e-9)
+    share = np.clip(toxic / n, 1e-9, 1 - 1e-9)
     bound = n * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate)))
-    return own[(share > rate) & (bound >= np.log((n >= LEAST_TEXTS).sum() + 1)) & (n >= LEAST_TEXTS)]
+    return np.sort(clue[(share > rate) & (bound >= np.log(len(clue) + 1))])
 
 
 def learn(label: np.ndarray, n_sentences: np.ndarray, text: np.ndarray, sentence: np.ndarray, clue: np.ndarray, n_clues: int) -> tuple[np.ndarray, float]:
@@ -180,9 +179,10 @@ def _flat(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
 def train(labelled: DataFrame):
     """(sorted clues, weights, bias) from (id, text, label)."""
     held = written(labelled.select(F.col("id").cast("string").alias("id"), "text", "label"), "labelled")
-    found = map_batches(held, _all_clues, "label int, clues array<int>").toArrow()
-    text, clue = _flat(found, "clues")
-    known = telling(found["label"].to_numpy(), text, clue.view(np.uint32))
+    found = map_batches(held, _all_clues, "label int, clues array<int>").select("label", F.explode("clues").alias("clue"))
+    often = found.groupBy("clue").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic")).filter(F.col("n") >= LEAST_TEXTS).toArrow()
+    rate = held.agg(F.coalesce(F.avg("label"), F.lit(0.0))).first()[0]
+    known = telling(often["clue"].to_numpy().view(np.uint32), *(often[c].to_numpy().astype(float) for c in ("n", "toxic")), rate)
     bags = map_batches(held, partial(_bags, known=known), "id string, label int, n bigint, sentences array<int>, clues array<int>").toArrow().sort_by("id")
     text, sentence = _flat(bags, "sentences")
     weight, bias = learn(bags["label"].to_numpy(), bags["n"].to_numpy(), text, sentence, _flat(bags, "clues")[1], len(known))
