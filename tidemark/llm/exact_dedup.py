@@ -14,28 +14,30 @@ earlier batch brought is a copy of the id that stayed then.
 
 Defined cases: a null text is an empty text, and all texts of white space only
 are equal to it; a null id ranks after every other id; repeated rows are copies
-of one another and ``kept`` is true on each row that carries the kept id, so
-rows that repeat both id and longest text are all marked kept only once each
-(see ``mark``); further columns are not read.  An empty table gives no rows.
+of one another, and ``kept`` is true on every row that carries the id that
+stays, where ``keep_one`` returns just one of them; texts of any length are
+digested whole; further columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import new_path, whole_text, written
 
 #: Texts with more copies than this share of the rows are joined by broadcast: there are fewer than 1 / HOT_SHARE.
 HOT_SHARE = 1 / 2000
+#: The characters that make no difference.
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest, code points of the original text) of every row."""
     text = whole_text(text_col)
-    bare = F.translate(text, " \t\n\x0b\x0c\r", "")
+    bare = F.translate(text, WHITE, "")
     return docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(bare, 256)).alias("digest"), F.length(text).alias("n_points"))
 
 
@@ -84,8 +86,7 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_
     """Every row's (id, keep_id, group_size, kept, text_sha256); the batch is added to ``index``.
 
     ``group_size`` counts the rows of the batch in which the text was first
-    seen.  ``kept`` is true where the id is the one that stays and this is the
-    row with the most code points.
+    seen.  ``kept`` is true where the id is the one that stays.
     """
     index = index or DigestIndex(docs.sparkSession)
     marks = written(digests(docs, id_col, text_col), "marks")
@@ -106,13 +107,12 @@ def keep_one(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "d
     one with the most code points stays, then the first in the order of the
     original text, so exactly one row of each group is returned.
     """
-    verdict = dedup(docs, index, id_col, text_col).filter("kept").select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest")).distinct()
+    key = lambda i, d: F.concat_ws(" ", d, F.coalesce(i.cast("string"), F.lit("")))
+    verdict = dedup(docs, index, id_col, text_col).filter("kept").select(key(F.col(id_col), F.col("text_sha256")).alias("_key")).distinct()
     text = whole_text(text_col)
-    own = docs.withColumns({"_digest": F.unhex(F.sha2(F.translate(text, " \t\n\x0b\x0c\r", ""), 256)), "_points": F.length(text)})
-    mine = own.join(verdict.hint("shuffle_hash"), own["_digest"].eqNullSafe(verdict["_digest"]) & own[id_col].eqNullSafe(verdict["_id"]), "left_semi")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(id_col, "_digest").orderBy(F.desc("_points"), text)
+    own = docs.withColumns({"_key": key(F.col(id_col), F.sha2(F.translate(text, WHITE, ""), 256)), "_points": F.length(text)})
+    mine = own.join(verdict.hint("merge"), "_key", "left_semi")
+    order = Window.partitionBy("_key").orderBy(F.desc("_points"), text)
     return mine.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").select(*docs.columns)
 
 
