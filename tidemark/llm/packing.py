@@ -7,8 +7,8 @@ opens a window of its tier and the gap behind it is filled from shorter tiers,
 a piece that fits first, else one that is cut.  So every window is full, and
 as tiers are powers of two no window is padded.  A task's last window, which
 nothing is left to fill, is cut into powers of two.  Windows are dealt to step
-groups of equal numbers of tokens: as tiers divide a step, filling steps from
-the longest windows down leaves at most one short step in a task.
+groups of one tier and equal numbers of tokens: as tiers divide a step, each
+tier of a task leaves one short step at most.
 
 Packing is local to a task: pieces of a few thousand documents wait in memory,
 no row is shuffled and ``sequence_id`` is the task's number and a counter.
