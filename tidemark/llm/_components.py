@@ -15,16 +15,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     larger neighbours to that one (large-star, small-star), which takes a
     number of rounds that grows with the logarithm of a component's diameter.
     A node with very many edges only ever takes part in partial minima and in
-    joins that adaptive execution can split.
+    joins that adaptive execution can split; the minima are written out for
+    that, as a join on top of its own aggregate can't be split.
     """
     now = written(_star(edges.select("a", "b")), "edges")
     state = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.filter("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = written(_star(large), "edges")
-        least = now.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(now.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = now.join(least.hint("merge"), "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         now = written(_star(small), "edges")
         sums = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

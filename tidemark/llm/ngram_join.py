@@ -41,15 +41,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._shared import map_batches, written
+from ._shared import map_batches, release, written
 from ._words import mix, shingles, split_words, text_pieces
 
 #: N-grams that a region may hold to be joined in one task.
 REGION_GRAMS = 3_000_000
 #: Sets of a task that are remembered so that copies in it give no second row.
 SEEN = 500_000
-#: Bits of the filter that keeps sets outside all regions from being shuffled: a fixed 4 MB.
-FILTER_BITS = 1 << 25
+#: Bits of the filter that keeps cells of one set from being shuffled again (a fixed 8 MB), and which bits of a key choose one.
+FILTER_BITS, SHIFTS = 1 << 26, (0, 19, 38)
 
 
 @cache
@@ -96,42 +96,58 @@ def _sets(batch: pa.RecordBatch, n: int):
             yield first + k, own, mixed, key
 
 
-def _profile(batches, n: int, num: int, den: int):
+def _cells(batches, n: int, num: int, den: int):
+    """(cell, node) of every set, once in a task for sets that it remembers."""
     seen: set[int] = set()
     for batch in batches:
-        size, key, cells = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), [np.zeros(0, np.int64)] * len(batch)
-        for row, own, mixed, node in _sets(batch, n):
-            size[row], key[row] = len(own), node
+        cells, nodes, count = [], [], []
+        for _, own, mixed, node in _sets(batch, n):
             if node not in seen:
                 seen.add(node)
                 if found := signatures(own, mixed, num, den):
-                    cells[row] = np.unique(np.concatenate(found)).view(np.int64)
+                    cells.append(np.unique(np.concatenate(found)))
+                    nodes.append(node)
+                    count.append(len(cells[-1]))
         if len(seen) > SEEN:
             seen.clear()
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in cells])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cells) if cells else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(key, mask=size == 0), lists], ["id", "n_shingles", "node", "cells"])
+        if cells:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), count))], ["cell", "node"])
 
 
-def _wanted_sets(batches, n: int, wanted):
-    """Sets whose key is in the filter; within a task mostly once."""
+def _profile(batches, n: int, num: int, den: int, wanted):
+    """(id, n_shingles, node) of each row, and of sets with cells in the filter those cells and the set."""
     seen: set[int] = set()
-    bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little")
+    bits = np.frombuffer(wanted.value, np.uint8)
     for batch in batches:
-        out = []
-        for _, own, _, node in _sets(batch, n):
-            if bits[int(node) & (FILTER_BITS - 1)] and node not in seen:
+        size, key, cells, grams = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), [np.zeros(0, np.int64)] * len(batch), [None] * len(batch)
+        for row, own, mixed, node in _sets(batch, n):
+            size[row], key[row] = len(own), node
+            if node not in seen:
                 seen.add(node)
-                out.append((int(node), own.tobytes()))
+                if found := signatures(own, mixed, num, den):
+                    all_ = np.unique(np.concatenate(found)).view(np.int64)
+                    inside = np.ones(len(all_), bool)
+                    for shift in SHIFTS:
+                        at = (all_ >> shift) & (FILTER_BITS - 1)
+                        inside &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                    cells[row] = all_[inside]
+                    if len(cells[row]):
+                        grams[row] = own.tobytes()
         if len(seen) > SEEN:
             seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["node", "grams"])
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in cells])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cells) if cells else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(key, mask=size == 0), lists, pa.array(grams, pa.binary())], ["id", "n_shingles", "node", "cells", "grams"])
+
 
+def _filter_of(cells: DataFrame) -> bytes:
+    """A Bloom filter of the keys; its size doesn't depend on their number.
 
-def _filter_of(nodes: DataFrame) -> bytes:
-    """A bitmap of the keys modulo FILTER_BITS; its size doesn't depend on their number."""
-    bit = F.col("node").bitwiseAND(F.lit(FILTER_BITS - 1)) + F.lit(1)
-    rows = nodes.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    It only spares work: a key outside the table that passes is dropped by the join.
+    """
+    places = F.array(*(F.shiftright("cell", shift).bitwiseAND(F.lit(FILTER_BITS - 1)) + F.lit(1) for shift in SHIFTS))
+    bit = cells.select(F.explode(places).alias("bit"))
+    rows = bit.select(F.bitmap_bucket_number("bit").alias("part"), F.bitmap_bit_position("bit").alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
     out = bytearray(FILTER_BITS // 8)
     for row in rows:
         out[(row["part"] - 1) * 4096 : row["part"] * 4096] = row["bits"]
@@ -322,19 +338,24 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(texts.dtypes)["id"]
-    schema = f"id {kind}, n_shingles bigint, node bigint, cells array<bigint>"
-    profile = written(map_batches(texts, partial(_profile, n=n, num=num, den=den), schema), "profile")
+    pairs = map_batches(texts, partial(_cells, n=n, num=num, den=den), "cell bigint, node bigint")
+    shared = pairs.groupBy("cell").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("cell", "leader")
+    shared = written(shared, "cells")
+    del pairs
+    release(spark)
+    wanted = spark.sparkContext.broadcast(_filter_of(shared))
+    schema = f"id {kind}, n_shingles bigint, node bigint, cells array<bigint>, grams binary"
+    profile = written(map_batches(texts, partial(_profile, n=n, num=num, den=den, wanted=wanted), schema), "profile")
     rows = profile.select("node", F.col("n_shingles").alias("n"), F.explode("cells").alias("cell"))
-    shared = rows.groupBy("cell").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("cell", "leader")
     members = written(rows.join(shared.hint("merge"), "cell").groupBy("cell", "leader", "node").agg(F.max("n").alias("n")), "members")
+    release(spark)
     region = components(members.select(F.col("leader").alias("a"), F.col("node").alias("b")))
     region = written(region.join(members.groupBy("node").agg(F.max("n").alias("n")).hint("merge"), "node"), "regions")
     weight = region.groupBy("root").agg(F.sum("n").alias("grams"))
     region = region.join(weight.hint("merge"), "root")
     parts = region.filter(F.col("grams") <= REGION_GRAMS).select(F.col("root").alias("part"), "node", "n")
 
-    wanted = spark.sparkContext.broadcast(_filter_of(region.select("node")))
-    sets = map_batches(texts, partial(_wanted_sets, n=n, wanted=wanted), "node bigint, grams binary")
+    sets = profile.filter("grams is not null").select("node", "grams")
     large = region.filter(F.col("grams") > REGION_GRAMS).select("node")
     if large.limit(1).count():
         sets = written(sets.join(region.select("node").hint("merge"), "node", "left_semi"), "sets").dropDuplicates(["node"])
@@ -347,7 +368,10 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             parts = parts.unionByName(_divide(over, sets, num, den))
     held = parts.select("part", "node").join(sets.hint("merge"), "node").select("part", "node", "grams")
     links = map_batches(held.repartition("part").sortWithinPartitions("part", "node"), partial(_join_regions, num=num, den=den), "a bigint, b bigint")
-    roots = components(written(links, "links"))
+    links = written(links, "links")
+    del held, sets, parts, large, region, weight, members, rows
+    release(spark)
+    roots = components(links)
 
     own = profile.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"))
     own = own.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
