@@ -80,6 +80,55 @@ def test_automaton_against_dictionaries(make):
         assert own[i] == pytest.approx(score), i
 
 
+def plain_lm_scores(texts, held=()):
+    """Scores of ``texts`` by a recursive backoff over dictionaries of exact counts; runs that were met once are not in the model."""
+    c = [None, Counter(), Counter(), Counter()]
+    for i, ws in texts.items():
+        if i not in held:
+            led = ["</end>", *ws]
+            c[1].update(ws)
+            for n in (2, 3):
+                c[n].update(tuple(led[k : k + n]) for k in range(len(led) - n + 1))
+    z = sum(c[1].values()) + len(c[1]) + 1
+    p1 = lambda w: (c[1][w] + 1) / z
+    p2 = {k: (v - 0.5) / c[1][k[0]] for k, v in c[2].items() if v > 1}
+    p3 = {k: (v - 0.5) / c[2][k[:2]] for k, v in c[3].items() if v > 1}
+    sums = defaultdict(lambda: [1.0, 1.0])
+    for k, p in p2.items():
+        sums[k[:1]][0] -= p
+        sums[k[:1]][1] -= p1(k[1])
+    for k, p in p3.items():
+        sums[k[:2]][0] -= p
+        sums[k[:2]][1] -= p2[k[1:]]
+    left = {k: math.log10(max(a, 1e-6) / max(b, 1e-6)) for k, (a, b) in sums.items()}
+    out = {}
+    for i, ws in texts.items():
+        led, total = ["</end>", *ws], 0.0
+        for k in range(1, len(led)):
+            a, b, w = led[k - 2] if k > 1 else None, led[k - 1], led[k]
+            if (a, b, w) in p3:
+                total += math.log10(p3[a, b, w])
+            else:
+                total += left.get((a, b), 0.0) + (math.log10(p2[b, w]) if (b, w) in p2 else left.get((b,), 0.0) + math.log10(p1(w)))
+        out[i] = total
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_lm_counts_every_run(make, monkeypatch, parts):
+    """A run that is met twice among 700,000 tokens is in the model, however rows fall into tasks and chunks."""
+    import random
+
+    monkeypatch.setattr(lm_score, "CHUNK", 50_000)
+    r = random.Random(3)
+    rows = [(k, " ".join(f"w{int(r.paretovariate(0.4)) % 30_000}" for _ in range(700))) for k in range(1000)]
+    rows += [(1000, "only here twice"), (1001, "only here twice"), (1002, "only here twice")]
+    docs = make(rows).repartition(parts)
+    found = {x["doc_id"]: x["score"] for x in lm_score.score(docs, docs["doc_id"] % 5 == 4).collect()}
+    plain = plain_lm_scores({i: [*t.split(), "</end>"] for i, t in rows}, {i for i, _ in rows if i % 5 == 4})
+    assert found == pytest.approx(plain)
+
+
 def held_out(spark, data, name, label, modulus, held):
     truth = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
     found = registry.queries()[name](spark, data).collect()

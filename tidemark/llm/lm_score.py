@@ -1,28 +1,30 @@
 """Language-model scores by a weighted backoff automaton.
 
-Training counts words exactly, by map-side sums and one shuffle, over all
-training texts.  Runs of two and three words are counted by lossy counting: a
-task sums them over chunks of some million words and passes on those that reach
-``SURE`` of the wanted share in the chunk, so every run with a relative
-frequency of STATE_SHARE / (1 - SURE) becomes part of the model and a count is
-too small by at most ``SURE`` of the least count.
-
-The automaton's states are the empty context, words and pairs of words that
-something follows; an arc carries the log10 probability of a word after a
-context (absolute discounting), a failure arc the backoff weight to the next
-shorter context.  Each text is read once from left to right: the state moves
-along an arc, or along failure arcs until there is one, and the weights add up.
-All texts of a batch move a word at a time.
-
-The empty context has an arc for every word of the corpus, (c + 1) / (N + V + 1).
-The automaton holds those with a relative frequency of at least WORD_SHARE,
-fewer than 1 / WORD_SHARE at any size of the corpus, and all longer contexts,
-fewer than 1 / STATE_SHARE a length; that is what is broadcast.  Arcs of rarer
-words, which no longer context has, stay in the table of counts, and their
-weights are joined and added by a shuffle on the word.
+All runs of one, two and three words of all training texts are counted exactly,
+by map-side sums and a shuffle.  The model holds every word, and every longer
+run that was met at least ``LEAST`` times, at any size of the corpus.
+
+The automaton's states are the empty context, words and pairs of words; an arc
+carries the log10 probability of a word after a context (absolute discounting),
+a failure arc the backoff weight to the next shorter context.  Each text is read
+once from left to right: the state moves along an arc, or along failure arcs
+until there is one, and the weights add up.  All texts of a batch move a word at
+a time.
+
+No task holds the whole automaton and nothing of it is broadcast.  Texts are
+written as chunks of some hundred thousand tokens.  A chunk sends the distinct
+runs of its texts with its own counts to buckets of their hashes, and gets back
+the counts over all chunks; it then sends the contexts of its runs and gets back
+their failure weights.  What it has then is the part of the automaton that its
+texts can reach, and it reads them with that.  A run adds to the sums of its
+context once, in the first chunk that has it.  A bucket gets a run at most once
+from a chunk, however common it is, and the number of buckets follows the text.
+
+The empty context has an arc for every word of the corpus, (c + 1) / (N + V + 1),
+and one of 1 / (N + V + 1) for all others.
 
 A text's tokens are its words and one end, and it begins in the state after an
-end.  Words are 64-bit hashes.
+end.  Words and runs are 64-bit hashes.
 
 Defined cases: a null text is an empty text, whose only token is the end; a
 null id belongs to the training fold; repeated rows are counted and scored each
@@ -41,15 +43,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import fold, map_batches, written
-from ._words import Words, split_words, text_pieces
+from ._shared import fold, map_batches, release, written
+from ._words import Words, mix, split_words, text_pieces
 
 #: The end's place among the hashes of words.
 END = np.uint64(0xE11D0F7E47000001)
-WORD_SHARE, STATE_SHARE, SURE, DISCOUNT = 1e-7, 2e-6, 0.25, 0.5
-#: Tokens of a chunk that runs of words are counted over, at least.
-CHUNK = 3_000_000
-PIECE_BYTES = 8 << 20
+#: Times that a run of two or three words is met, at least, to be in the model.
+LEAST, DISCOUNT = 2, 0.5
+#: Tokens of a chunk, at least, unless it is a task's last; and of all texts for each bucket.
+CHUNK, BUCKET = 600_000, 250_000
+PIECE_BYTES = 2 << 20
+_SALT2, _SALT3, _STEP = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0x9E3779B97F4A7C15)
 
 
 def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -58,121 +62,212 @@ def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return token, words.of_text + np.arange(len(words.of_text))
 
 
-def _runs(token: np.ndarray, of_text: np.ndarray, n: int) -> list[np.ndarray]:
-    """The words of every run of ``n`` tokens within a text; the first follows an end."""
-    led = np.insert(token, of_text[:-1], END)
-    at = np.arange(len(led) - n + 1)
-    begin = of_text[:-1] + np.arange(len(of_text) - 1)
-    which = np.searchsorted(begin, at, side="right") - 1
-    ends = np.concatenate([begin[1:], [len(led)]])
-    at = at[at + n <= ends[which]]
-    return [led[at + k] for k in range(n)]
-
-
-def _table(order: int, words: list[np.ndarray], count: np.ndarray) -> pa.RecordBatch:
-    none = np.zeros(len(count), np.uint64)
-    own = [*words, *[none] * (3 - len(words))]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(count), order, np.int8)), *(pa.array(x.view(np.int64)) for x in own), pa.array(count.astype(np.int64))], ["n", "a", "b", "c", "count"])
-
-
-def _count(batches, share: float):
-    """Exact counts of words and those of frequent runs, summed over chunks of a task."""
-    held: list[list] = []
+def _chunks(batches, size: int):
+    """Texts as chunks: their ids and folds, distinct word hashes, and tokens as places among those."""
+    task, number = TaskContext.get().partitionId() << 33, 0
+    held: list[tuple] = []
     tokens = 0
 
-    def close():
-        one, count = np.unique(np.concatenate([t for t, _ in held]), return_counts=True)
-        yield _table(1, [one], count)
-        least = max(1, int(np.ceil(share * SURE * tokens)))
-        for n in (2, 3):
-            parts = [_runs(t, o, n) for t, o in held]
-            own = [np.concatenate([p[k] for p in parts]) for k in range(n)]
-            key = own[0].copy()
-            for x in own[1:]:
-                key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + x
-            _, first, count = np.unique(key, return_index=True, return_counts=True)
-            often = count >= least
-            yield _table(n, [x[first[often]] for x in own], count[often])
+    def close() -> pa.RecordBatch:
+        words, token = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        of_text = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[1]) for x in held]))])
+        ids, folds = pa.concat_arrays([x[2] for x in held]), pa.concat_arrays([x[3] for x in held])
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        trained = int(np.diff(of_text)[_trained(folds)].sum())
         held.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([task + number]), one(ids), one(folds), pa.array([len(token)]), pa.array([trained]), *(pa.array([x.tobytes()], pa.binary()) for x in (words, token.astype(np.int32), of_text))],
+            ["chunk", "ids", "folds", "n_tokens", "n_train", "words", "token", "of_text"],
+        )
 
     for batch in batches:
-        for _, _, data, offsets in text_pieces(batch.column(0), PIECE_BYTES):
+        for first, end, data, offsets in text_pieces(batch.column(2), PIECE_BYTES):
             token, of_text = _tokens(split_words(data, offsets))
-            if tokens >= CHUNK:
-                yield from close()
-                tokens = 0
-            held.append([token, of_text])
+            held.append((token, of_text, batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first)))
             tokens += len(token)
+            if tokens >= size:
+                yield close()
+                number, tokens = number + 1, 0
     if held:
-        yield from close()
+        yield close()
+
+
+def _trained(folds: pa.Array) -> np.ndarray:
+    return ~folds.fill_null(True).to_numpy(zero_copy_only=False)
+
+
+class Runs:
+    """The distinct runs of a chunk's texts: their keys, sorted, and where each stands."""
+
+    def __init__(self, row: pa.Table):
+        flat = lambda name, kind: np.frombuffer(row.column(name)[0].as_buffer(), kind)
+        self.chunk = row.column("chunk")[0].as_py()
+        self.ids, self.folds = row.column("ids")[0].values, row.column("folds")[0].values
+        self.words, self.token, self.of_text = flat("words", np.uint64), flat("token", np.int32).astype(np.int64), flat("of_text", np.int64)
+        first = self.of_text[:-1]
+        before = np.empty_like(self.token)
+        before[1:] = self.token[:-1]
+        before[first] = np.searchsorted(self.words, END)
+        two = mix((self.words[before] ^ _SALT2) * _STEP + self.words[self.token])
+        inner = np.ones(len(two), bool)
+        inner[first] = False
+        self.inner = np.flatnonzero(inner)
+        three = mix((two[self.inner - 1] ^ _SALT3) * _STEP + self.words[self.token[self.inner]])
+        self.pairs, self.pair = np.unique(two, return_inverse=True)
+        self.triples, self.triple = np.unique(three, return_inverse=True)
+        at = np.empty(len(self.pairs), np.int64)
+        at[self.pair] = np.arange(len(two))
+        self.a, self.b = before[at], self.token[at]  # the words of each pair
+        at = np.empty(len(self.triples), np.int64)
+        at[self.triple] = self.inner
+        self.context, self.below, self.c = self.pair[at - 1], self.pair[at], self.token[at]  # the two pairs of each triple, and its last word
+
+    def trained(self) -> list[np.ndarray]:
+        """How often each word, pair and triple is met in the chunk's training texts."""
+        use = np.repeat(_trained(self.folds), np.diff(self.of_text))
+        return [np.bincount(self.token[use], minlength=len(self.words)), np.bincount(self.pair[use], minlength=len(self.pairs)), np.bincount(self.triple[use[self.inner]], minlength=len(self.triples))]
+
+    def asked(self, counts: list[np.ndarray]) -> list[np.ndarray]:
+        """Words and pairs that can be contexts."""
+        return [counts[0] >= LEAST, counts[1] >= LEAST]
+
+
+def _small(x: np.ndarray) -> bytes:
+    return x.astype(np.min_scalar_type(x.max(initial=0))).tobytes()
+
+
+def _wide(raw: pa.Buffer, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"u{len(raw) // n}").astype(np.int64)
+
+
+def _deal(keys: list[np.ndarray], buckets: int):
+    """(bucket, range of each of the sorted arrays) of every bucket that has keys."""
+    place = [((k >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24) for k in keys]
+    ends = [np.searchsorted(p, np.arange(buckets + 1, dtype=np.uint64)) for p in place]
+    for k in np.flatnonzero(sum(np.diff(e) for e in ends)):
+        yield int(k), [slice(e[k], e[k + 1]) for e in ends]
+
+
+def _gather(replies: pa.Table, kind: int, decode) -> list[np.ndarray]:
+    """The replies to a chunk in the order of its own sorted keys."""
+    own = sorted((r for r in range(replies.num_rows) if replies.column("kind")[r].as_py() == kind), key=lambda r: replies.column("bucket")[r].as_py())
+    parts: list[list] = []
+    for r in own:
+        sizes = replies.column("sizes")[r].as_py()
+        value = decode(replies.column("value")[r].as_buffer(), sum(sizes))
+        parts.append(np.split(value, np.cumsum(sizes)[:-1]))
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def _send(batches, buckets: int):
+    """What a chunk's training texts count, for each bucket."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            runs = Runs(pa.Table.from_batches([batch.slice(k, 1)]))
+            keys, counts = [runs.words, runs.pairs, runs.triples], runs.trained()
+            rows = [
+                (bucket, [x.stop - x.start for x in own], np.concatenate([v[x] for v, x in zip(keys, own, strict=True)]).tobytes(), _small(np.concatenate([v[x] for v, x in zip(counts, own, strict=True)])))
+                for bucket, own in _deal(keys, buckets)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows]), pa.array([runs.chunk] * len(rows)), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())],
+                ["bucket", "chunk", "sizes", "keys", "counts"],
+            )
+
+
+def _in_order(table: pa.Table) -> tuple[pa.Table, list[list[int]], np.ndarray, np.ndarray]:
+    """A bucket's rows by chunk, their sizes, all their keys as places among the distinct ones, and the ends of rows."""
+    table = table.take(pa.array(np.argsort(table.column("chunk").to_numpy())))
+    sizes = table.column("sizes").to_pylist()
+    keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])
+    return table, sizes, np.unique(keys, return_inverse=True)[1], np.cumsum([sum(s) for s in sizes])
+
+
+def _reply(table: pa.Table, kind: int, values: list[bytes], words: list[int]) -> pa.Table:
+    n = table.num_rows
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "kind": pa.array(np.full(n, kind, np.int8)), "sizes": table.column("sizes"), "value": pa.array(values, pa.binary()), "words": pa.array(words, pa.int64())})
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """To every chunk twice the count of each of its keys over all chunks, and 1 more in the first chunk that counts it."""
+    table, sizes, key, ends = _in_order(table)
+    count = np.concatenate([_wide(x.as_buffer(), sum(s)) for x, s in zip(table.column("counts"), sizes, strict=True)])
+    total = np.bincount(key, count).astype(np.int64)
+    counted = np.flatnonzero(count)[::-1]
+    first = np.full(len(total), -1)
+    first[key[counted]] = counted  # the last that is put there is the first of them
+    value = total[key] << 1
+    value[first[first >= 0]] += 1
+    parts = np.split(value, ends[:-1])
+    return _reply(table, 1, [_small(x) for x in parts], [int((x[: s[0]] & 1).sum()) for x, s in zip(parts, sizes, strict=True)])
+
+
+def _sums(chunk: pa.Table, replies: pa.Table, buckets: int, z: int) -> pa.Table:
+    """What the runs that a chunk is the first to count add to the sums of their contexts."""
+    runs = Runs(chunk)
+    found = _gather(replies, 1, _wide)
+    counts, first = [x >> 1 for x in found], [(x & 1).astype(bool) for x in found]
+    asked = runs.asked(counts)
+    p1 = (counts[0] + 1) / z
+    p2 = np.maximum(counts[1] - DISCOUNT, 0) / np.maximum(counts[0][runs.a], 1)
+    use = first[1] & (counts[1] >= LEAST)
+    own = [np.bincount(runs.a[use], p2[use], len(runs.words))]
+    low = [np.bincount(runs.a[use], p1[runs.b[use]], len(runs.words))]
+    use = first[2] & (counts[2] >= LEAST)
+    p3 = (counts[2][use] - DISCOUNT) / counts[1][runs.context[use]]
+    own.append(np.bincount(runs.context[use], p3, len(runs.pairs)))
+    low.append(np.bincount(runs.context[use], p2[runs.below[use]], len(runs.pairs)))
+    keys = [k[x] for k, x in zip((runs.words, runs.pairs), asked, strict=True)]
+    own, low = ([v[x] for v, x in zip(side, asked, strict=True)] for side in (own, low))
+    rows = [(bucket, [x.stop - x.start for x in at], *(np.concatenate([v[x] for v, x in zip(side, at, strict=True)]).tobytes() for side in (keys, own, low))) for bucket, at in _deal(keys, buckets)]
+    return pa.table(
+        {
+            "bucket": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([runs.chunk] * len(rows), pa.int64()), "sizes": pa.array([r[1] for r in rows], pa.list_(pa.int32())),
+            "keys": pa.array([r[2] for r in rows], pa.binary()), "own": pa.array([r[3] for r in rows], pa.binary()), "low": pa.array([r[4] for r in rows], pa.binary()),
+        }
+    )
+
+
+def _left(table: pa.Table) -> pa.Table:
+    """Failure weights of contexts: the probability that their arcs leave over that which they cover below."""
+    table, _, key, ends = _in_order(table)
+    own, low = (np.bincount(key, np.concatenate([np.frombuffer(x.as_buffer()) for x in table.column(c)])) for c in ("own", "low"))
+    weight = np.log10(np.maximum(1 - own, 1e-6) / np.maximum(1 - low, 1e-6))[key]
+    return _reply(table, 2, [x.tobytes() for x in np.split(weight, ends[:-1])], [0] * table.num_rows)
 
 
 @dataclass
 class Automaton:
     """States and arcs as arrays; state 0 is the empty context."""
 
-    word: np.ndarray  # sorted hashes of the words with arcs from state 0
-    known: np.ndarray  # log10((c + 1) / Z) of them, then 0 for all other words
+    word: np.ndarray  # sorted hashes of words
+    known: np.ndarray  # log10 of their probabilities after the empty context
     state_of: np.ndarray  # the state after a word alone
     arc: np.ndarray  # sorted state * 2^32 + word
     weight: np.ndarray
     target: np.ndarray
     fail: np.ndarray
     backoff: np.ndarray
-    log_z: float
-    n_tokens: int
 
     @classmethod
-    def learn(cls, counts: DataFrame, n_tokens: int, n_words: int) -> Automaton:
-        z = n_tokens + n_words + 1
-        share = F.lit(max(1, int(np.ceil(WORD_SHARE * n_tokens))))
-        least = F.lit(max(1, int(np.ceil(STATE_SHARE * n_tokens * (1 - SURE)))))
-        one = counts.filter((F.col("n") == 1) & (F.col("count") >= share)).select("a", "count").toArrow()
-        word, count = one["a"].to_numpy().view(np.uint64), one["count"].to_numpy()
-        order = np.argsort(word)
-        word, count = word[order], count[order]
-        p1 = (count + 1) / z
-        more = counts.filter((F.col("n") > 1) & (F.col("count") >= least)).select("n", "a", "b", "c", "count").toArrow()
-        n, times = more["n"].to_numpy(), more["count"].to_numpy().astype(float)
-        own = [_place(word, more[x].to_numpy().view(np.uint64)) for x in "abc"]
-        two, three = (n == 2) & (own[0] >= 0) & (own[1] >= 0), (n == 3) & (np.min(own, axis=0) >= 0)
-        a2, b2, c2 = own[0][two].astype(np.int64), own[1][two].astype(np.int64), times[two]
-        pair = a2 << 32 | b2
-        order = np.argsort(pair)
-        pair, a2, b2, c2 = pair[order], a2[order], b2[order], c2[order]
-        a3, b3, w3, c3 = (x[three].astype(np.int64) for x in (*own, times))
-        in_pair = _place(pair, a3 << 32 | b3)
-        a3, b3, w3, c3, in_pair = (x[in_pair >= 0] for x in (a3, b3, w3, c3, in_pair))
-
-        before = np.unique(a2)
-        state_of = np.zeros(len(word) + 1, np.int64)
-        state_of[before] = 1 + np.arange(len(before))
-        contexts = np.unique(in_pair)
-        pair_state = np.zeros(len(pair), np.int64)
-        pair_state[contexts] = 1 + len(before) + np.arange(len(contexts))
-        states = 1 + len(before) + len(contexts)
-        fail, backoff = np.zeros(states, np.int64), np.zeros(states)
-        fail[pair_state[contexts]] = state_of[b2[contexts]]
-
-        p2 = np.maximum(c2 - DISCOUNT, 1e-3) / count[a2]
-        s2 = state_of[a2]
-        backoff[: 1 + len(before)] = _left(s2, p2, p1[b2], 1 + len(before))
-        below = _place(pair, b3 << 32 | w3)
-        lower = np.where(below >= 0, p2[below] if len(p2) else 0.0, backoff[state_of[b3]] * p1[w3])
-        s3 = pair_state[in_pair]
-        total = np.maximum(np.bincount(s3, c3, states)[s3], c2[in_pair])
-        p3 = np.maximum(c3 - DISCOUNT, 1e-3) / total
-        backoff[1 + len(before) :] = _left(s3, p3, lower, states)[1 + len(before) :]
-
-        to2 = np.where(pair_state > 0, pair_state, state_of[b2])
-        to3 = np.where((below >= 0) & (pair_state[below] > 0), pair_state[below], state_of[w3]) if len(pair) else state_of[w3]
-        arc = np.concatenate([s2 << 32 | b2, s3 << 32 | w3])
+    def of(cls, runs: Runs, counts: list[np.ndarray], left: list[np.ndarray], z: int) -> Automaton:
+        """The states and arcs that a chunk's texts can reach."""
+        one, two = runs.asked(counts)
+        three = counts[2] >= LEAST
+        state_of, pair_state = np.zeros(len(one), np.int64), np.zeros(len(two), np.int64)
+        state_of[one] = 1 + np.arange(one.sum())
+        pair_state[two] = 1 + one.sum() + np.arange(two.sum())
+        fail = np.concatenate([np.zeros(1 + one.sum(), np.int64), state_of[runs.b[two]]])
+        p2 = (counts[1][two] - DISCOUNT) / counts[0][runs.a[two]]
+        context, below = runs.context[three], runs.below[three]
+        p3 = (counts[2][three] - DISCOUNT) / counts[1][context]
+        arc = np.concatenate([state_of[runs.a[two]] << 32 | runs.b[two], pair_state[context] << 32 | runs.c[three]])
         order = np.argsort(arc)
-        weight = np.log10(np.concatenate([p2, p3]))[order]
-        return cls(word, np.append(np.log10(p1), 0.0), state_of, arc[order], weight, np.concatenate([to2, to3])[order], fail, np.log10(backoff), np.log10(z), n_tokens)
+        weight, target = np.log10(np.concatenate([p2, p3])), np.concatenate([pair_state[two], pair_state[below]])
+        return cls(runs.words, np.log10((counts[0] + 1) / z), state_of, arc[order], weight[order], target[order], fail, np.concatenate([[0.0], *left]))
 
     def read(self, token: np.ndarray, of_text: np.ndarray) -> np.ndarray:
-        """Log10 probabilities of texts of word numbers, without the arcs that the automaton doesn't hold."""
+        """Log10 probabilities of texts of word numbers."""
         size = np.diff(of_text)
         order = np.argsort(-size, kind="stable")
         at, size = of_text[:-1][order], size[order]
@@ -212,68 +307,42 @@ def _place(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(sorted_[at] == x, at, -1)
 
 
-def _left(state: np.ndarray, own: np.ndarray, lower: np.ndarray, states: int) -> np.ndarray:
-    """Backoff weight of each state: the probability that its arcs leave over that which they cover below."""
-    return np.maximum(1 - np.bincount(state, own, states), 1e-6) / np.maximum(1 - np.bincount(state, lower, states), 1e-6)
-
-
-def _score(batches, model):
-    """Per text what the automaton knows, and its rarer words with their numbers."""
-    auto: Automaton = model.value
-    task, number = TaskContext.get().partitionId() << 33, 0
-    for batch in batches:
-        for first, end, data, offsets in text_pieces(batch.column(2), PIECE_BYTES):
-            token, of_text = _tokens(split_words(data, offsets))
-            one, back = np.unique(token, return_inverse=True)
-            place = _place(auto.word, one)
-            word = np.where(place >= 0, place, len(auto.word))[back]
-            rare = word == len(auto.word)
-            text = np.repeat(np.arange(end - first), np.diff(of_text))
-            base = np.bincount(text, auto.known[word], end - first)
-            score = auto.read(word, of_text)
-            rows = text[rare]
-            hashes = token[rare]
-            order = np.lexsort((hashes, rows))
-            rows, hashes = rows[order], hashes[order]
-            new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])])) if len(rows) else np.zeros(0, np.int64)
-            times = np.diff(np.append(new, len(rows)))
-            ends = np.concatenate([[0], np.cumsum(np.bincount(rows[new], minlength=end - first))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(task + number + np.arange(end - first)), batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array(np.diff(of_text)),
-                    pa.array(np.bincount(text[~rare], minlength=end - first)), pa.array(base), pa.array(score),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[new].view(np.int64))), pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int32))),
-                ],
-                ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "words", "times"],
-            )
-            number += end - first
-
-
-def train(texts: DataFrame) -> tuple[DataFrame, Automaton]:
-    """The table of exact counts and the automaton of the texts in column ``text``."""
-    found = map_batches(texts.select("text"), partial(_count, share=STATE_SHARE), "n tinyint, a bigint, b bigint, c bigint, count bigint")
-    counts = written(found.groupBy("n", "a", "b", "c").agg(F.sum("count").alias("count")).filter((F.col("n") == 1) | (F.col("count") > 1)), "counts")
-    size = counts.filter("n = 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("words")).first()
-    return counts, Automaton.learn(counts, size["tokens"], size["words"])
+def _score(chunk: pa.Table, replies: pa.Table, z: int) -> pa.Table:
+    runs = Runs(chunk)
+    counts = [x >> 1 for x in _gather(replies, 1, _wide)]
+    asked = runs.asked(counts)
+    left = _gather(replies, 2, lambda raw, n: np.frombuffer(raw)) if any(x.any() for x in asked) else [np.zeros(0)] * 2
+    auto = Automaton.of(runs, counts, left, z)
+    n = len(runs.ids)
+    text = np.repeat(np.arange(n), np.diff(runs.of_text))
+    known = np.bincount(text, counts[0][runs.token] > 0, n).astype(np.int64)
+    return pa.table(
+        {
+            "id": runs.ids, "held_out": runs.folds, "n_tokens": pa.array(np.diff(runs.of_text)), "n_known": pa.array(known),
+            "base_score": pa.array(np.bincount(text, auto.known[runs.token], n)), "score": pa.array(auto.read(runs.token, runs.of_text)),
+        }
+    )
 
 
 def score(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's (id, held_out, n_tokens, n_known, train_tokens, base_score, score); learns from rows where ``held_out`` is false."""
-    spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    counts, auto = train(own.filter(~F.col("held_out")))
-    model = spark.sparkContext.broadcast(auto)
     kind = dict(own.dtypes)["id"]
-    schema = f"row bigint, id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, words array<bigint>, times array<int>"
-    read = written(map_batches(own, partial(_score, model=model), schema), "read")
-    rare = read.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    vocabulary = counts.filter("n = 1").select(F.col("a").alias("word"), "count")
-    weighed = rare.join(vocabulary.hint("merge"), "word", "left").select("row", "times", F.coalesce("count", F.lit(0)).alias("count"))
-    gain = F.sum(F.col("times") * (F.log10(F.col("count") + F.lit(1)) - F.lit(float(auto.log_z))))
-    sums = weighed.groupBy("row").agg(gain.alias("gain"), F.sum(F.when(F.col("count") > 0, F.col("times")).otherwise(0)).alias("more"))
-    out = read.drop("words", "times").join(sums.hint("merge"), "row", "left")
-    plus = lambda x, y: (F.col(x) + F.coalesce(F.col(y), F.lit(0))).alias(x)
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", plus("n_known", "more"), F.lit(auto.n_tokens).cast("bigint").alias("train_tokens"), plus("base_score", "gain"), plus("score", "gain"))
+    schema = f"chunk bigint, ids array<{kind}>, folds array<boolean>, n_tokens bigint, n_train bigint, words binary, token binary, of_text binary"
+    chunks = written(map_batches(own, partial(_chunks, size=CHUNK), schema), "chunks")
+    size = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n_train"), F.lit(0)).alias("train")).first()
+    buckets = min(1 + size["tokens"] // BUCKET, (1 << 24) - 1)
+    reply = "chunk bigint, bucket bigint, kind tinyint, sizes array<int>, value binary, words bigint"
+    sent = map_batches(chunks, partial(_send, buckets=buckets), "bucket bigint, chunk bigint, sizes array<int>, keys binary, counts binary")
+    counts = written(sent.groupBy("bucket").applyInArrow(_count, reply), "counts")
+    release(docs.sparkSession)
+    z = size["train"] + counts.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0] + 1
+    both = lambda replies: chunks.groupBy("chunk").cogroup(replies.groupBy("chunk"))
+    sums = both(counts).applyInArrow(lambda chunk, replies: _sums(chunk, replies, buckets, z), "bucket bigint, chunk bigint, sizes array<int>, keys binary, own binary, low binary")
+    left = written(sums.groupBy("bucket").applyInArrow(_left, reply), "left")
+    release(docs.sparkSession)
+    out = both(counts.unionByName(left)).applyInArrow(lambda chunk, replies: _score(chunk, replies, z), f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(size["train"]).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
