@@ -257,6 +257,37 @@ def test_main_text_of_pages(spark, data):
         assert r["text"] == "\n".join(x for x in lines if x) and r["n_chars"] == len(r["text"])
 
 
+LONG = "a sentence of the story that goes on for a while, " * 8
+
+
+@pytest.mark.parametrize(
+    "page, has, lacks",
+    [
+        # the text is in a plain element beside a marked teaser
+        (f"<body><article><a href='/x'>Read next: other</a></article><div><p>{LONG}<p>{LONG}<p>{LONG}</div></body>", ["a sentence of the story"], ["Read next"]),
+        # links and bare tags within an article, without a name that says so
+        (f"<body><article><h1>Title</h1><p>{LONG}<p>{LONG}<p>{LONG}<div class='x1'><a href='/a'>First topic</a> <a href='/b'>Second topic</a></div></article></body>", ["Title", "a sentence of the story"], ["topic"]),
+        (f"<body><article><p>{LONG}<p>{LONG}" + "<div><i></i><b></b><i></i><b></b><span>|</span></div>" * 6 + "</article></body>", ["a sentence of the story"], ["|\n|"]),
+        # no marks at all, and boilerplate without a listed name
+        ("<body>" + "<div><span><a href='/'>Go</a></span> <span>x</span></div>" * 6 + f"<div><p>{LONG}<p>{LONG}<p>{LONG}</div></body>", ["a sentence of the story"], ["Go x\nGo x\nGo x\nGo x"]),
+        # a head that isn't closed
+        (f"<html><head><title>T</title><body><div><p>{LONG}</div></body></html>", ["a sentence of the story"], []),
+    ],
+)
+def test_density_decides(page, has, lacks):
+    text = main_text.extract(page)[0]
+    assert all(x in text for x in has) and not any(x in text for x in lacks), text
+
+
+def test_pages_without_marks(spark, data):
+    """The given pages with their article's tags taken for plain ones: most of the text is found by its density."""
+    rows = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/pages.parquet").collect()
+    full = [main_text.extract(r["html"])[0] for r in rows]
+    found = [main_text.extract(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", r["html"]))[0] for r in rows]
+    same = sum(len(x) for a, b in zip(full, found) for x in (Counter(a.split("\n")) & Counter(b.split("\n"))).elements())
+    assert same > 0.85 * sum(map(len, full)) and same > 0.9 * sum(map(len, found)) - sum(b.count("\n") for b in found)
+
+
 def plain_spans(t):
     out = [(m.start(), 0, m.end()) for m in pii.EMAIL.finditer(t)]
     out += [(m.start(), 1, m.end()) for m in pii.IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]

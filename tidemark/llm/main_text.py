@@ -8,12 +8,14 @@ ratio less its links.  Scores are smoothed along the page with a Gaussian
 kernel and parted by a threshold into content and the rest; neighbouring
 content lines make the regions that are returned.
 
-What a page says about its own parts goes before density: text in elements or
+What a page says about its own parts corrects the scores: text in elements or
 roles that hold no article (scripts, styles, menus, headers of pages, footers,
 sidebars, forms and the like, or class and id names that say advert, notice,
-comment or share) is no candidate, and where a page marks its article the
-lines of the article are content whatever their density.  An article's own
-header is content.
+comment or share) scores 0 and is no candidate, and a line in what a page marks
+as its article has a prior: the whole threshold if it has a character of text to
+every two tags, as a paragraph of one letter has, and in proportion below that.  So an article's short lines are
+content, lines that are mostly tags or links are not for standing in one, and
+dense text outside of it is content too.  An article's own header is content.
 
 Defined cases: a null or empty page, or one without content, has an empty
 text; pages of any length are read whole; broken markup is read as the parser
@@ -85,6 +87,8 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.line[2] += 1
+        if tag == "body":
+            self.end("head")
         if tag in BLOCK:
             if tag in ENDS_P:
                 self.end("p", within=("article", "div", "section", "td", "th", "li", "body", "main", "blockquote"))
@@ -158,14 +162,12 @@ def extract(html: str | None) -> tuple[str, int]:
     lines = [x for x in lines if x[0]]
     if not lines:
         return "", 0
-    marked = any(article and not apart for *_, article, apart in lines)
-    if marked:
-        content = np.array([article and not apart for *_, article, apart in lines])
-    else:
-        score = np.array([0.0 if apart else max(0, len(text) - links) / max(1, tags) for text, links, tags, _, apart in lines])
-        soft = smooth(score)
-        content = (soft > SHARE * soft.std()) & np.array([not x[4] for x in lines])
-        content &= np.array([2 * links <= len(text) for text, links, *_ in lines])
+    score = np.array([0.0 if apart else max(0, len(text) - links) / max(1, tags) for text, links, tags, _, apart in lines])
+    soft = smooth(score)
+    least = SHARE * soft.std()
+    prior = least * np.minimum(2 * score, 1) * np.array([x[3] for x in lines])
+    content = (soft + prior > least) & np.array([not x[4] for x in lines])
+    content &= np.array([2 * links <= len(text) for text, links, *_ in lines])
     regions = int((content[1:] & ~content[:-1]).sum() + content[0])
     return "\n".join(x[0] for x, use in zip(lines, content, strict=True) if use), regions
 
