@@ -187,3 +187,25 @@ def test_depth(panel):
 def test_close_matrix(spark):
     rows = {(r["instrument_id"], str(r["vt"])): r["close"] for r in fixture.close_matrix(spark).collect()}
     assert len(rows) == 180 and rows["AAA", "2024-01-02"] == pytest.approx(80.33) and rows["DDD", "2024-01-03"] == pytest.approx(101.455)
+
+
+@pytest.mark.parametrize("name", ["l2_candidate_rank_ic", "l3_factor_grid"])
+def test_whole_grid_is_scored(spark, data, monkeypatch, name):
+    from tidemark.operators import search
+    from tidemark.plans import registry
+
+    seen = {}
+
+    class Seen(Exception):
+        pass
+
+    def values(bars, factors, *more):
+        seen.update(factors)
+        raise Seen
+
+    monkeypatch.setattr(search, "candidate_values", values)
+    with pytest.raises(Seen):
+        registry.queries()[name](spark, data)
+    fields = ("close", "volume", "open", "high", "low")
+    assert set(seen) == {f"{op}_{f}_{w}" for f in fields for op in ("mean", "std", "sum") for w in range(2, 11)} | {f"{op}_{f}_lag{k}" for f in fields for op in ("add", "sub", "mul") for k in range(1, 6)}
+    assert len(seen) == 210

@@ -339,8 +339,8 @@ def l1_score_candidates(spark, sf):
 
 @query()
 def l2_candidate_rank_ic(spark, sf):
-    """Rank IC of every candidate of the grid at every fold, with its p-value and the discoveries over all of them."""
-    facts, grid = _facts(spark, sf), S.factor_grid(fields=("close", "volume"), windows=(2, 5), lags=(1, 2))
+    """Rank IC of every candidate of the full grid at every fold, with its p-value and the discoveries over all of them."""
+    facts, grid = _facts(spark, sf), S.factor_grid()
     values = S.candidate_values(facts, grid, ("fold_id", "instrument_id"))
     labels = E.fold_labels(V.bars(spark, sf).withColumn("revision", F.lit(0)), V.folds(spark, sf), V.calendar(spark, sf))
     rows = values.filter("status = 'ok'").withColumnRenamed("value", "signal").join(labels, ["fold_id", "instrument_id"])
@@ -351,7 +351,7 @@ def l2_candidate_rank_ic(spark, sf):
 @query()
 def l3_factor_grid(spark, sf):
     """Every candidate of the full grid over the bars: score and validity."""
-    return S.score_candidates(S.candidate_values(V.bars(spark, sf), S.factor_grid(fields=("close", "volume"), windows=range(2, 6), lags=(1, 2)))).withColumn("score", F.round("score", 6))
+    return S.score_candidates(S.candidate_values(V.bars(spark, sf), S.factor_grid())).withColumn("score", F.round("score", 6))
 
 
 _RHO = "SELECT vt, n, rank_ic FROM (" + _ORDINAL.format(by="vt", rows=_CLOSE_ROWS) + ")"
