@@ -1,7 +1,9 @@
 """Scores, packing, counts, extraction and personal data against plain versions and held-out labels."""
 
+import glob
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -202,6 +204,23 @@ def test_token_counts(spark, data, docs):
     assert {r["doc_id"]: r["n_tokens"] for r in found} == {i: len(x) for i, x in zip(docs, ids_of(docs.values()))}
 
 
+def test_file_numbers_beside_uuids(spark, monkeypatch, tmp_path):
+    """Two files of one task, whose UUID holds what looks like a file's number."""
+    monkeypatch.setattr(token_counts, "FILE_ROWS", 2)
+    spark.createDataFrame([(k, "word " * k) for k in range(1, 6)], "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    write = token_counts.write_token_files
+
+    def renamed(docs, path, *more):
+        write(docs, path, *more)
+        for file in glob.glob(f"{path}/part-*"):
+            os.rename(file, re.sub(r"-.{36}-c", "-0a1b2c3d-c123-4c56-8d00-0123456789ab-c", file))
+
+    monkeypatch.setattr(token_counts, "write_token_files", renamed)
+    found = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs).collect()}
+    assert found == {k: len(x) for k, x in zip(range(1, 6), ids_of(["word " * k for k in range(1, 6)]))}
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
 def test_scan_over_block_edges(spark, tmp_path, block):
     lists = [[5, 6, 7], [], [9] * 10, [1], [], [2, 3]]

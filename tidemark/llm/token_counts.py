@@ -22,7 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import map_batches, new_path
@@ -82,6 +82,12 @@ def scan(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
     return ended.unionByName(rest.filter("n_tokens > 0"))
 
 
+def _place_of(file: Column) -> list[Column]:
+    """The task and its file's number by a path that ends in part-<task>-<uuid>-c<number>.<ending>; a UUID may hold -c and digits too."""
+    name = F.element_at(F.split(file, "/"), -1)
+    return [F.regexp_extract(name, pattern, 1).cast("bigint") for pattern in (r"^part-(\d+)", r"-c(\d+)\.[^-]*$")]
+
+
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens) of every row of ``docs``, a table that is read from files: written as token files, then scanned.
 
@@ -91,8 +97,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, block: int = BL
     """
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "tokens")
     write_token_files(docs, path, vocabulary, text_col)
-    name = F.element_at(F.split("file", "/"), -1)
-    part, number = (F.regexp_extract(name, pattern, 1).cast("bigint") for pattern in (r"part-(\d+)", r"-c(\d+)"))
+    part, number = _place_of(F.col("file"))
     counts = scan(spark, path, block).select(part.alias("part"), (number * FILE_ROWS + F.col("ordinal")).alias("row"), "n_tokens")
     at = F.monotonically_increasing_id()
     ids = docs.select(F.col(id_col).alias("id"), at.alias("at")).select("id", F.shiftrightunsigned("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
