@@ -112,6 +112,12 @@ def h1_union(spark, sf):
     return a.unionByName(V.table(spark, sf, "orders").filter("o_totalprice > 490000").select(F.col("o_orderpriority").alias("x")))
 
 
+@query("SELECT event_type AS x FROM events UNION ALL SELECT o_orderpriority FROM orders")
+def h1_union_whole(spark, sf):
+    a = V.table(spark, sf, "events").select(F.col("event_type").alias("x"))
+    return a.unionByName(V.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("x")))
+
+
 @query("SELECT user_id AS instrument FROM events INTERSECT SELECT l_suppkey FROM lineitem")
 def h2_intersection(spark, sf):
     return V.table(spark, sf, "events").select(F.col("user_id").alias("instrument")).intersect(V.table(spark, sf, "lineitem").select("l_suppkey"))
@@ -152,6 +158,13 @@ def c9_d14_completeness(spark, sf):
     return G.completeness(expected, latest, ["work_order"], ["campaign"])
 
 
+@query(sql(f"SELECT campaign, count(*) AS expected, count(*) FILTER (state IN ('completed', 'failed')) AS terminal, count(*) FILTER (state IN ('completed', 'failed')) = count(*) AS complete FROM (SELECT c_custkey AS work_order, c_mktsegment AS campaign FROM customer) e LEFT JOIN {_LATEST} USING (work_order) GROUP BY campaign", "attempts"))
+def c9_d14_completeness_whole(spark, sf):
+    expected = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("work_order"), F.col("c_mktsegment").alias("campaign"))
+    latest = G.latest_state(V.attempts(spark, sf), ["work_order"], F.desc("retry_seq"), F.desc("seq"))
+    return G.completeness(expected, latest, ["work_order"], ["campaign"])
+
+
 @query("SELECT o_custkey AS epoch, o_orderkey, coalesce(n, 0) AS registered FROM orders LEFT JOIN (SELECT o_custkey AS c, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON c = o_custkey")
 def c13_seal_registry(spark, sf):
     o = V.table(spark, sf, "orders")
@@ -165,6 +178,12 @@ def d18_determinism(spark, sf):
     return K.unstable_keys(runs, ["key"], "digest", 0).filter("n_digests > 1").select("key", "n_digests")
 
 
+@query("SELECT l_suppkey AS key, count(DISTINCT sha256(l_returnflag)) AS n_digests FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_returnflag) > 1")
+def d18_determinism_whole(spark, sf):
+    runs = V.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("key"), F.sha2("l_returnflag", 256).alias("digest"))
+    return K.unstable_keys(runs, ["key"], "digest", 0).filter("n_digests > 1").select("key", "n_digests")
+
+
 @query()
 def d19_complete_only(spark, sf):
     """Per campaign: authoritative and duplicate receipts, and a fingerprint only where every attempt has ended."""
