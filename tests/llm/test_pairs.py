@@ -29,7 +29,7 @@ def plain_components(rows, n, num, den):
             x = root[x]
         return x
 
-    met = {}
+    met, links = {}, [0] * len(rows)
     for k, s in enumerate(sets):
         for g in s:
             met.setdefault(g, []).append(k)
@@ -38,11 +38,13 @@ def plain_components(rows, n, num, den):
             if den * both >= num * (len(s) + len(sets[j]) - both):
                 a, b = find(k), find(j)
                 root[max(a, b)] = min(a, b)
+                links[k] += 1
+                links[j] += 1
     least = {}
     for k, (i, _) in enumerate(rows):
         if i is not None:
             least[find(k)] = min(i, least.get(find(k), i))
-    return sorted(((i, len(sets[k]), least.get(find(k)) if sets[k] else i) for k, (i, _) in enumerate(rows)), key=str)
+    return sorted(((i, len(sets[k]), least.get(find(k)) if sets[k] else i, links[k]) for k, (i, _) in enumerate(rows)), key=str)
 
 
 def near_copies(seed, base, copies, words=120):
@@ -84,27 +86,30 @@ def test_near_copies(make, n, num):
 def test_regions_over_their_bound(make, monkeypatch, bound):
     """Regions, cells and Voronoi cells that are too large for a task give the same links."""
     monkeypatch.setattr(ngram_join, "REGION_GRAMS", bound)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 3)
     rows = near_copies(9, 3, 40, 60)
     assert sorted(map(tuple, ngram_join.link_components(make(rows), 3, 80, 100).collect()), key=str) == plain_components(rows, 3, 80, 100)
 
 
-def test_region_recursion_in_a_task():
+@pytest.mark.parametrize("core", [1, 8, 48])
+def test_region_recursion_in_a_task(monkeypatch, core):
     import numpy as np
 
+    monkeypatch.setattr(ngram_join, "CORE", core)
     rows = near_copies(4, 6, 60, 150)
     sets = [frozenset(grams(t, 3)) for _, t in rows]
     number = {g: k for k, g in enumerate({g for s in sets for g in s})}
-    region = ngram_join.Region(list(range(len(rows))), [np.array(sorted(number[g] for g in s), np.uint64) for s in sets], 85, 100)
-    region.join()
-    roots = region.roots(np.arange(len(rows)))
-    plain = {i: c for i, _, c in plain_components(rows, 3, 85, 100)}
+    region = ngram_join.Region(list(range(len(rows))), [1] * len(rows), [0] * len(rows), [np.array(sorted(number[g] for g in s), np.uint64) for s in sets], 85, 100).run()
+    roots = np.array([region.find(k) for k in range(len(rows))])
+    plain = {i: c for i, _, c, _ in plain_components(rows, 3, 85, 100)}
+    assert region.links.tolist() == [n for *_, n in sorted(plain_components(rows, 3, 85, 100))]
     assert {frozenset(np.flatnonzero(roots == r).tolist()) for r in set(roots.tolist())} == {frozenset(i for i in plain if plain[i] == c) for c in set(plain.values())}
 
 
 def test_odd_rows(make, odd_rows):
     docs = make(odd_rows)
-    found = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.link_components(docs, 3, 90, 100).collect()}
-    assert {(1, 0, 1), (2, 0, 2), (3, 0, 3)} <= found
+    found = {tuple(r) for r in ngram_join.link_components(docs, 3, 90, 100).collect()}
+    assert {(1, 0, 1, 0), (2, 0, 2, 0), (3, 0, 3, 0)} <= found
     assert sorted(found, key=str) == sorted(set(plain_components(odd_rows, 3, 90, 100)), key=str)
     dedup = {r["doc_id"]: r for r in exact_dedup.dedup(docs).collect()}
     assert dedup[1]["keep_id"] == 3 and dedup[1]["group_size"] == 3 and dedup[6]["group_size"] == 2 and dedup[5]["kept"]
@@ -125,9 +130,48 @@ def test_empty_tables(make, spark):
 def test_index_over_batches(spark, make):
     index = exact_dedup.DigestIndex(spark, buckets=4)
     exact_dedup.dedup(make([(5, "a b"), (6, "c")]), index).count()
+    assert exact_dedup.DigestIndex(spark, index.name).rows().count() == 2
     later = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.dedup(make([(1, "ab"), (2, "d"), (3, "d ")]), index).collect()}
     assert later == {1: (5, False), 2: (3, False), 3: (3, True)}
     assert index.rows().count() == 3
+    more = index.rebucket(7)
+    assert {bytes(r["digest"]) for r in more.rows().collect()} == {bytes(r["digest"]) for r in index.rows().collect()}
+    exact_dedup.dedup(make([(9, "d"), (10, "e")]), more).count()
+    assert more.rows().count() == 4
+
+
+def test_one_off_index_goes(spark, make):
+    before = {t.name for d in spark.catalog.listDatabases() for t in spark.catalog.listTables(d.name) if "digest_index" in t.name}
+    assert exact_dedup.dedup(make([(1, "a"), (2, "a ")])).count() == 2
+    assert {t.name for d in spark.catalog.listDatabases() for t in spark.catalog.listTables(d.name) if "digest_index" in t.name} == before
+
+
+def test_rows_are_told_apart_by_text(make):
+    """Clean rows that share an id, or have none, with a rejected one stay."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (None, a + " z"), (None, b), (2, a + " y"), (2, c)]
+    kept = {(r["doc_id"], r["text"]) for r in ngram_join.keep_one(make(rows), 5, 80, 100).collect()}
+    assert kept == {(1, a), (None, b), (2, c)}
+
+
+def test_pipeline_of_odd_rows(spark, data, odd_rows, tmp_path):
+    """Nulls, empties, repeats, a very long text and clashing columns through all stages, and an empty table."""
+    import shutil
+
+    import corpus_pipeline
+
+    for name, rows in (("odd", odd_rows), ("none", [])):
+        folder = tmp_path / name
+        folder.mkdir()
+        for t in ("labels", "benchmark"):
+            shutil.copy(f"{data}/{t}.parquet", folder / f"{t}.parquet")
+        schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, id bigint, node bigint, cells string"
+        spark.createDataFrame([(i, t, "en", "s", 1, 7, 7, "c") for i, t in rows], schema).write.parquet(str(folder / "documents.parquet"))
+        found = corpus_pipeline.run(spark, str(folder)).collect()
+        if not rows:
+            assert found == []
+        else:
+            assert {r["doc_id"] for r in found} == {3, None, 5, 7, 9, 10}  # one of the empty texts, of the equal ones and of the two long ones
 
 
 def test_passages(make, spark, monkeypatch):
@@ -174,7 +218,7 @@ def test_pipeline(spark, data):
             bare = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t)
             assert len({bare(t) for t in before.values()}) == len(rows) == len({bare(r["text"]) for r in rows})
         if name == "ngram_jaccard":
-            assert sorted(r["doc_id"] for r in rows) == sorted({c for _, _, c in plain_components(list(before.items()), 5, 80, 100)})
+            assert sorted(r["doc_id"] for r in rows) == sorted({c for _, _, c, _ in plain_components(list(before.items()), 5, 80, 100)})
         if name == "decontaminate":
             items = [grams(r["text"], 5) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
             assert {r["doc_id"] for r in rows} == {d for d, t in before.items() if not any(g and 100 * len(g & grams(t, 5)) >= 80 * len(g) for g in items)}

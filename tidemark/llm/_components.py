@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import Scratch
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b); root is the smallest node that it reaches.
+def components(edges: DataFrame, into: Scratch, name: str, max_rounds: int = 60) -> DataFrame:
+    """A table (node, root) in ``into`` for every node of ``edges`` (a, b); root is the smallest node that it reaches.
 
     Each round links every node to the smallest node next to it and then the
     larger neighbours to that one (large-star, small-star), which takes a
@@ -18,16 +18,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     joins that adaptive execution can split; the minima are written out for
     that, as a join on top of its own aggregate can't be split.
     """
-    now = written(_star(edges.select("a", "b")), "edges")
+    scratch = Scratch(edges.sparkSession)
+    now = scratch.write(_star(edges.select("a", "b")), "edges0")
     state = None
-    for _ in range(max_rounds):
+    for k in range(1, max_rounds + 1):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        least = scratch.write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.filter("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(_star(large), "edges")
-        least = written(now.groupBy("a").agg(F.min("b").alias("m")), "least")
+        now = scratch.write(_star(large), "large")
+        scratch.drop("least", f"edges{k - 1}")
+        least = scratch.write(now.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = now.join(least.hint("merge"), "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        now = written(_star(small), "edges")
+        now = scratch.write(_star(small), f"edges{k}")
+        scratch.drop("least", "large")
         sums = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sums == state:
             break
@@ -36,7 +39,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     found = now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     roots = found.select(F.col("root").alias("node"), "root").distinct()
-    return found.unionByName(roots)
+    out = into.write(found.unionByName(roots), name)
+    scratch.drop()
+    return out
 
 
 def _star(edges: DataFrame) -> DataFrame:
