@@ -31,7 +31,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import whole_text
+from ._shared import keyed, whole_text, without, written
 
 #: Hashes up to which the sketches are a literal of the scan, and shingles up to which the items are broadcast.
 INLINE, SMALL = 20_000, 200_000
@@ -69,7 +69,7 @@ def item_shingles(items: DataFrame, n: int, num: int, den: int, id_col: str = "i
 
 def find(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, n_item, n_shared, containment) of every document that holds a share num / den of an item."""
-    known = item_shingles(items, n, num, den).cache()
+    known = written(item_shingles(items, n, num, den), "items")
     sketch = known.filter("sketch").select("part", "least", F.xxhash64(F.split("shingle", " ")).alias("hash")).distinct()
     size = known.agg(F.count(F.lit(1)).alias("all"), F.count_if("sketch").alias("sketched")).first()
 
@@ -94,9 +94,9 @@ def find(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80, den: int
 
 
 def remove(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id holds no item, with all their columns."""
-    found = find(docs, items, n, num, den, id_col, text_col).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(found.hint("merge"), docs[id_col].eqNullSafe(found["_id"]), "left_anti")
+    """The rows of ``docs`` that hold no item, with all their columns; rows are told apart by id and text."""
+    found = find(keyed(docs, id_col, text_col), items, n, num, den, "row_key", "text")
+    return without(docs, found.select("row_key.id", "row_key.mark"), id_col, text_col)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

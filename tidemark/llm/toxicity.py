@@ -24,6 +24,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,6 +144,20 @@ def telling(clue: np.ndarray, n: np.ndarray, toxic: np.ndarray, rate: float) ->
     return np.sort(clue[(share > rate) & (bound >= np.log(len(clue) + 1))])
 
 
+def slope(weight: np.ndarray, bias: float, label: np.ndarray, row: np.ndarray, text_of: np.ndarray, clue: np.ndarray) -> tuple[float, np.ndarray]:
+    """The mean loss of the noisy-or over documents, and its gradient by the weights and the bias.
+
+    ``row`` and ``clue`` are pairs of a sentence and a clue in it, ``text_of`` the text of each sentence.
+    """
+    n, total = len(label), len(text_of)
+    p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, weight[clue], total), -30, 30)))
+    none = np.exp(np.bincount(text_of, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
+    any_ = np.maximum(1 - none, 1e-6)
+    loss = -np.where(label == 1, np.log(any_), np.log(np.maximum(none, 1e-300))).mean()
+    down = p * np.where(label == 1, -none / any_, 1.0)[text_of]
+    return float(loss), np.append(np.bincount(clue, down[row], len(weight)), down.sum()) / n
+
+
 def learn(label: np.ndarray, n_sentences: np.ndarray, text: np.ndarray, sentence: np.ndarray, clue: np.ndarray, n_clues: int) -> tuple[np.ndarray, float]:
     """(weights, bias) from rows of (text, sentence, clue); ``label`` and ``n_sentences`` are by text.
 
@@ -152,15 +167,13 @@ def learn(label: np.ndarray, n_sentences: np.ndarray, text: np.ndarray, sentence
     if not n_clues:
         return np.zeros(0), -np.inf
     begin = np.concatenate([[0], np.cumsum(n_sentences)])
-    row, total = begin[text] + sentence, int(begin[-1])
+    row = begin[text] + sentence
     text_of = np.repeat(np.arange(len(label)), n_sentences)
-    weight, bias, positive, n = np.zeros(n_clues), -6.0, label == 1, len(label)
+    weight, bias = np.zeros(n_clues), -6.0
     moment, square = np.zeros(n_clues + 1), np.zeros(n_clues + 1)
     for step in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, weight[clue], total), -30, 30)))
-        none = np.exp(np.bincount(text_of, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
-        down = p * np.where(positive, -none / np.maximum(1 - none, 1e-6), 1.0)[text_of]
-        gradient = np.append(np.bincount(clue, down[row], n_clues) / n + 2e-5 * weight, down.sum() / n)
+        gradient = slope(weight, bias, label, row, text_of, clue)[1]
+        gradient[:-1] += 2e-5 * weight
         moment, square = 0.9 * moment + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         change = 0.1 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
         weight -= change[:-1]
@@ -222,16 +235,28 @@ def score(docs: DataFrame, labels: DataFrame, use: Column | None = None, most_ro
     The worst sentence is given by code points of the text, its end exclusive;
     -1 where there is none.  Learns ``labels.toxic`` from rows where ``use`` holds.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, labels, "toxic", F.lit(True) if use is None else use, most_rows, id_col, text_col)))
-    kind = dict(docs.dtypes)[id_col]
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(own, partial(_score, model=model), f"id {kind}, score double, n_sentences bigint, worst_score double, worst_start bigint, worst_end bigint").withColumnRenamed("id", id_col)
+    model = train(sample(docs, labels, "toxic", F.lit(True) if use is None else use, most_rows, id_col, text_col))
+    return _apply(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), model).withColumnRenamed("id", id_col)
+
+
+def _apply(texts: DataFrame, model) -> DataFrame:
+    held = texts.sparkSession.sparkContext.broadcast(model)
+    return map_batches(texts, partial(_score, model=held), f"id {dict(texts.dtypes)['id']}, score double, n_sentences bigint, worst_score double, worst_start bigint, worst_end bigint")
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = REJECT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that have no id with a score of ``threshold`` or more, with all their columns."""
-    bad = score(docs, labels, None, MOST_ROWS, id_col, text_col).filter(F.col("score") >= threshold).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(bad.hint("merge"), docs[id_col].eqNullSafe(bad["_id"]), "left_anti")
+    """The rows of ``docs`` with a score under ``threshold``, with all their columns, as they pass; nothing is shuffled but the labelled sample."""
+    model = train(sample(docs, labels, "toxic", F.lit(True), MOST_ROWS, id_col, text_col))
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index(text_col)
+    return map_batches(docs, partial(_keep, model=held, text=text, threshold=threshold), docs.schema)
+
+
+def _keep(batches, model, text: int, threshold: float):
+    for batch in batches:
+        own = pa.RecordBatch.from_arrays([pa.nulls(len(batch)), batch.column(text).cast(pa.string())], ["id", "text"])
+        score = next(_score([own], model)).column(1)
+        yield batch.filter(pc.less(score, threshold))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
