@@ -12,6 +12,9 @@ like the kind.
 
 Positions are code points, ends exclusive.
 
+Every search is linear in a text's length, whatever it holds.  A word of a
+context is taken whole; a long one stands by its hash.
+
 Defined cases: a null text is an empty text and has no spans; texts of any
 length are read whole; repeated rows are read each for itself; a null id stays
 null; of overlapping finds of one kind the fixed form stays and a learned one
@@ -33,16 +36,20 @@ from ._shared import map_batches, written
 
 # The kinds in their order and the forms that find them.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 
-AROUND_AT = re.compile(r"\S*@\S*")
 DIGIT = re.compile(r"[0-9]")
 #: What may be an identifier: something at something, or a run of digits with the usual separators.
-LOOSE = re.compile(r"[^\s@,;:<>\"']+(?:@|\(at\)|\[at\])[^\s@,;:<>\"']*[^\s@,;:<>\"'.!?]|[0-9(+][0-9 ().\-]{5,}[0-9]")
-CONTEXT_CHARS = 80
+AT = re.compile(r"@|\(at\)|\[at\]")
+STOPS = frozenset("@,;:<>\"'")
+AFTER_AT = re.compile(r"[^\s@,;:<>\"']*+")
+NUMBERS = re.compile(r"[0-9(+][0-9 ().\-]*+")
+#: Characters from which a word of a context is known by its hash.
+LONG_WORD = 40
 
 #: Rounds of scoring, distinct known identifiers that a pattern needs, and its least confidence.
 ROUNDS, SUPPORT, CONFIDENCE = 3, 8, 0.9
@@ -59,23 +66,38 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``: each @ has one at most, so they are widened from there."""
+    out, last, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            out.append((start, m.end()))
+            last = m.end()
+        else:
+            last = at + 1
+        at = text.find("@", at + 1)
+    return out
+
+
 def fixed_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of every fixed form, in order."""
-    out = []
-    if "@" in text:
-        for part in AROUND_AT.finditer(text):
-            out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text, part.start(), part.end())]
+    """(start, kind, end) of every fixed form, in order, in a time that grows with the text's length."""
+    out = [(start, 0, end) for start, end in emails(text)]
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(int(x) <= 255 for x in m[0].split(".")):
+            parts = [x.lstrip("0") for x in m[0].split(".")]
+            if all(len(x) <= 3 and int(x or 0) <= 255 for x in parts):
                 out.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text):
-            digits = re.sub("[^0-9]", "", m[0])
-            if 12 <= len(digits) <= 19 and luhn(digits):
-                out.append((m.start(), 2, m.end()))
+            if m.end() - m.start() <= 2 * 19:
+                digits = m[0].replace(" ", "").replace("-", "")
+                if 12 <= len(digits) <= 19 and luhn(digits):
+                    out.append((m.start(), 2, m.end()))
         if "+" in text:
             for m in PHONE.finditer(text):
-                if 9 <= sum(map(str.isdigit, m[0])) <= 15:
+                if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
                     out.append((m.start(), 3, m.end()))
     return sorted(out)
 
@@ -88,24 +110,52 @@ def looks_like(value: str) -> list[int]:
     return [k for k, fits in ((1, value.count(".") >= 3 and digits >= 4), (2, 12 <= digits <= 19), (3, 7 <= digits <= 15)) if fits]
 
 
+def _words(text: str, at: int, n: int, back: bool) -> list[str]:
+    """The ``n`` words next before or after a place, whole, in lower case; a long one by its hash."""
+    width = 32
+    while True:
+        part = text[max(0, at - width) : at] if back else text[at : at + width]
+        words = part.split(None, n) if not back else part.rsplit(None, n)
+        whole = width >= (at if back else len(text) - at)
+        if len(words) > n or whole:
+            found = words[-n:] if back else words[:n]
+            return [w.lower() if len(w) < LONG_WORD else "#" + hashlib.sha256(w.lower().encode()).hexdigest()[:16] for w in found]
+        width *= 4
+
+
 def in_context(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span: two words before it, and one on either side."""
-    before = text[max(0, start - CONTEXT_CHARS) : start].lower().split()[-2:]
-    after = text[end : end + CONTEXT_CHARS].lower().split()[:1]
+    """The lexical patterns around a span: the two words before it, the two after it, and one on either side."""
+    before, after = _words(text, start, 2, True), _words(text, end, 2, False)
     out = ["< " + " ".join(before)] if len(before) == 2 else []
+    out += ["> " + " ".join(after)] if len(after) == 2 else []
     return out + [f"{before[-1]} _ {after[0]}"] if before and after else out
 
 
 def loose_spans(text: str, fixed: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Spans that may be identifiers and overlap no fixed form."""
-    if "@" not in text and "at" not in text and not DIGIT.search(text):
-        return []
-    out, at = [], 0
-    for m in LOOSE.finditer(text):
-        while at < len(fixed) and fixed[at][2] <= m.start():
+    """Spans that may be identifiers and overlap no fixed form nor one another."""
+    found, last = [], 0
+    for m in AT.finditer(text):
+        start = m.start()
+        while start > last and text[start - 1] not in STOPS and not text[start - 1].isspace():
+            start -= 1
+        end = AFTER_AT.match(text, m.end()).end()
+        while end > m.end() and text[end - 1] in ".!?":
+            end -= 1
+        if start < m.start() and end > m.end() and m.start() >= last:
+            found.append((start, end))
+        last = max(last, m.end())
+    if DIGIT.search(text):
+        for m in NUMBERS.finditer(text):
+            size = len(m[0].rstrip(" ().-+"))
+            if size >= 7:
+                found.append((m.start(), m.start() + size))
+    out, at, last = [], 0, 0
+    for start, end in sorted(found):
+        while at < len(fixed) and fixed[at][2] <= start:
             at += 1
-        if at == len(fixed) or fixed[at][0] >= m.end():
-            out.append(m.span())
+        if start >= last and (at == len(fixed) or fixed[at][0] >= end):
+            out.append((start, end))
+            last = end
     return out
 
 
