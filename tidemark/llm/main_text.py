@@ -11,7 +11,8 @@ content lines make the regions that are returned.
 What a page says about its own parts corrects the scores: text in elements or
 roles that hold no article (scripts, styles, menus, headers of pages, footers,
 sidebars, forms and the like, or class and id names that say advert, notice,
-comment or share) scores 0 and is no candidate, and a line in what a page marks
+comment or share) scores 0 and is no candidate (inside an article only those names
+do so that no article has for its own parts), and a line in what a page marks
 as its article has a prior: the whole threshold if it has a character of text to
 every two tags, as a paragraph of one letter has, and in proportion below that.  So an article's short lines are
 content, lines that are mostly tags or links are not for standing in one, and
@@ -27,6 +28,7 @@ read; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -49,6 +51,8 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adverts|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|copyright|disqus|discussion|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pager|pagination|popup|promo|promoted|related|replies|reply|respond|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|topbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: Of these names, those that an article's own parts may have too: a recipe's menu, a legal notice.
+OWN = re.compile(r"(?:^|[\s_-])(?:banner|discussion|menu|notice|notices|pager|related|share|sharing|social|toolbar|widget)(?:$|[\s_-])", re.I)
 WHITE = re.compile(r"\s+")
 
 #: Width of the Gaussian in lines, and the share of the scores' deviation that content exceeds.
@@ -61,6 +65,7 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, bool]] = []  # name, apart, article
+        self.count: Counter[str] = Counter()
         self.raw = self.apart = self.article = self.links = 0
         self.lines: list[list] = []
         self.fresh()
@@ -83,7 +88,8 @@ class Lines(HTMLParser):
             return True
         if re.search(r"display\s*:\s*none", own.get("style") or "", re.I):
             return True
-        return bool(NAMES.search(own.get("class") or "") or NAMES.search(own.get("id") or ""))
+        names = " ".join(own.get(x) or "" for x in ("class", "id"))
+        return bool(NAMES.search(OWN.sub(" ", names) if self.article else names))
 
     def handle_starttag(self, tag, attrs):
         self.line[2] += 1
@@ -102,6 +108,7 @@ class Lines(HTMLParser):
         apart = tag not in RAW and self.says_apart(tag, attrs)
         article = tag in ("article", "main")
         self.open.append((tag, apart, article))
+        self.count[tag] += 1
         self.raw += tag in RAW
         self.apart += apart
         self.article += article
@@ -119,11 +126,14 @@ class Lines(HTMLParser):
         self.end(tag)
 
     def end(self, tag: str, within: tuple[str, ...] = ()) -> None:
-        """End the nearest open element of that name, and what is open in it."""
+        """End the nearest open element of that name, and what is open in it; nothing, at once, if none is open."""
+        if not self.count[tag]:
+            return
         for at in range(len(self.open) - 1, -1, -1):
             name = self.open[at][0]
             if name == tag:
                 for gone, apart, article in self.open[at:]:
+                    self.count[gone] -= 1
                     self.raw -= gone in RAW
                     self.apart -= apart
                     self.article -= article
