@@ -6,9 +6,11 @@ finds those of each block of a file at once, and as documents run over the
 edges of blocks, a prefix scan over the blocks of a file (how many documents
 ended before, where the last of them ended) places every document's first part.
 
-Files are written by Spark's text writer, one document a line and the separator
-as line end, so a line's bytes are the file's bytes.  A reader takes a file as
-one value, so a task of the writer begins a new file after FILE_ROWS documents.
+Files are written by Spark's text writer with the separator as line end.  A line
+is a piece of some documents with separators between them, so its bytes are the
+file's bytes.  A reader takes a file as one value, so a task of the writer begins
+a new file after FILE_PIECES pieces; a piece holds PIECE_BYTES of text, or one
+document that is longer, and so a file's size doesn't follow the input's.
 
 Defined cases: a null or empty text is a separator alone, of 0 tokens; tokens
 after a file's last separator are a document that isn't ended; an empty file
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from ._shared import map_batches, new_path
 from ._tokens import Encoder, vocabulary_path
 
-#: Numbers of a file that are scanned at once, and documents of a file.
-BLOCK, FILE_ROWS = 1 << 20, 2048
+#: Numbers of a file that are scanned at once, and pieces of documents in a file.
+BLOCK, FILE_PIECES = 1 << 20, 16
 
 
 def _lines(batches, vocabulary: str):
@@ -38,15 +40,14 @@ def _lines(batches, vocabulary: str):
         for _, ids, of_text in encoder.batches(batch.column(0), None):
             if len(ids) and ids.max() > 65534:
                 raise ValueError("a token id is over 65534; 16 bits don't hold it")
-            raw = pa.py_buffer((ids + 1).astype("<u2").tobytes())
-            ends = pa.py_buffer((2 * of_text).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(of_text) - 1, [None, ends, raw])], ["line"])
+            raw = np.insert((ids + 1).astype("<u2"), of_text[1:-1], 0).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["line"])
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, text_col: str = "text") -> None:
-    """Flat files of FILE_ROWS documents for each partition of ``docs``, in the order of its rows."""
+    """Flat files of FILE_PIECES pieces for each partition of ``docs``, in the order of its rows."""
     lines = map_batches(docs.select(F.col(text_col).cast("string").alias("text")), partial(_lines, vocabulary=vocabulary or vocabulary_path()), "line binary")
-    lines.select(F.col("line").cast("string").alias("value")).write.option("lineSep", "\0\0").option("maxRecordsPerFile", FILE_ROWS).text(path)
+    lines.select(F.col("line").cast("string").alias("value")).write.option("lineSep", "\0\0").option("maxRecordsPerFile", FILE_PIECES).text(path)
 
 
 def _blocks(batches, block: int):
@@ -98,11 +99,13 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, block: int = BL
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "tokens")
     write_token_files(docs, path, vocabulary, text_col)
     part, number = _place_of(F.col("file"))
-    counts = scan(spark, path, block).select(part.alias("part"), (number * FILE_ROWS + F.col("ordinal")).alias("row"), "n_tokens")
+    of_part = Window.partitionBy("part").orderBy("number", "ordinal")
+    counts = scan(spark, path, block).select(part.alias("part"), number.alias("number"), "ordinal", "n_tokens")
+    counts = counts.select("part", (F.row_number().over(of_part) - 1).cast("bigint").alias("row"), "n_tokens")
     at = F.monotonically_increasing_id()
     ids = docs.select(F.col(id_col).alias("id"), at.alias("at")).select("id", F.shiftrightunsigned("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
-    met = counts.hint("merge").join(ids, ["part", "row"], "full")
-    checked = F.when(F.col("n_tokens").isNull(), F.raise_error(F.lit("a row has no document in the token files"))).otherwise(F.col("n_tokens"))
+    met = counts.withColumn("met", F.lit(True)).hint("merge").join(ids.withColumn("row_met", F.lit(True)), ["part", "row"], "full")
+    checked = F.when(F.col("met").isNull() | F.col("row_met").isNull(), F.raise_error(F.lit("rows and documents of the token files don't agree"))).otherwise(F.col("n_tokens"))
     return met.select(F.col("id").alias(id_col), checked.cast("bigint").alias("n_tokens"))
 
 
