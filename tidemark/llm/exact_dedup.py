@@ -26,14 +26,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import new_path, whole_text, written
+from ._shared import Scratch, whole_text
 
 #: Texts with more copies than this share of the rows are joined by broadcast: there are fewer than 1 / HOT_SHARE.
 HOT_SHARE = 1 / 2000
+#: Digests of a bucket of the index.
+BUCKET_ROWS = 4_000_000
 #: The characters that make no difference.
 WHITE = " \t\n\x0b\x0c\r"
 
 
+def buckets_for(n_rows: int) -> int:
+    """A bucket for every BUCKET_ROWS digests, 24 at least."""
+    return max(24, -(-n_rows // BUCKET_ROWS))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest, code points of the original text) of every row."""
     text = whole_text(text_col)
@@ -48,12 +55,18 @@ def groups(marks: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """A bucketed, sorted table of the digests seen so far."""
+    """A bucketed, sorted table of the digests seen so far.
+
+    It is a table of that name, in the catalog's folder or at ``path``; without a
+    name it is one in the operators' own database, which ``drop`` deletes.
+    The number of buckets is fixed when the table is made, by the rows that it
+    is made for; ``rebucket`` makes the table anew for more.
+    """
 
-    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = 24):
+    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
         self.spark, self.buckets = spark, buckets
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.path = path or new_path(spark, "digests")
+        self.name = name or f"{Scratch(spark).database}.digest_index_{uuid.uuid4().hex}"
+        self.path = path
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
@@ -61,12 +74,31 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def _save(self, rows: DataFrame, mode: str) -> None:
+        writer = rows.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").mode(mode).format("parquet")
+        (writer.option("path", self.path) if self.path else writer).saveAsTable(self.name)
+
+    def open(self, kind: str, n_rows: int) -> None:
+        """Make the table if there is none, empty, for about ``n_rows`` rows whose ids are of type ``kind``."""
+        if not self.exists():
+            self.buckets = self.buckets or buckets_for(n_rows)
+            self._save(self.spark.createDataFrame([], f"digest binary, keep_id {kind}, copies bigint"), "errorifexists")
+        elif not self.buckets:
+            about = {r["col_name"]: r["data_type"] for r in self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}").collect()}
+            self.buckets = int(about["Num Buckets"])
+
     def add(self, found: DataFrame) -> None:
-        """Append those groups whose digest the index doesn't have."""
-        if self.exists():
-            found = found.join(self.rows().hint("merge").select("digest"), "digest", "left_anti")
-        (found.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest")
-         .option("path", self.path).mode("append").format("parquet").saveAsTable(self.name))
+        """Append those groups whose digest the index doesn't have, by a sort-merge anti-join."""
+        self._save(found.join(self.rows().hint("merge").select("digest"), "digest", "left_anti"), "append")
+
+    def rebucket(self, buckets: int) -> DigestIndex:
+        """The same digests in a new table with another number of buckets; this one stays."""
+        other = DigestIndex(self.spark, buckets=buckets)
+        other._save(self.rows(), "errorifexists")
+        return other
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def mark(self, marks: DataFrame) -> DataFrame:
         """Each row of ``marks`` with the id that stays for its digest and the copies the index counted.
@@ -88,16 +120,24 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_
     ``group_size`` counts the rows of the batch in which the text was first
     seen.  ``kept`` is true where the id is the one that stays.
     """
+    one_off = index is None
     index = index or DigestIndex(docs.sparkSession)
-    marks = written(digests(docs, id_col, text_col), "marks")
+    scratch = Scratch(docs.sparkSession)
+    marks = scratch.write(digests(docs, id_col, text_col), "marks")
     before = index.exists()
-    first = written(index.rows().select("digest"), "known") if before else None
+    index.open(dict(marks.dtypes)["id"], marks.count())
+    first = scratch.write(index.rows().select("digest"), "known") if before else None
     index.add(groups(marks))
     out = index.mark(marks)
     if before:
         out = out.join(first.withColumn("seen", F.lit(True)).hint("merge"), "digest", "left")
     fresh = F.col("seen").isNull() if before else F.lit(True)
-    return out.select(F.col("id").alias(id_col), "keep_id", F.col("copies").alias("group_size"), (F.col("id").eqNullSafe(F.col("keep_id")) & fresh).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    out = out.select(F.col("id").alias(id_col), "keep_id", F.col("copies").alias("group_size"), (F.col("id").eqNullSafe(F.col("keep_id")) & fresh).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    if one_off:  # nobody has a name for the index, so it goes when the verdicts are written
+        out = scratch.write(out, "verdicts")
+        index.drop()
+        scratch.drop("marks")
+    return out
 
 
 def keep_one(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
