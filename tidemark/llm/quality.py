@@ -86,10 +86,15 @@ def _features(batches):
 
 
 def learn(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 1) -> np.ndarray:
-    """One number for each bucket: the difference of the two outputs of its vector."""
+    """One number for each bucket: the difference of the two outputs of its vector.
+
+    Descent by the gradient of one document's loss at a time; a row's steps
+    shrink with the squares of the gradients that it has had (AdaGrad).
+    """
     random = np.random.default_rng(seed)
     matrix = random.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     output = np.zeros((2, WIDTH), np.float32)
+    seen, seen_output = np.full(BUCKETS, 1e-8, np.float32), np.full((2, 1), 1e-8, np.float32)
     steps, step = EPOCHS * len(rows), 0
     for _ in range(EPOCHS):
         for k in random.permutation(len(rows)):
@@ -103,8 +108,11 @@ def learn(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 1) -> np.n
             error = np.exp(z) / np.exp(z).sum()
             error[label] -= 1
             down = error @ output
-            output -= rate * np.outer(error, mean)
-            matrix[keys] = own - (rate * np.minimum(times * 50, 1))[:, None] * down
+            slope = np.outer(error, mean)
+            seen_output += (slope * slope).mean(axis=1, keepdims=True)
+            seen[keys] += times * times * (down @ down / WIDTH)
+            output -= rate * slope / np.sqrt(seen_output)
+            matrix[keys] = own - (rate * times / np.sqrt(seen[keys]))[:, None] * down
     return (matrix @ (output[1] - output[0])).astype(np.float32)
 
 
