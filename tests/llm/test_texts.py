@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tidemark.llm import lm_score, main_text, packing, pii, quality, registry, token_counts, toxicity
+from tidemark.llm import _tokens, lm_score, main_text, packing, pii, quality, registry, token_counts, toxicity
 from tidemark.llm._tokens import Encoder, vocabulary_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -206,7 +206,8 @@ def test_token_counts(spark, data, docs):
 
 def test_file_numbers_beside_uuids(spark, monkeypatch, tmp_path):
     """Two files of one task, whose UUID holds what looks like a file's number."""
-    monkeypatch.setattr(token_counts, "FILE_ROWS", 2)
+    monkeypatch.setattr(token_counts, "FILE_PIECES", 2)
+    monkeypatch.setattr(_tokens, "PIECE_BYTES", 8)
     spark.createDataFrame([(k, "word " * k) for k in range(1, 6)], "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
     docs = spark.read.parquet(str(tmp_path / "docs"))
     write = token_counts.write_token_files
@@ -221,6 +222,17 @@ def test_file_numbers_beside_uuids(spark, monkeypatch, tmp_path):
     assert found == {k: len(x) for k, x in zip(range(1, 6), ids_of(["word " * k for k in range(1, 6)]))}
 
 
+def test_many_files_of_many_tasks(spark, monkeypatch, tmp_path, make):
+    """Three pieces a file, several files a task and several tasks; nulls, empty texts and one that is longer than a piece."""
+    monkeypatch.setattr(token_counts, "FILE_PIECES", 3)
+    monkeypatch.setattr(_tokens, "PIECE_BYTES", 40)
+    rows = [(k, None if k % 7 == 0 else "" if k % 5 == 0 else "a word " * (k % 9) if k != 33 else "long text " * 500) for k in range(120)]
+    make(rows).repartition(5).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    found = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs).collect()}
+    assert found == {i: len(x) for (i, _), x in zip(rows, ids_of([t for _, t in rows]))}
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
 def test_scan_over_block_edges(spark, tmp_path, block):
     lists = [[5, 6, 7], [], [9] * 10, [1], [], [2, 3]]
@@ -307,17 +319,95 @@ def test_pages_without_marks(spark, data):
     assert same > 0.85 * sum(map(len, full)) and same > 0.9 * sum(map(len, found)) - sum(b.count("\n") for b in found)
 
 
+# The contract's forms as they are written there; the operator's own are others, which take no time on long runs.
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
 def plain_spans(t):
-    out = [(m.start(), 0, m.end()) for m in pii.EMAIL.finditer(t)]
-    out += [(m.start(), 1, m.end()) for m in pii.IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
-    for m in pii.CARD.finditer(t):
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(t)]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in CARD.finditer(t):
         d = re.sub("[^0-9]", "", m[0])
         if 12 <= len(d) <= 19 and pii.luhn(d):
             out.append((m.start(), 2, m.end()))
-    out += [(m.start(), 3, m.end()) for m in pii.PHONE.finditer(t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    out += [(m.start(), 3, m.end()) for m in PHONE.finditer(t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
     return ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(out))
 
 
+def test_fixed_spans_of_odd_texts():
+    import random
+
+    r = random.Random(5)
+    parts = ["a", "b.c", "@", "@x", ".", "..", "1", "22", "255", "256", "0000", "4111 1111 1111 1111", "-", "+", "+1", "(", ")", " ", "\n", "_", "%", "é", "@@", "x@y.z", "1.2.3.4"]
+    for _ in range(6000):
+        text = "".join(r.choices(parts, k=r.randrange(16)))
+        assert pii.spans_text(pii.fixed_spans(text)) == plain_spans(text), repr(text)
+
+
+@pytest.mark.parametrize("text", ["1.2.3." + "9" * 10**6, "9" * 10**6, "a" * 10**6 + " @ x", "x@" * 300_000, "(" * 10**6, "+1" * 10**5 + "(" * 10**5, "1." * 300_000, "1 " * 500_000, ("b" * 999 + "\n") * 1000 + "@", "a@b.c " + "z" * 10**6 + " d@e.f"])
+def test_long_runs_take_no_time(text):
+    import time
+
+    began = time.perf_counter()
+    fixed = pii.fixed_spans(text)
+    for s, e in pii.loose_spans(text, fixed)[:1000]:
+        pii.in_context(text, s, e)
+    assert time.perf_counter() - began < 10
+
+
+def test_contexts_have_whole_words():
+    word = "w" * 200
+    assert pii.in_context(f"{word} call me at X now {word} then", 212, 213) == ["< me at", "> now #" + hashlib.sha256(word.encode()).hexdigest()[:16], "at _ now"]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 30_000 + "</span>" * 30_000, "<span>" * 30_000 + "</div>" * 30_000, "<p>" * 30_000 + "x", "<ul>" + "<li>a" * 30_000, "<table>" + "<tr><td>a" * 20_000])
+def test_deep_markup_takes_no_time(page):
+    import time
+
+    began = time.perf_counter()
+    main_text.extract(page)
+    assert time.perf_counter() - began < 10
+
+
+def test_names_of_an_articles_own_parts():
+    page = f"<body><article><h1>Soup</h1><div class='menu'><p>{LONG}</div><div class='notice'><p>{LONG}</div><div class='newsletter'><p>{LONG.upper()}</div></article></body>"
+    text = main_text.extract(page)[0]
+    assert text.count("a sentence of the story") == 16 and "STORY" not in text
+
+
+def test_quality_scores_by_loops(make):
+    """The vectorised score of a model against a loop over each text's features."""
+    import types
+
+    model = np.random.default_rng(1).normal(size=quality.BUCKETS).astype(np.float32)
+    rows = [(1, "ab abc ab"), (2, ""), (3, None), (4, "Één twee twee drie"), (5, "x")]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["id", "text"])
+    found = next(quality._score([batch], types.SimpleNamespace(value=model))).column(1).to_pylist()
+    taught = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([0] * 5)], ["id", "text", "label"])
+    for (_, text), score, keys, times in zip(rows, found, *(next(quality._features([taught])).column(k).to_pylist() for k in (1, 2))):
+        assert score == pytest.approx(1 / (1 + np.exp(-sum(model[k] * t for k, t in zip(keys, times)))), abs=1e-5)
+        words = WORD.findall((text or "").lower())
+        runs = sum(max(0, len(w) + 2 - n + 1) for w in words for n in (3, 4, 5))
+        assert sum(round(t * (1 + len(words) + max(0, len(words) - 1) + runs)) for t in times) == 1 + len(words) + max(0, len(words) - 1) + runs
+
+
+def test_toxicity_gradient():
+    r = np.random.default_rng(3)
+    text_of = np.repeat(np.arange(6), 4)
+    row, clue = r.integers(0, 24, 40), r.integers(0, 5, 40)
+    label, weight, bias = np.array([1, 0, 1, 0, 0, 1]), r.normal(size=5), -0.7
+    gradient = toxicity.slope(weight, bias, label, row, text_of, clue)[1]
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-6
+        up, down = (toxicity.slope(weight + s * step[:5], bias + s * step[5], label, row, text_of, clue)[0] for s in (1, -1))
+        assert gradient[k] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
 def test_fixed_spans(spark, data, docs):
     for r in registry.queries()["op9_pii"](spark, data).collect():
         plain = plain_spans(docs[r["doc_id"]] or "")
