@@ -180,7 +180,7 @@ def test_split_before_it_is_announced(panel, spark):
 
 def test_depth(panel):
     row = B.depth(panel).first()
-    assert row["ok"] and row["message"] == "ok: 6 instruments, 60 days, 4 namespaces"
+    assert row["ok"] and row["message"] == "ok 6/60/4"
     assert not B.depth(panel.filter("namespace <> 'universe'")).first()["ok"]
 
 

@@ -18,6 +18,8 @@ from dataclasses import dataclass, field as _field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import placed
+
 
 class Panel:
     """Rows with an instrument and an order; stages columns level by level."""
@@ -162,6 +164,64 @@ def lag(e: Factor, n: int) -> Factor:
     return Factor(make, look + n, universe)
 
 
+#: Windows up to BASE rows are read row by row; longer ones are put together of a window of LADDER and the rest before it.
+BASE, LADDER = 8, (5, 10, 20, 30, 60, 120, 250)
+
+
+def _halves(w: int) -> tuple[int, int]:
+    """(rows of the earlier part, rows of the later part) of a window."""
+    early = max(x for x in LADDER if x < w)
+    return early, w - early
+
+
+def _before(p: Panel, at: tuple[str, int], n: int) -> tuple[str, int]:
+    """A staged column ``n`` rows ago."""
+    key = f"{at[0]} before {n}"
+    return p.stage(key, at[1], F.lag(at[0], n).over(p.window)), p.names[key][1]
+
+
+def _folded(p: Panel, name: str, key: str, level: int, w: int, part: Column, join: Callable) -> tuple[str, int]:
+    """The staged column of an aggregate over ``w`` rows, and its level.
+
+    ``join`` (later, earlier, their rows) puts two windows that follow one
+    another together, so a long window costs a few columns whatever its length.
+    """
+    own = f"{name}({key},{w})"
+    if w <= BASE:
+        return p.stage(own, level, part.over(p.frame(w))), p.names[own][1]
+    early, late = _halves(w)
+    a = _before(p, _folded(p, name, key, level, early, part, join), late)
+    b = _folded(p, name, key, level, late, part, join)
+    return p.stage(own, max(a[1], b[1]), join(F.col(b[0]), F.col(a[0]), late, early)), p.names[own][1]
+
+
+def _count(p: Panel, key: str, level: int, w: int, part: Column) -> tuple[str, int]:
+    return _folded(p, "n", key, level, w, F.count(part), lambda b, a, *_: b + F.coalesce(a, F.lit(0)))
+
+
+def _mean(p: Panel, key: str, level: int, w: int, part: Column) -> tuple[str, int]:
+    return _folded(p, "mean", key, level, w, F.avg(part), lambda b, a, late, early: b + (a - b) * (early / (late + early)))  # exact where the parts are equal
+
+
+def _comoment(p: Panel, name: str, key: str, level: int, w: int, part: Column, means: Sequence[Callable]) -> tuple[str, int]:
+    """The sum over ``w`` rows of the product of two deviations from their means, merged without subtracting large sums."""
+    own = f"{name}({key},{w})"
+    if w <= BASE:
+        return p.stage(own, level, part.over(p.frame(w)) * w), p.names[own][1]
+    early, late = _halves(w)
+    a = _before(p, _comoment(p, name, key, level, early, part, means), late)
+    b = _comoment(p, name, key, level, late, part, means)
+    top, value = max(a[1], b[1]), F.col(a[0]) + F.col(b[0])
+    product = F.lit(early * late / w)
+    for mean in means:
+        if mean is None:  # the number of the row: the parts' means are half a window apart
+            product = product * F.lit(w / 2)
+        else:
+            x, y = mean(late), _before(p, mean(early), late)
+            top, product = max(top, x[1], y[1]), product * (F.col(x[0]) - F.col(y[0]))
+    return p.stage(own, top, value + product), p.names[own][1]
+
+
 ROLLING = ("mean", "sum", "std", "rank", "slope", "residual", "rsquare", "max", "min", "idxmax", "idxmin", "quantile")
 
 
@@ -183,26 +243,33 @@ def rolling(op: str, e: Factor, w: int, q: float | None = None) -> Factor:
         v = F.col(p.stage(key, level, x))
         said = p.stage("status " + key, level, status) if p.with_status else None
         level, frame = p.names[key][1], p.frame(w)
-        n = F.col(p.stage(f"n({key},{w})", level, F.count(v).over(frame)))
-        part = lambda name, column: F.col(p.stage(f"{name}({key},{w})", level, column.over(frame)))
-        top = level + 1
+        top, got = level + 1, []
+
+        def of(at: tuple[str, int]) -> Column:
+            got.append(at[1])
+            return F.col(at[0])
+
+        part = lambda name, column: of((p.stage(f"{name}({key},{w})", level, column.over(frame)), level + 1))
+        mean = lambda w: _mean(p, key, level, w, v)
+        n = of(_count(p, key, level, w, v))
         if op == "mean":
-            value = part("mean", F.avg(v))
+            value = of(mean(w))
         elif op == "sum":
-            value = part("sum", F.sum(v))
+            value = of(_folded(p, "sum", key, level, w, F.sum(v), lambda b, a, *_: b + a))
         elif op == "std":
-            value = part("std", F.stddev_pop(v))
+            value = F.sqrt(of(_comoment(p, "m2", key, level, w, F.var_pop(v), (mean, mean))) / w)
         elif op in ("max", "min"):
-            value = part(op, getattr(F, op)(v))
+            ends = F.greatest if op == "max" else F.least
+            value = of(_folded(p, op, key, level, w, getattr(F, op)(v), lambda b, a, *_: ends(b, a)))
         elif op in ("slope", "residual", "rsquare"):
-            cov = part("cov_t", F.covar_pop(v, F.col("_t"))) if w > 1 else F.lit(0.0)
+            cov = of(_comoment(p, "cov_t", key, level, w, F.covar_pop(v, F.col("_t")), (mean, None))) / w if w > 1 else F.lit(0.0)
             slope = cov / F.lit((w * w - 1) / 12) if w > 1 else F.lit(0.0)
             if op == "slope":
                 value = slope
             elif op == "residual":
-                value = v - (part("mean", F.avg(v)) + slope * F.lit((w - 1) / 2))
+                value = v - (of(mean(w)) + slope * F.lit((w - 1) / 2))
             else:
-                var = part("var", F.var_pop(v))
+                var = of(_comoment(p, "m2", key, level, w, F.var_pop(v), (mean, mean))) / w
                 value = F.when(var > 0, cov * cov / (var * F.lit((w * w - 1) / 12))).otherwise(0.0) if w > 1 else F.lit(0.0)
         else:
             held = part("list", F.collect_list(v))
@@ -215,6 +282,7 @@ def rolling(op: str, e: Factor, w: int, q: float | None = None) -> Factor:
                 value = (F.array_position(held, end) - 1).cast("double")
         own = f"{op}({key},{w},{q})"
         value = F.when(n >= w, value)
+        top = max(top, *got)
         if said:
             earlier = F.first(said, ignorenulls=True).over(frame)
             said = F.col(p.stage("status " + own, top, F.coalesce(earlier, F.when(F.col("_t") < w, F.lit("insufficient_history")))))
@@ -240,10 +308,17 @@ def rolling_pair(op: str, left: Factor, right: Factor, w: int) -> Factor:
         kb, lb, y, sb = right.make(p)
         x, y = F.col(p.stage(ka, la, x)), F.col(p.stage(kb, lb, y))
         level, frame, pair = max(p.names[ka][1], p.names[kb][1]), p.frame(w), f"({ka},{kb},{w})"
-        both = x.isNotNull() & y.isNotNull()
-        part = lambda name, column: F.col(p.stage(name + pair, level, column.over(frame)))
-        n, cov = part("n2", F.count(F.when(both, 1))), part("cov", F.covar_pop(x, y))
-        vx, vy = part("varx", F.var_pop(F.when(both, x))), part("vary", F.var_pop(F.when(both, y)))
+        both, key, got = x.isNotNull() & y.isNotNull(), f"{ka},{kb}", []
+
+        def of(at: tuple[str, int]) -> Column:
+            got.append(at[1])
+            return F.col(at[0])
+
+        in_x, in_y = F.when(both, x), F.when(both, y)
+        mean_x, mean_y = (lambda w: _mean(p, key + " left", level, w, in_x)), (lambda w: _mean(p, key + " right", level, w, in_y))
+        n, cov = of(_count(p, key, level, w, F.when(both, 1))), of(_comoment(p, "cov", key, level, w, F.covar_pop(x, y), (mean_x, mean_y))) / w
+        vx = of(_comoment(p, "m2", key + " left", level, w, F.var_pop(in_x), (mean_x, mean_x))) / w
+        vy = of(_comoment(p, "m2", key + " right", level, w, F.var_pop(in_y), (mean_y, mean_y))) / w
         slope = F.when(vx > 0, cov / F.when(vx > 0, vx)).otherwise(0.0)
         corr = F.when((vx > 0) & (vy > 0), cov / F.when((vx > 0) & (vy > 0), F.sqrt(vx) * F.sqrt(vy))).otherwise(0.0)
         if op == "cov":
@@ -251,15 +326,15 @@ def rolling_pair(op: str, left: Factor, right: Factor, w: int) -> Factor:
         elif op == "slope":
             value = slope
         elif op == "residual":
-            value = y - (part("meany", F.avg(F.when(both, y))) + slope * (x - part("meanx", F.avg(F.when(both, x)))))
+            value = y - (of(mean_y(w)) + slope * (x - of(mean_x(w))))
         else:
             value = corr if op == "corr" else corr * corr
-        own = f"pair {op}{pair}"
-        name = p.stage(own, level + 1, F.when(n >= w, value))
+        own, top = f"pair {op}{pair}", max(level + 1, *got)
+        name = p.stage(own, top, F.when(n >= w, value))
         said = _ok()
         if p.with_status:
             inner = F.first(p.stage("status " + ka, la, sa), ignorenulls=True).over(frame), F.first(p.stage("status " + kb, lb, sb), ignorenulls=True).over(frame)
-            said = F.col(p.stage("status " + own, level + 1, F.coalesce(*inner, F.when(F.col("_t") < w, F.lit("insufficient_history")))))
+            said = F.col(p.stage("status " + own, top, F.coalesce(*inner, F.when(F.col("_t") < w, F.lit("insufficient_history")))))
         return own, p.names[own][1], F.col(name), said
 
     return Factor(make, look + w - 1, universe)
@@ -305,16 +380,17 @@ def evaluate_cross_section(rows: DataFrame, op: str, e: Factor, group: Sequence[
     """(group, key, value, cs): each instrument's last value and its place among them.
 
     Rank is the ordinal position over the number, ties in the order of the key;
-    zscore is 0 where the values don't vary.
+    zscore is 0 where the values don't vary.  An instrument without a value has
+    no place and isn't counted.
     """
     by = [*group, key]
     last = last_rows(evaluate(keep_lookback(rows, e.lookback, by, order), {"value": e}, by, order, status=False), by, order)
-    all_ = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    last = last.filter("value is not null and not isnan(value)")
     if op == "rank":
-        at = F.row_number().over(all_.orderBy("value", key)) / F.count(F.lit(1)).over(all_)
-    elif op == "zscore":
-        spread = F.stddev_pop("value").over(all_)
-        at = F.when(spread > 0, (F.col("value") - F.avg("value").over(all_)) / F.when(spread > 0, spread)).otherwise(0.0)
-    else:
+        return placed(last, ["value", key], group, "_place", "_of").select(*by, order, "value", (F.col("_place") / F.col("_of")).alias("cs"))
+    if op != "zscore":
         raise ValueError(f"unknown cross-section operator {op!r}")
-    return last.select(*by, order, "value", at.alias("cs"))
+    moments = last.groupBy(*group).agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_spread"))
+    met = last.join(moments.hint("broadcast" if not group else "merge"), list(group)) if group else last.crossJoin(F.broadcast(moments))  # one row
+    at = F.when(F.col("_spread") > 0, (F.col("value") - F.col("_mean")) / F.when(F.col("_spread") > 0, F.col("_spread"))).otherwise(0.0)
+    return met.select(*by, order, "value", at.alias("cs"))

@@ -95,11 +95,11 @@ def depth(rows: DataFrame, min_instruments: int = 4, min_days: int = 10, namespa
     )
     missing = F.array_except(F.array(*map(F.lit, sorted(namespaces))), F.coalesce("have", F.array().cast("array<string>")))
     message = (
-        F.when(F.size(missing) > 0, F.concat(F.lit("missing required namespaces: "), F.concat_ws(", ", F.array_sort(missing))))
-        .when(F.col("instruments") < min_instruments, F.concat(F.lit("only "), F.col("instruments"), F.lit(f" bar instruments, need >= {min_instruments}")))
-        .when(F.col("days") < min_days, F.concat(F.lit("only "), F.col("days"), F.lit(f" bar days, need >= {min_days}")))
-        .when(F.col("early") > 0, F.concat(F.col("early"), F.lit(" records have kt < vt")))
-        .otherwise(F.concat(F.lit("ok: "), F.col("instruments"), F.lit(" instruments, "), F.col("days"), F.lit(" days, "), F.size("have"), F.lit(" namespaces")))
+        F.when(F.size(missing) > 0, F.concat(F.lit("no rows of "), F.concat_ws("+", F.array_sort(missing))))
+        .when(F.col("instruments") < min_instruments, F.concat(F.lit("instruments "), F.col("instruments"), F.lit(f"/{min_instruments}")))
+        .when(F.col("days") < min_days, F.concat(F.lit("days "), F.col("days"), F.lit(f"/{min_days}")))
+        .when(F.col("early") > 0, F.concat(F.lit("known too early "), F.col("early")))
+        .otherwise(F.concat(F.lit("ok "), F.col("instruments"), F.lit("/"), F.col("days"), F.lit("/"), F.size("have")))
     )
     return seen.select(message.startswith("ok").alias("ok"), message.alias("message"))
 
@@ -141,16 +141,18 @@ def apply_split(price: Column, ratio: Column, mode: str) -> Column:
     return price if mode == "Raw" else F.try_divide(price, ratio)
 
 
-def known_join(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
-    """``left`` (key, vt, kt) with the ``value`` of the right row that has the latest vt of those valid and known then.
+def known_join(left: DataFrame, right: DataFrame, key: str, value: str, revision: str = "revision") -> DataFrame:
+    """``left`` (key, vt, ...) with the ``value`` of the right fact that has the latest vt of those valid and known at vt.
 
-    Both sides are one sorted stream per instrument: a right row joins the
-    stream where it is both valid and known, and the last one seen carries on.
-    A right row that becomes usable later but is older is passed over by taking
-    the largest (vt, value) so far.
+    Of that fact's revisions the highest one known counts, and the value keeps
+    its type.  Both sides are one sorted stream per instrument: a right row joins
+    the stream where it is both valid and known, and the largest (vt, revision)
+    so far carries on, so a restatement takes over when it becomes known and a
+    late row of an older fact is passed over.
     """
-    a = left.select("*", F.col("vt").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("struct<vt:date,value:bigint>").alias("_fact"))
-    b = right.select(F.col(key), F.greatest("vt", "kt").alias("_at"), F.lit(0).alias("_side"), F.struct(F.col("vt"), F.col(value).cast("bigint").alias("value")).alias("_fact"))
+    known = right.filter(F.col("vt").isNotNull() & F.col("kt").isNotNull())
+    b = known.select(F.col(key), F.greatest("vt", "kt").alias("_at"), F.lit(0).alias("_side"), F.struct(F.col("vt"), F.col(revision).alias("revision"), F.col(value).alias("value")).alias("_fact"))
+    a = left.select("*", F.col("vt").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(b.schema["_fact"].dataType).alias("_fact"))
     both = a.unionByName(b, allowMissingColumns=True)
     order = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
     best = F.max("_fact").over(order)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ranks import ends_of, range_of
+
 # Fixed values: (scenario, fee and slippage in basis points).
 SCENARIOS = (("c-free", 0.0, 0.0), ("c-stress2x", 10.0, 20.0))
 
@@ -43,24 +45,44 @@ def drawdown(returns: Column) -> Column:
     return F.aggregate(returns, zero, step, lambda a: a["worst"])
 
 
+def drawdowns(rows: DataFrame, by: Sequence[str], order: str, ret: str = "ret") -> DataFrame:
+    """(by, max_drawdown): the deepest fall from a peak of each series; equity and peak begin at 1.
+
+    A series is cut into ranges of its order.  Within a range equity runs from 1;
+    what the ranges before have left (their product, and the peak so far) comes
+    from a row for each range.  So a series of any length is many tasks.
+    """
+    ranged = rows.withColumn("_range", range_of(F.col(order), dict(rows.dtypes)[order], ends_of(rows, order)))
+    so_far = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = ranged.withColumn("_e", F.product(1 + F.col(ret)).over(so_far)).withColumns({"_high": F.max("_e").over(so_far), "_low": F.min("_e").over(so_far)})
+    whole = ranged.groupBy(*by, "_range").agg(F.max_by("_e", order).alias("_factor"), F.max("_e").alias("_top"), F.min("_e").alias("_bottom"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    whole = whole.withColumn("_from", F.coalesce(F.product("_factor").over(before), F.lit(1.0)))
+    reached = F.greatest(F.col("_from") * F.col("_top"), F.col("_from") * F.col("_bottom"))
+    whole = whole.withColumn("_reached", reached).withColumn("_peak", F.greatest(F.lit(1.0), F.max("_reached").over(before)))
+    met = ranged.join(whole.select(*by, "_range", "_from", "_peak").hint("merge"), [*by, "_range"])
+    equity = F.col("_from") * F.col("_e")
+    peak = F.greatest(F.col("_peak"), F.col("_from") * F.col("_high"), F.col("_from") * F.col("_low"))
+    return met.groupBy(*by).agg(F.greatest(F.lit(0.0), F.max((peak - equity) / peak)).alias("max_drawdown"))
+
+
 def metrics(signals: DataFrame, slippage_bps: Sequence[float], by: Sequence[str] = ("strategy",), order: str = "seq") -> DataFrame:
     """(by, slippage_bps, signal_count, total_return, sharpe, max_drawdown, turnover) from rows with ret and turnover.
 
     A missing turnover is 1, a missing return 0; costs fall on the last return.
     """
     s = signals.withColumns({"ret": F.coalesce("ret", F.lit(0.0)), "turnover": F.coalesce("turnover", F.lit(1.0))})
-    rate = F.explode(F.array(*(F.lit(float(b)) for b in slippage_bps)))
-    all_ = Window.partitionBy(*by)
-    s = s.withColumns({"_cost": F.sum("turnover").over(all_), "_last": F.row_number().over(all_.orderBy(F.desc(order))) == 1}).withColumn("slippage_bps", rate)
-    adjusted = F.col("ret") - F.when(F.col("_last"), F.col("_cost") * F.col("slippage_bps") / 10000.0).otherwise(0.0)
-    s = s.withColumn("_r", adjusted)
-    series = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_r").alias("r")))), lambda x: x["r"])
+    sums = s.groupBy(*by).agg(F.sum("turnover").alias("_cost"), F.max(order).alias("_last"))
+    s = s.join(sums.hint("merge"), list(by)).withColumn("slippage_bps", F.explode(F.array(*(F.lit(float(b)) for b in slippage_bps))))
+    s = s.withColumn("_r", F.col("ret") - F.when(F.col(order) == F.col("_last"), F.col("_cost") * F.col("slippage_bps") / 10000.0).otherwise(0.0))
+    s = s.select(*by, "slippage_bps", order, "_r", "turnover")
     spread = F.stddev_pop("_r")
-    return s.groupBy(*by, "slippage_bps").agg(
+    found = s.groupBy(*by, "slippage_bps").agg(
         F.count(F.lit(1)).alias("signal_count"), F.sum("_r").alias("total_return"),
         F.when(spread > 0, F.avg("_r") / F.when(spread > 0, spread) * F.sqrt(F.count(F.lit(1)))).otherwise(0.0).alias("sharpe"),
-        drawdown(series).alias("max_drawdown"), F.sum("turnover").alias("turnover"),
+        F.sum("turnover").alias("turnover"),
     )
+    return found.join(drawdowns(s, [*by, "slippage_bps"], order, "_r"), [*by, "slippage_bps"])
 
 
 def portfolio(found: DataFrame, by: Sequence[str] = ("slippage_bps",)) -> DataFrame:

@@ -49,6 +49,11 @@ def rank_ic(rows: DataFrame, by: Sequence[str], signal: str = "signal", ret: str
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), ic.alias("rank_ic"))
 
 
+def mean_ic(by_day: DataFrame) -> DataFrame:
+    """One row (mean_ic, days): the mean of the days that have a correlation, 0.0 if none has."""
+    return by_day.agg(F.coalesce(F.avg("rank_ic"), F.lit(0.0)).alias("mean_ic"), F.count("rank_ic").alias("days"))
+
+
 def spearman_by_day(rows: DataFrame, by: Sequence[str], signal: str = "signal", ret: str = "fwd") -> DataFrame:
     """(by, n, rank_ic) with average ranks; days of fewer than two rows or without variation have none."""
     rows = rows.filter(F.col(signal).isNotNull() & F.col(ret).isNotNull())

@@ -17,16 +17,18 @@ def row_digest(rows: DataFrame, columns: Sequence[str] | None = None) -> Column:
     return F.sha2(canonical(rows, columns), 256)
 
 
-def snapshot_pin(rows: DataFrame, columns: Sequence[str] | None = None, buckets: int = 256) -> DataFrame:
+def snapshot_pin(rows: DataFrame, columns: Sequence[str] | None = None, prefix: int = 5) -> DataFrame:
     """One row (pin, n): a digest of all rows, the same in whatever order they come.
 
     Rows are digested, digests are dealt to buckets by their first bytes and
     sorted within, a bucket's digest is that of its digests, and the pin that of
-    the buckets in order.  Buckets divide further with the number of rows, so a
-    bucket holds some thousand digests.
+    the buckets in order.  There are 16 ** ``prefix`` buckets at most, whatever
+    the number of rows: ``prefix`` is part of what a pin means, so rows are
+    pinned and verified with the same one.  With 5, a bucket of 10^9 rows holds
+    a thousand digests.
     """
     digests = rows.select(row_digest(rows, columns).alias("d"))
-    small = digests.groupBy(F.substring("d", 1, 5).alias("b")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("d"))), 256).alias("d"), F.count(F.lit(1)).alias("n"))
+    small = digests.groupBy(F.substring("d", 1, prefix).alias("b")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("d"))), 256).alias("d"), F.count(F.lit(1)).alias("n"))
     mid = small.groupBy(F.substring("b", 1, 2).alias("b")).agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])), 256).alias("d"), F.sum("n").alias("n"))
     top = F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])
     return mid.agg(F.sha2(F.concat_ws("", top), 256).alias("pin"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
@@ -91,10 +93,11 @@ def rerun_differences(a: DataFrame, b: DataFrame, key: Sequence[str], value: Seq
     return left.join(right, list(key), "full").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select(*key, F.col("_a").isNull().alias("only_b"), F.col("_b").isNull().alias("only_a"))
 
 
-def unstable_keys(runs: DataFrame, key: Sequence[str], digest: str, n_runs: int) -> DataFrame:
-    """Keys that have several digests over the runs, or aren't in every one."""
-    found = runs.groupBy(*key).agg(F.count_distinct(digest).alias("n_digests"), F.count(F.lit(1)).alias("n_seen"))
-    return found.filter((F.col("n_digests") > 1) | (F.col("n_seen") != n_runs))
+def unstable_keys(runs: DataFrame, key: Sequence[str], digest: str, run: str = "run") -> DataFrame:
+    """(key, n_digests, n_seen, n_runs) of keys that have several digests over the runs, or aren't in every one."""
+    n = runs.agg(F.count_distinct(run).alias("n_runs"))
+    found = runs.groupBy(*key).agg(F.count_distinct(digest).alias("n_digests"), F.count_distinct(run).alias("n_seen"))
+    return found.crossJoin(F.broadcast(n)).filter((F.col("n_digests") > 1) | (F.col("n_seen") != F.col("n_runs")))  # n has one row
 
 
 def parity(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -76,21 +76,21 @@ def gate(artifacts: DataFrame) -> DataFrame:
     get = lambda n, t="string": F.col(n) if n in have else F.lit(None).cast(t)
     say = lambda bad, text: F.when(F.coalesce(bad, F.lit(False)), F.array(text if isinstance(text, Column) else F.lit(text))).otherwise(F.array().cast("array<string>"))
     missing = F.array_compact(F.array(*(F.when(get(n).isNull(), F.lit(n)) for n in sorted(REQUIRED))))
-    parts = [say(F.size(missing) > 0, F.concat(F.lit("missing required fields: "), F.concat_ws(", ", missing)))]
+    parts = [say(F.size(missing) > 0, F.concat(F.lit("not there: "), F.concat_ws("+", missing)))]
     for n in HASHES:
         own = get(n)
         empty = own.isNull() | (own == "")
-        parts += [say(empty, f"missing {n}"), say(~empty & ~hex64(own), f"{n} must be a 64-char hex string")]
+        parts += [say(empty, f"{n}: none"), say(~empty & ~hex64(own), f"{n}: not 64 hex digits")]
     seeds, status = get("seeds", "array<int>"), get("status")
-    parts.append(say(seeds.isNull() | (F.size(seeds) == 0), "seeds must be non-empty"))
-    parts.append(say(status.isNull() | ~status.isin("success", "failed", "invalid"), "status is not a terminal value"))
+    parts.append(say(seeds.isNull() | (F.size(seeds) == 0), "seeds: none"))
+    parts.append(say(status.isNull() | ~status.isin("success", "failed", "invalid"), "status: not an end"))
     bad = F.map_keys(F.map_filter(get("artifacts", "map<string,string>"), lambda k, v: ~hex64(v)))
-    parts.append(F.coalesce(F.transform(F.array_sort(bad), lambda k: F.concat(F.lit("artifact "), k, F.lit(" value must be a 64-char hex hash"))), F.array().cast("array<string>")))
+    parts.append(F.coalesce(F.transform(F.array_sort(bad), lambda k: F.concat(F.lit("artifact "), k, F.lit(": not 64 hex digits"))), F.array().cast("array<string>")))
     feature = F.lower(get("feature_ir_hash"))
-    parts.append(say(feature.contains("label") | feature.contains("target"), "feature_ir_hash contains label/target sentinel (leakage)"))
+    parts.append(say(feature.contains("label") | feature.contains("target"), "feature_ir_hash: names a label or target"))
     scores = get("metrics", "map<string,double>")
     skipped = F.coalesce(get("skipped_contamination_check", "boolean"), F.lit(False))
-    parts.append(say(~skipped & contaminated(F.try_element_at(scores, F.lit("sealed_score")), F.try_element_at(scores, F.lit("unsealed_score"))), "contamination sentinel triggered: sealed score implausibly better"))
+    parts.append(say(~skipped & contaminated(F.try_element_at(scores, F.lit("sealed_score")), F.try_element_at(scores, F.lit("unsealed_score"))), "scores: sealed far above unsealed"))
     return artifacts.withColumn("violations", F.concat(*parts))
 
 

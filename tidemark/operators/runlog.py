@@ -47,19 +47,21 @@ def insert_missing(existing: DataFrame, new: DataFrame, key: Sequence[str], *ord
     return latest_state(new.join(existing, list(key), "left_anti"), key, *order)
 
 
-def receipt_outcomes(receipts: DataFrame, running: DataFrame, by: str = "work_order", order: str = "seq") -> DataFrame:
-    """Each receipt with ``outcome``.
-
-    ``running`` has the attempts (by, retry_seq) that were running; a receipt for
-    any other is invalid.  The first completed one of a work order is committed
-    and later ones are superseded; the rest only end their attempt.
+def receipt_outcomes(log: DataFrame, by: str = "work_order", order: str = "seq", receipts: Sequence[str] = ("completed", "failed")) -> DataFrame:
+    """Each receipt of a log of attempts with ``outcome``.
+
+    A receipt counts if its attempt is running when it comes, and ends it; so
+    the entry before it must be the one that set the attempt running.  A second
+    receipt of an attempt, or one that comes before it runs, is invalid.  The
+    first completed one of a work order is committed and later ones, of other
+    attempts, are superseded; the rest only end their attempt.
     """
-    known = running.select(by, "retry_seq").distinct().withColumn("_running", F.lit(True))
-    met = receipts.join(known, [by, "retry_seq"], "left")
-    good = F.col("_running").isNotNull() & (F.col("state") == "completed")
+    before = F.lag("state").over(Window.partitionBy(by, "retry_seq").orderBy(order))
+    met = log.withColumn("_runs", F.coalesce(before == "running", F.lit(False))).filter(F.col("state").isin(*receipts))
+    good = F.col("_runs") & (F.col("state") == "completed")
     place = F.sum(good.cast("int")).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    outcome = F.when(F.col("_running").isNull(), "invalid").when(good & (F.col("_place") == 1), "committed").when(good, "superseded_duplicate").otherwise("ended")
-    return met.withColumn("_place", place).withColumn("outcome", outcome).drop("_place", "_running")
+    outcome = F.when(~F.col("_runs"), "invalid").when(good & (F.col("_place") == 1), "committed").when(good, "superseded_duplicate").otherwise("ended")
+    return met.withColumn("_place", place).withColumn("outcome", outcome).drop("_place", "_runs")
 
 
 def begin_once(events: DataFrame, key: str = "idempotency_key", order: str = "seq") -> DataFrame:
@@ -67,11 +69,17 @@ def begin_once(events: DataFrame, key: str = "idempotency_key", order: str = "se
     return latest_state(events, [key], F.col(order))
 
 
-def finalize_conflicts(events: DataFrame, by: str, order: str, value: Sequence[str]) -> DataFrame:
-    """Finalize events with ``verdict``: first, repeated (equal to the first) or conflict."""
-    first = F.first(F.struct(*value)).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    n = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return events.withColumns({"_first": first, "_n": n}).withColumn("verdict", F.when(F.col("_n") == 1, "first").when(F.struct(*value).eqNullSafe(F.col("_first")), "repeated").otherwise("conflict")).drop("_first", "_n")
+def finalize_conflicts(events: DataFrame, by: str, order: str, value: Sequence[str], refused: Column | None = None) -> DataFrame:
+    """Finalize events with ``verdict``: first, repeated (equal to the first), conflict or refused.
+
+    ``refused`` tells events that end nothing, as a success that carries an
+    error does; the first of the others counts.
+    """
+    rows = events.withColumn("_bad", F.coalesce(refused, F.lit(False)) if refused is not None else F.lit(False))
+    ordered = Window.partitionBy(by, "_bad").orderBy(order)
+    rows = rows.withColumns({"_first": F.first(F.struct(*value)).over(ordered.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.row_number().over(ordered)})
+    verdict = F.when(F.col("_bad"), "refused").when(F.col("_n") == 1, "first").when(F.struct(*value).eqNullSafe(F.col("_first")), "repeated").otherwise("conflict")
+    return rows.withColumn("verdict", verdict).drop("_first", "_n", "_bad")
 
 
 def run_states(begins: DataFrame, ends: DataFrame, key: str) -> DataFrame:
@@ -87,4 +95,8 @@ def completeness(expected: DataFrame, latest: DataFrame, by: Sequence[str], grou
 
 
 def missing(required: DataFrame, present: DataFrame, key: Sequence[str]) -> DataFrame:
-    return required.join(present, list(key), "left_anti")
+    """Rows of ``required`` whose key ``present`` doesn't have; null keys are equal."""
+    same = F.lit(True)
+    for c in key:
+        same &= required[c].eqNullSafe(present[c])
+    return required.join(present, same, "left_anti")

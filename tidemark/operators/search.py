@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.factors import Factor, binary, evaluate, field, lag, last_rows, rolling
 from ..session import ship
+from .ranks import ends_of, medians, range_of
 
 
 def benjamini_hochberg(trials: DataFrame, alpha: float = 0.05, p: str = "p") -> DataFrame:
@@ -18,13 +19,13 @@ def benjamini_hochberg(trials: DataFrame, alpha: float = 0.05, p: str = "p") ->
 
     The cutoff is the largest p whose rank is within the line; equal p share the
     larger rank.  Distinct p are counted first, and ranks are running sums over
-    ranges of p: a sum for each range, then one within it, so that no task has
-    to hold them all.
+    ranges of p that quantiles part evenly: a sum for each range, then one
+    within it, so that no task has to hold them all.
     """
     p_of = F.col(p)
     counts = trials.filter(p_of.isNotNull()).groupBy(p_of.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_range", F.least(F.floor(F.col("_p") * 1024).cast("int"), F.lit(1023)))
-    per = counts.groupBy("_range").agg(F.sum("_n").alias("_in"))  # 1024 rows at most
+    counts = counts.withColumn("_range", range_of(F.col("_p"), "double", ends_of(trials, p)))
+    per = counts.groupBy("_range").agg(F.sum("_n").alias("_in"))  # a row for each range
     before = per.withColumn("_before", F.sum("_in").over(Window.orderBy("_range")) - F.col("_in")).withColumn("_total", F.sum("_in").over(Window.partitionBy()))
     inner = F.sum("_n").over(Window.partitionBy("_range").orderBy("_p"))
     ranked = counts.withColumn("_inner", inner).join(F.broadcast(before), "_range")
@@ -35,20 +36,19 @@ def benjamini_hochberg(trials: DataFrame, alpha: float = 0.05, p: str = "p") ->
 
 def search_artifact(trials: DataFrame, by: str = "lane", score: str = "score", least: float = 0.05) -> DataFrame:
     """(by, best, median, artifact): a best score close to the median is what luck gives."""
-    return trials.groupBy(by).agg(
-        F.max(score).alias("best"), F.median(score).alias("median"),
-        ((F.count(score) >= 2) & (F.max(score) - F.median(score) < least)).alias("artifact"),
-    )
+    best = trials.groupBy(by).agg(F.max(score).alias("best"), F.count(score).alias("_n"))
+    met = best.join(medians(trials, [by], {"median": score}), by, "left")
+    return met.select(by, "best", "median", F.coalesce((F.col("_n") >= 2) & (F.col("best") - F.col("median") < least), F.lit(False)).alias("artifact"))
 
 
 def scorecard(trials: DataFrame, by: str = "lane") -> DataFrame:
     """Lane summaries of trials with valid, score and ic."""
     ok = F.col("valid")
-    return trials.groupBy(by).agg(
+    found = trials.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_valid"), F.count_if(~ok).alias("n_invalid"),
-        F.median(F.when(ok, F.col("score"))).alias("median_score"), F.max(F.when(ok, F.col("score"))).alias("best_score"),
-        F.median(F.when(ok, F.col("ic"))).alias("median_ic"), F.max(F.when(ok, F.col("ic"))).alias("best_ic"),
+        F.max(F.when(ok, F.col("score"))).alias("best_score"), F.max(F.when(ok, F.col("ic"))).alias("best_ic"),
     )
+    return found.join(medians(trials.filter(ok), [by], {"median_score": "score", "median_ic": "ic"}), by, "left")
 
 
 def _beta(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
@@ -104,10 +104,9 @@ def factor_grid(fields: Sequence[str] = ("close", "volume", "open", "high", "low
 
 def candidate_values(bars: DataFrame, factors: dict[str, Factor], by: Sequence[str] = ("instrument_id",), least_rows: int = 3) -> DataFrame:
     """(candidate, by, value, status): every candidate's last value, all from one pass over the bars."""
-    found = last_rows(evaluate(bars, factors, by), by)
+    found = last_rows(evaluate(bars.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*by))), factors, by), by).filter(F.col("_rows") >= least_rows)
     wide = found.select(*by, F.explode(F.array(*(F.struct(F.lit(n).alias("candidate"), F.col(n).alias("value"), F.col(f"{n}_status").alias("status")) for n in factors))).alias("c"))
-    enough = bars.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_rows).select(*by)
-    return wide.join(enough, list(by), "left_semi").select(*by, "c.candidate", "c.value", "c.status")
+    return wide.select(*by, "c.candidate", "c.value", "c.status")
 
 
 def score_candidates(values: DataFrame, by: Sequence[str] = ("candidate",)) -> DataFrame:

@@ -38,6 +38,14 @@ def f2_field(spark, sf):
     return _eval(spark, sf, CLOSE, status=True)
 
 
+@query(sql("SELECT o_orderkey, round(revenue, 4) AS v, CASE WHEN revenue IS NULL THEN 'missing_field' ELSE 'ok' END AS v_status FROM (SELECT o.o_orderkey, f.revenue, f.vt, f.revision FROM (SELECT o_orderkey, o_custkey AS instrument_id, o_orderdate::DATE AS vt FROM orders) o LEFT JOIN fundamentals f ON f.instrument_id = o.instrument_id AND f.vt <= o.vt AND f.kt <= o.vt QUALIFY row_number() OVER (PARTITION BY o.o_orderkey ORDER BY f.vt DESC NULLS LAST, f.revision DESC) = 1)", "fundamentals"))
+def f3_fundamental(spark, sf):
+    """The revenue that was known at each order, declared to be known after 45 days as it is."""
+    left = V.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("instrument_id"), F.to_date("o_orderdate").alias("vt"))
+    rows = B.known_join(left, V.fundamentals(spark, sf), "instrument_id", "revenue")
+    return X.evaluate(rows, {"v": X.fundamental("revenue", 45)}).select("o_orderkey", F.round("v", 4).alias("v"), "v_status")
+
+
 @query(sql("SELECT instrument_id, vt, 2.5::DOUBLE AS v, NULL::DOUBLE AS gone, 'missing_field' AS gone_status FROM bars", "bars"))
 def f1_const_and_missing(spark, sf):
     out = X.evaluate(V.bars(spark, sf), {"v": X.const(2.5), "gone": X.field("nothing")})
@@ -111,9 +119,14 @@ for _n, _op, _value in (
     query(rolling_sql(_value, 6))(_pair)
 
 
-@query(sql("SELECT instrument_id, vt, row_number() OVER (ORDER BY close, instrument_id) / count(*) OVER ()::DOUBLE AS cs FROM (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY vt DESC) = 1)", "bars"))
+_GONE = "user_id % 7 = 0 AND day(ts::DATE) % 2 = 0"
+
+
+@query(sql("SELECT instrument_id, vt, row_number() OVER (ORDER BY close, instrument_id) / count(*) OVER ()::DOUBLE AS cs FROM (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY vt DESC) = 1) WHERE close IS NOT NULL", "bars").replace("arg_max(value, event_id) AS close", f"CASE WHEN {_GONE} THEN NULL ELSE arg_max(value, event_id) END AS close"))
 def f24_cross_section_rank(spark, sf):
-    return X.evaluate_cross_section(V.bars(spark, sf), "rank", CLOSE).select("instrument_id", "vt", "cs")
+    """Every seventh instrument has no close on even days: it has no place if that is its last day."""
+    bars = V.bars(spark, sf).withColumn("close", F.when(~((F.col("instrument_id") % 7 == 0) & (F.day("vt") % 2 == 0)), F.col("close")))
+    return X.evaluate_cross_section(bars, "rank", CLOSE).select("instrument_id", "vt", "cs")
 
 
 @query(sql("SELECT cutoff, instrument_id, round((close - avg(close) OVER (PARTITION BY cutoff)) / nullif(stddev_pop(close) OVER (PARTITION BY cutoff), 0), 6) AS cs FROM (SELECT b.*, cutoff FROM bars b JOIN folds ON vt <= cutoff QUALIFY row_number() OVER (PARTITION BY cutoff, instrument_id ORDER BY vt DESC) = 1)", "bars", "folds"))
@@ -127,7 +140,11 @@ def f26_last_rows(spark, sf):
     return X.last_rows(V.bars(spark, sf).filter(F.col("vt") <= F.lit("2024-01-20").cast("date"))).select("instrument_id", "vt", "close")
 
 
-@query()
+def _lookback_sql() -> str:
+    reach = [(n, 0) for n in (*catalog.BAR, *catalog.PRICE)] + [(f"{n}{w}", family_sql(n, w)[1] - 1) for n in catalog.FAMILIES for w in catalog.WINDOWS]
+    return sql(f"SELECT feature, lookback, count(*) FILTER (n <= lookback) AS too_short FROM (SELECT instrument_id, count(*) AS n FROM long_bars GROUP BY instrument_id), (VALUES {', '.join(map(repr, reach))}) f(feature, lookback) GROUP BY ALL", "long_bars")
+
+
 def f27_lookbacks(spark, sf):
     """Rows that each feature of the catalog reaches back, with the rows of the data that are too short for it."""
     n = V.long_bars(spark, sf).groupBy("instrument_id").agg(F.count(F.lit(1)).alias("n"))
@@ -188,6 +205,7 @@ def _family(name: str) -> None:
 
 for _name in catalog.FAMILIES:
     _family(_name)
+query(_lookback_sql())(f27_lookbacks)
 
 _BAR_SQL = {
     "KMID": "(close - open) / open", "KLEN": "(high - low) / open", "KMID2": "(close - open) / (high - low + 1e-12)", "KUP": "(high - greatest(open, close)) / open",
@@ -237,6 +255,11 @@ def d4_spearman(spark, sf):
     return L.spearman_by_day(_signal_labels(spark, sf), ["vt"]).withColumn("rank_ic", F.round("rank_ic", 6))
 
 
+@query(sql(f"SELECT round(coalesce(avg(rank_ic), 0.0), 4) AS mean_ic, count(rank_ic) AS days FROM ({_AVERAGE})", "bars", "labels_next"))
+def d4_mean_spearman(spark, sf):
+    return L.mean_ic(d4_spearman(spark, sf)).withColumn("mean_ic", F.round("mean_ic", 4))
+
+
 @query(sql(f"SELECT round(avg(rank_ic), 4) AS mean_ic, count(rank_ic) AS days FROM ({_ORDINAL.format(by='vt', rows=_CLOSE_ROWS)})", "bars", "labels_next"))
 def d5_mean_rank_ic(spark, sf):
     return L.rank_ic(_signal_labels(spark, sf), ["vt"]).select(F.round("rank_ic", 6).alias("rank_ic")).agg(F.round(F.avg("rank_ic"), 4).alias("mean_ic"), F.count("rank_ic").alias("days"))
@@ -320,6 +343,18 @@ def e8_cost_adjusted_returns(spark, sf):
     return costs.in_all_scenarios(rows, "fwd").groupBy("vt", "scenario").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("net"), 6).alias("net"))
 
 
+_SCENARIOS = "(VALUES ('c-free', 0.0::DOUBLE), ('c-stress2x', 30.0::DOUBLE)) s(scenario, bps)"
+
+
+@query(sql(_ORDINAL.format(by="vt, scenario", rows=f"SELECT instrument_id, vt, scenario, signal, fwd - 1.0 * bps / 10000.0 AS fwd FROM ({_CLOSE_ROWS}) CROSS JOIN {_SCENARIOS}"), "bars", "labels_next"))
+def e8_cost_adjusted_ic(spark, sf):
+    """Rank IC of the close with next-day returns before and after costs."""
+    from ..operators import costs
+
+    rows = costs.in_all_scenarios(_signal_labels(spark, sf).withColumn("turnover", F.lit(1.0)), "fwd")
+    return L.rank_ic(rows, ["vt", "scenario"], ret="net").withColumn("rank_ic", F.round("rank_ic", 6))
+
+
 _GRID = {f"mean_close_{w}": ("close", w, "avg") for w in (2, 3, 5)} | {f"std_volume_{w}": ("volume", w, "stddev_pop") for w in (2, 4)} | {f"sum_high_{w}": ("high", w, "sum") for w in (3,)}
 _GRID_SQL = " UNION ALL ".join(
     f"SELECT '{n}' AS candidate, avg(v) AS score, count(v) = count(*) AS valid FROM (SELECT instrument_id, vt, CASE WHEN count({c}) {frame(w)} >= {w} THEN {f}({c}) {frame(w)} END AS v, count(*) OVER (PARTITION BY instrument_id) AS k FROM bars QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY vt DESC) = 1) WHERE k >= 3"
@@ -343,12 +378,22 @@ def l2_candidate_rank_ic(spark, sf):
     facts, grid = _facts(spark, sf), S.factor_grid()
     values = S.candidate_values(facts, grid, ("fold_id", "instrument_id"))
     labels = E.fold_labels(V.bars(spark, sf).withColumn("revision", F.lit(0)), V.folds(spark, sf), V.calendar(spark, sf))
-    rows = values.filter("status = 'ok'").withColumnRenamed("value", "signal").join(labels, ["fold_id", "instrument_id"])
+    rows = values.filter("status = 'ok'").withColumnRenamed("value", "signal").join(labels.hint("merge"), ["fold_id", "instrument_id"])
     ic = L.rank_ic(rows, ["fold_id", "candidate"])
     return S.benjamini_hochberg(ic.withColumn("p", S.spearman_p(F.col("rank_ic"), F.col("n")))).select("fold_id", "candidate", "n", F.round("rank_ic", 6).alias("rank_ic"), F.round("p", 6).alias("p"), "accepted")
 
 
-@query()
+def _grid_sql() -> str:
+    fields, ops = ("close", "volume", "open", "high", "low"), {"mean": "avg", "std": "stddev_pop", "sum": "sum"}
+    signs = {"add": "+", "sub": "-", "mul": "*"}
+    made = {f"{op}_{c}_{w}": f"CASE WHEN t >= {w} THEN {f}({c}::DOUBLE) {frame(w)} END" for c in fields for op, f in ops.items() for w in range(2, 11)}
+    made |= {f"{op}_{c}_lag{k}": f"{c}::DOUBLE {sign} lag({c}, {k}) {W}" for c in fields for op, sign in signs.items() for k in range(1, 6)}
+    wide = f"SELECT {', '.join(f'{v} AS {n}' for n, v in made.items())}, row_number() OVER (PARTITION BY instrument_id ORDER BY vt DESC) AS r, count(*) OVER (PARTITION BY instrument_id) AS k FROM (SELECT *, row_number() {W} AS t FROM bars)"
+    each = " UNION ALL ".join(f"SELECT '{n}' AS candidate, CASE WHEN count({n}) = count(*) THEN round(avg({n}), 6) END AS score, count({n}) = count(*) AS valid, CASE WHEN count({n}) < count(*) THEN 'insufficient_history' END AS error FROM last" for n in made)
+    return sql("@", "bars").replace("\n@", f", last AS MATERIALIZED (SELECT * FROM ({wide}) WHERE r = 1 AND k >= 3) {each}")
+
+
+@query(_grid_sql())
 def l3_factor_grid(spark, sf):
     """Every candidate of the full grid over the bars: score and validity."""
     return S.score_candidates(S.candidate_values(V.bars(spark, sf), S.factor_grid())).withColumn("score", F.round("score", 6))
@@ -412,17 +457,39 @@ def c11_index_intersection(spark, sf):
     return _signal_labels(spark, sf).dropna(subset=["signal", "fwd"]).groupBy("vt").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@query()
+_FOUR = {
+    "mean3": (3, "avg(close) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"), "std5": (5, "stddev_pop(close) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"),
+    "rank5": (5, "len(list_filter(list(close) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), lambda x: x <= close)) / 5.0"), "slope4": (4, "covar_pop(close, t) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) / 1.25"),
+}
+
+
+def _mutual_sql() -> str:
+    rows = f"SELECT *, row_number() OVER (PARTITION BY fold_id, instrument_id ORDER BY vt)::DOUBLE AS t FROM ({_FOLD_BARS})"
+    columns = ", ".join(f"CASE WHEN t >= {n} THEN {v} END AS {name}" for name, (n, v) in _FOUR.items())
+    wide = f"SELECT fold_id, instrument_id, t, {columns}, row_number() OVER (PARTITION BY fold_id, instrument_id ORDER BY vt DESC) AS r FROM ({rows}) WINDOW w AS (PARTITION BY fold_id, instrument_id ORDER BY vt)"
+    long = " UNION ALL ".join(f"SELECT fold_id, instrument_id, '{n}' AS candidate, {n} AS v FROM wide WHERE r = 1 AND t >= 3 AND {n} IS NOT NULL" for n in _FOUR)
+    pairs = "SELECT a.fold_id, a.instrument_id, a.candidate, b.candidate AS other, a.v AS signal, b.v AS fwd FROM long a JOIN long b ON a.fold_id = b.fold_id AND a.instrument_id = b.instrument_id AND a.candidate < b.candidate"
+    return sql("@", "bars", "folds").replace("\n@", f", wide AS MATERIALIZED ({wide}), long AS MATERIALIZED ({long}) " + _ORDINAL.format(by="fold_id, candidate, other", rows=pairs))
+
+
+@query(_mutual_sql())
 def l7_mutual_ic(spark, sf):
-    """Rank correlation of every two candidates over the instruments at each fold: a self-join on (fold, instrument)."""
+    """Rank correlation of every two candidates over the instruments at each fold: an instrument's few values are paired in its own row."""
     values = S.candidate_values(_facts(spark, sf), {n: X.rolling(op, CLOSE, w) for n, op, w in (("mean3", "mean", 3), ("std5", "std", 5), ("rank5", "rank", 5), ("slope4", "slope", 4))}, ("fold_id", "instrument_id"))
-    good = values.filter("status = 'ok'").select("fold_id", "instrument_id", "candidate", "value")
-    other = good.select("fold_id", "instrument_id", F.col("candidate").alias("other"), F.col("value").alias("fwd"))
-    pairs = good.withColumnRenamed("value", "signal").join(other, ["fold_id", "instrument_id"]).filter("candidate < other")
+    good = values.filter("status = 'ok'").groupBy("fold_id", "instrument_id").agg(F.array_sort(F.collect_list(F.struct("candidate", "value"))).alias("c"))
+    pairs = good.select("fold_id", "instrument_id", F.posexplode("c").alias("k", "a"), "c").select("fold_id", "instrument_id", "a", F.explode(F.slice(F.col("c"), F.col("k") + 2, F.size("c"))).alias("b"))
+    pairs = pairs.select("fold_id", "instrument_id", F.col("a.candidate").alias("candidate"), F.col("b.candidate").alias("other"), F.col("a.value").alias("signal"), F.col("b.value").alias("fwd"))
     return L.rank_ic(pairs, ["fold_id", "candidate", "other"]).withColumn("rank_ic", F.round("rank_ic", 6))
 
 
-@query()
+_CAMPAIGN = {
+    "B1": _LAST.format(v="m3", least=3), "B3": _LAST.format(v="close - pc", least=2),
+    "B4": f"SELECT fold_id, instrument_id, row_number() OVER (PARTITION BY fold_id ORDER BY s, instrument_id) / count(*) OVER (PARTITION BY fold_id)::DOUBLE AS signal FROM ({_LAST.format(v='close', least=1).replace('AS signal', 'AS s')})",
+    "B5": f"SELECT fold_id, instrument_id, close AS signal FROM ({_FOLD_BARS}) WHERE vt = cutoff",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS experiment_id, fold_id, n_signals, rank_ic, 0 AS n_violations FROM ({_score_sql(signal)})" for name, signal in _CAMPAIGN.items()))
 def e7_campaign(spark, sf):
     """The baselines' fold scores as trial artifacts, through the gate."""
     from ..operators import rules

@@ -53,8 +53,8 @@ def d12_monotone_degradation(spark, sf):
 
 @query(f"SELECT strategy, round(max(fall), 6) AS max_drawdown FROM (SELECT strategy, (greatest(1.0, max(equity) OVER w) - equity) / greatest(1.0, max(equity) OVER w) AS fall FROM (SELECT strategy, seq, product(1 + coalesce(ret, 0)) OVER (PARTITION BY strategy ORDER BY seq) AS equity FROM {_ROWS}) WINDOW w AS (PARTITION BY strategy ORDER BY seq)) GROUP BY strategy")
 def d10_max_drawdown(spark, sf):
-    curve = C.equity_curve(_rows(spark, sf).withColumn("ret", F.coalesce("ret", F.lit(0.0))), ["strategy"], "seq")
-    return curve.groupBy("strategy").agg(F.round(F.max("fall"), 6).alias("max_drawdown"))
+    rows = _rows(spark, sf).withColumn("ret", F.coalesce("ret", F.lit(0.0)))
+    return C.drawdowns(rows, ["strategy"], "seq").select("strategy", F.round("max_drawdown", 6).alias("max_drawdown"))
 
 
 @query("SELECT user_id, event_id, round(product(1 + value / 10000) OVER w, 6) AS equity FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
@@ -131,8 +131,8 @@ _ARTIFACT = """(SELECT doc_id, sha256(doc_id::VARCHAR) AS h, CASE WHEN doc_id %
 
 
 @query(
-    f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN code_sha = '' THEN 'missing code_sha' END, CASE WHEN code_sha = 'short' THEN 'code_sha must be a 64-char hex string' END, CASE WHEN no_seeds THEN 'seeds must be non-empty' END,
- CASE WHEN status = 'running' THEN 'status is not a terminal value' END, CASE WHEN code_sha IN ('', 'short') THEN 'artifact code value must be a 64-char hex hash' END, CASE WHEN sealed - unsealed > 0.5 THEN 'contamination sentinel triggered: sealed score implausibly better' END],
+    f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN code_sha = '' THEN 'code_sha: none' END, CASE WHEN code_sha = 'short' THEN 'code_sha: not 64 hex digits' END, CASE WHEN no_seeds THEN 'seeds: none' END,
+ CASE WHEN status = 'running' THEN 'status: not an end' END, CASE WHEN code_sha IN ('', 'short') THEN 'artifact code: not 64 hex digits' END, CASE WHEN sealed - unsealed > 0.5 THEN 'scores: sealed far above unsealed' END],
  lambda x: x IS NOT NULL), '; ') AS violations FROM {_ARTIFACT}"""
 )
 def p9_trial_gate(spark, sf):

@@ -111,8 +111,8 @@ def p5_payload_field(spark, sf):
 @query(
     sql(
         """SELECT c.i >= 4 AND c.d >= 10 AND c.e = 0 AS ok,
- CASE WHEN c.i < 4 THEN 'only ' || c.i || ' bar instruments, need >= 4' WHEN c.d < 10 THEN 'only ' || c.d || ' bar days, need >= 10' WHEN c.e > 0 THEN c.e || ' records have kt < vt'
- ELSE 'ok: ' || c.i || ' instruments, ' || c.d || ' days, ' || c.n || ' namespaces' END AS message
+ CASE WHEN c.i < 4 THEN 'instruments ' || c.i || '/4' WHEN c.d < 10 THEN 'days ' || c.d || '/10' WHEN c.e > 0 THEN 'known too early ' || c.e
+ ELSE 'ok ' || c.i || '/' || c.d || '/' || c.n END AS message
 FROM (SELECT count(DISTINCT CASE WHEN namespace = 'bar' THEN instrument_id END) AS i, count(DISTINCT CASE WHEN namespace = 'bar' THEN vt END) AS d,
  count(*) FILTER (kt < vt AND namespace NOT IN ('corporate_action', 'universe')) AS e, count(DISTINCT namespace) AS n FROM records) c""",
         "records",
@@ -187,15 +187,15 @@ def c6_interval_join(spark, sf):
 
 @query(
     sql(
-        """SELECT o.o_orderkey, o.instrument_id, o.vt, max(struct_pack(v := f.vt, r := f.revenue_cents)).v AS revenue_vt, max(struct_pack(v := f.vt, r := f.revenue_cents)).r AS revenue
-FROM (SELECT o_orderkey, o_custkey AS instrument_id, o_orderdate::DATE AS vt FROM orders) o LEFT JOIN fundamentals f ON f.instrument_id = o.instrument_id AND f.vt <= o.vt AND f.kt <= o.vt GROUP BY ALL""",
+        """SELECT o.o_orderkey, o.instrument_id, o.vt, f.vt AS revenue_vt, round(f.revenue, 4) AS revenue
+FROM (SELECT o_orderkey, o_custkey AS instrument_id, o_orderdate::DATE AS vt FROM orders) o LEFT JOIN fundamentals f ON f.instrument_id = o.instrument_id AND f.vt <= o.vt AND f.kt <= o.vt
+QUALIFY row_number() OVER (PARTITION BY o.o_orderkey ORDER BY f.vt DESC NULLS LAST, f.revision DESC) = 1""",
         "fundamentals",
     )
 )
 def c14_point_in_time_join(spark, sf):
     left = V.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("instrument_id"), F.to_date("o_orderdate").alias("vt"))
-    right = V.fundamentals(spark, sf).withColumnRenamed("revenue_cents", "revenue")
-    return B.known_join(left, right, "instrument_id", "revenue")
+    return B.known_join(left, V.fundamentals(spark, sf), "instrument_id", "revenue").withColumn("revenue", F.round("revenue", 4))
 
 
 @query(

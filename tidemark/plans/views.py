@@ -77,9 +77,15 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fundamentals(spark: SparkSession, sf: str) -> DataFrame:
+    """Quarterly sums of orders, known 45 days later; every third customer's are restated 60 days after that."""
     end = F.date_sub(F.add_months(F.trunc("o_orderdate", "quarter"), 3), 1)
     o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("instrument_id"), end.alias("vt"))
-    return o.agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint"))).alias("revenue_cents")).withColumn("kt", F.date_add("vt", 45))
+    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    first = o.agg(cents.alias("cents")).select("instrument_id", "vt", F.date_add("vt", 45).alias("kt"), F.lit(0).alias("revision"), (F.col("cents") / 100).alias("revenue"))
+    again = F.when(F.col("instrument_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return first.withColumn("revision", F.explode(again)).select(
+        "instrument_id", "vt", F.date_add("kt", 60 * F.col("revision")).alias("kt"), "revision", (F.col("revenue") - F.col("revision") * 1000.25).alias("revenue")
+    )
 
 
 def intents(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,8 +125,9 @@ SQL = {
       CASE WHEN o_orderkey % 2 = 0 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END AS ratio FROM orders WHERE o_orderpriority = '1-URGENT'""",
     "edges": """SELECT s_suppkey AS src, s_nationkey AS dst, 'nation' AS kind, vf AS valid_from, vf + 720 AS valid_to, vf + (s_suppkey % 90)::INT AS known_at
       FROM (SELECT *, DATE '1995-01-01' + (s_suppkey % 365)::INT AS vf FROM supplier)""",
-    "fundamentals": """SELECT o_custkey AS instrument_id, (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH)::DATE - 1 AS vt, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS revenue_cents,
-      (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH)::DATE - 1 + 45 AS kt FROM orders GROUP BY 1, 2""",
+    "fundamentals": """SELECT instrument_id, vt, vt + 45 + 60 * r AS kt, r AS revision, cents / 100.0::DOUBLE - r * 1000.25::DOUBLE AS revenue
+      FROM (SELECT o_custkey AS instrument_id, (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH)::DATE - 1 AS vt, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents FROM orders GROUP BY 1, 2),
+      (VALUES (0), (1)) v(r) WHERE r = 0 OR instrument_id % 3 = 0""",
     "intents": """SELECT l_orderkey, l_linenumber, l_extendedprice / 1e6 AS notional, CASE WHEN l_returnflag = 'N' THEN 'buy' ELSE 'sell' END AS side,
       abs(c_acctbal) / 1e4 AS gross, c_acctbal / 2e4 AS net, greatest(-c_acctbal, 0.0) / 1e4 AS loss
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""",

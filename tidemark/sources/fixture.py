@@ -18,9 +18,12 @@ def lcg(x: Column) -> Column:
 
 def weekdays(spark: SparkSession, first: str = FIRST_DAY, n: int = DAYS) -> DataFrame:
     """(di, vt) of the first ``n`` weekdays from ``first``."""
-    start = F.lit(first).cast("date")
-    days = spark.range(1).select(F.explode(F.sequence(start, F.date_add(start, 2 * n + 7))).alias("vt")).filter(F.weekday("vt") < 5)
-    return days.groupBy().agg(F.slice(F.array_sort(F.collect_list("vt")), 1, n).alias("d")).select(F.posexplode("d").alias("di", "vt"))
+    return spark.range(1).select(F.posexplode(weekdays_from(F.lit(first).cast("date"), n)).alias("di", "vt"))
+
+
+def weekdays_from(day: Column, n: int) -> Column:
+    """The first ``n`` weekdays from a day, itself included."""
+    return F.slice(F.filter(F.sequence(day, F.date_add(day, 2 * n + 7)), lambda d: F.weekday(d) < 5), 1, n)
 
 
 def month_after(day: Column, months: int) -> Column:
@@ -29,16 +32,20 @@ def month_after(day: Column, months: int) -> Column:
     return F.make_date(F.year(at), F.month(at), F.least(F.day(day), F.lit(28)))
 
 
+def panel_bars(symbols: DataFrame, n: int = DAYS) -> DataFrame:
+    """Bars of symbols (instrument_id, base) over ``n`` weekdays; base is the sum of a name's character codes."""
+    grid = symbols.select("*", F.posexplode(weekdays_from(F.lit(FIRST_DAY).cast("date"), n)).alias("di", "vt"))
+    close = F.round(50 + F.col("base") % 20 + F.col("di") * 0.05 + (lcg(F.col("base") * 1000 + F.col("di")) % 1000) / 200, 4)
+    bars = grid.withColumns({"namespace": F.lit("bar"), "kt": F.col("vt"), "revision": F.lit(0), "close": close})
+    return bars.withColumns({"open": F.col("close") - 0.1, "high": F.col("close") + 0.25, "low": F.col("close") - 0.3, "volume": 100000 + lcg(F.col("base") * 7 + F.col("di")) % 50000})
+
+
 def panel(spark: SparkSession) -> DataFrame:
     """All 383 records: bars, fundamentals with restatements, one split and the universe's changes."""
     s = spark.createDataFrame([(i, n, sum(map(ord, n))) for i, n in enumerate(SYMBOLS)], "si bigint, instrument_id string, base bigint")
     fill = lambda df: df.select("namespace", "instrument_id", "vt", "kt", "revision", *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in NO_PAYLOAD.items()))
 
-    days = weekdays(spark)
-    grid = s.withColumn("di", F.explode(F.sequence(F.lit(0), F.lit(DAYS - 1)))).join(days, "di")
-    close = F.round(50 + F.col("base") % 20 + F.col("di") * 0.05 + (lcg(F.col("base") * 1000 + F.col("di")) % 1000) / 200, 4)
-    bars = grid.withColumns({"namespace": F.lit("bar"), "kt": F.col("vt"), "revision": F.lit(0), "close": close})
-    bars = bars.withColumns({"open": F.col("close") - 0.1, "high": F.col("close") + 0.25, "low": F.col("close") - 0.3, "volume": 100000 + lcg(F.col("base") * 7 + F.col("di")) % 50000})
+    bars = panel_bars(s)
 
     q = s.select("si", "instrument_id", F.posexplode(F.array(*(F.lit(d).cast("date") for d in QUARTERS))).alias("qi", "vt"))
     q = q.withColumns({"namespace": F.lit("fundamental"), "revision": F.lit(0), "kt": F.date_add(month_after(F.col("vt"), 1), 15), "revenue": (1000 + 100 * F.col("si") + 25 * F.col("qi")).cast("bigint")})
@@ -55,9 +62,9 @@ def panel(spark: SparkSession) -> DataFrame:
     return whole
 
 
-def holdout(spark: SparkSession, days: int = 20, symbols: tuple[str, ...] = SYMBOLS[:5], first: str = "2025-01-01") -> DataFrame:
-    """(line, label): canonical JSON of generated bars, and apart from it the label of each."""
-    s = spark.createDataFrame(list(enumerate(symbols)), "k bigint, instrument_id string")
+def holdout(spark: SparkSession, days: int = 20, symbols: tuple[str, ...] | DataFrame = SYMBOLS[:5], first: str = "2025-01-01") -> DataFrame:
+    """(line, label): canonical JSON of generated bars, and apart from it the label of each; symbols are names or a table (k, instrument_id)."""
+    s = symbols if isinstance(symbols, DataFrame) else spark.createDataFrame(list(enumerate(symbols)), "k bigint, instrument_id string")
     grid = s.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
     day = F.date_add(F.lit(first).cast("date"), F.col("n")).cast("string")
     close = F.lit(100.0) + F.col("k") * 10 + F.col("n") * 0.25
@@ -78,9 +85,9 @@ def write_holdout(rows: DataFrame, features: str, labels: str) -> None:
     rows.select("label").write.text(labels)
 
 
-def close_matrix(spark: SparkSession, days: int = 45, symbols: tuple[str, ...] = SYMBOLS[:4]) -> DataFrame:
-    """(vt, instrument_id, close) of four symbols over 45 weekdays, by a formula."""
-    s = spark.createDataFrame(list(enumerate(symbols)), "si bigint, instrument_id string")
-    grid = s.withColumn("di", F.explode(F.sequence(F.lit(0), F.lit(days - 1)))).join(weekdays(spark, n=days), "di")
+def close_matrix(spark: SparkSession, days: int = 45, symbols: tuple[str, ...] | DataFrame = SYMBOLS[:4]) -> DataFrame:
+    """(vt, instrument_id, close) of four symbols over 45 weekdays, by a formula; symbols are names or a table (si, instrument_id)."""
+    s = symbols if isinstance(symbols, DataFrame) else spark.createDataFrame(list(enumerate(symbols)), "si bigint, instrument_id string")
+    grid = s.select("*", F.posexplode(weekdays_from(F.lit(FIRST_DAY).cast("date"), days)).alias("di", "vt"))
     close = 80 + 7 * F.col("si") + F.col("di") * (0.08 + 0.015 * F.col("si")) + ((F.col("di") + 1) * (F.col("si") + 3) % 9) * 0.11
     return grid.select("vt", "instrument_id", close.alias("close"))

@@ -16,6 +16,9 @@ BAR_PAGE = "results array<struct<t:bigint,o:double,h:double,l:double,c:double,v:
 DIVIDEND_PAGE = "results array<struct<ex_dividend_date:string,cash_amount:double,currency:string,declaration_date:string,record_date:string,pay_date:string,frequency:int>>, _bad string"
 SPLIT_PAGE = "results array<struct<execution_date:string,split_from:double,split_to:double>>, _bad string"
 
+#: The last millisecond of the year 9999.
+LAST_MS = 253_402_300_799_999
+
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Records from JSON lines; a missing run id is "fixture", blank lines are passed over."""
@@ -46,10 +49,11 @@ def read_pages(spark: SparkSession, path: str | Sequence[str], schema: str) -> t
 
 
 def vendor_date(text: Column) -> Column:
-    """Epoch milliseconds, an ISO day or an ISO time with Z, as a day."""
+    """Epoch milliseconds (digits, however many), an ISO day or an ISO time with Z, as a day; null past the year 9999."""
     text = text.cast("string")
-    digits = F.regexp_like(text, F.lit(r"^\d{9,}$"))
-    return F.when(digits, F.to_date(F.timestamp_millis(F.when(digits, text).cast("bigint")))).otherwise(F.coalesce(F.to_date(F.try_to_timestamp(text)), F.when(F.regexp_like(text, F.lit(r"^\d{4}-\d{2}-\d{2}")), F.to_date(F.try_to_timestamp(F.substring(text, 1, 10))))))
+    digits = F.regexp_like(text, F.lit(r"^[0-9]+$"))
+    ms = F.when(digits, text.try_cast("bigint"))
+    return F.when(digits, F.to_date(F.timestamp_millis(F.when(ms <= LAST_MS, ms)))).otherwise(F.coalesce(F.to_date(F.try_to_timestamp(text)), F.when(F.regexp_like(text, F.lit(r"^\d{4}-\d{2}-\d{2}")), F.to_date(F.try_to_timestamp(F.substring(text, 1, 10))))))
 
 
 def bar_records(pages: DataFrame, instrument: Column, run_id: str) -> DataFrame:
@@ -110,6 +114,12 @@ def file_digests(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"))
 
 
+def verify_files(spark: SparkSession, path: str | Sequence[str], manifest: DataFrame) -> DataFrame:
+    """(file, expected, sha256, matches) of a manifest (file: the name, expected: its digest); a file that isn't there doesn't match."""
+    found = file_digests(spark, path).select(F.element_at(F.split("file", "/"), -1).alias("file"), "sha256")
+    return manifest.join(found.hint("merge"), "file", "left").withColumn("matches", F.coalesce(F.col("expected") == F.col("sha256"), F.lit(False)))
+
+
 def read_artifacts(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
     """Trial artifacts from lines of JSON, with ``violation`` for those that are no object."""
     read = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
@@ -117,6 +127,6 @@ def read_artifacts(spark: SparkSession, path: str | Sequence[str], schema: str)
     return rows.withColumn("violation", F.when(F.col("_bad").isNotNull(), "invalid JSON")).drop("_bad")
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Audit lines, appended; what is there is never rewritten."""
-    rows.write.mode("append").json(path)
+def append_lines(rows: DataFrame, path: str) -> None:
+    """Audit lines (value), appended; what is there is never rewritten."""
+    rows.select("value").write.mode("append").text(path)
