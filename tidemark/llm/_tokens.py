@@ -19,7 +19,7 @@ import pyarrow as pa
 from ._words import SPACE, hash_ranges, text_pieces
 
 #: Units and ids that a task remembers at most; it begins anew beyond that.
-MOST_UNITS, MOST_IDS = 1_000_000, 6_000_000
+MOST_UNITS, MOST_IDS = 400_000, 2_500_000
 #: Bytes of text that are encoded at once; a single longer text is a piece of its own.
 PIECE_BYTES = 1 << 20
 
