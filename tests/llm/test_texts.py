@@ -337,6 +337,28 @@ def plain_spans(t):
     return ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(out))
 
 
+def test_what_chunks_send():
+    """Counts, keys and places come back as they were, over their whole range and for few and many buckets."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    for x in ([0, 1, 254, 255, 256, 2**40], [0], []):
+        x = np.array(x, np.int64)
+        assert lm_score._wide(pa.py_buffer(lm_score._small(x)), [len(x)]).tolist() == x.tolist()
+    keys = np.sort(r.integers(0, 2**64, 20_000, dtype=np.uint64))
+    for buckets in (1, 7, 255, 256, 1000, 70_000):
+        seen = 0
+        for bucket, (own,) in lm_score._deal([keys], buckets):
+            mine = keys[own]
+            raw = pa.py_buffer(lm_score._short(mine, buckets))
+            assert len(np.unique(lm_score._long(raw, len(mine)))) == len(mine) and len(raw) == len(mine) * (8 if buckets < 256 else 7 if buckets < 65536 else 6)
+            place = lm_score._in_bucket(mine, buckets)
+            assert (np.diff(place.astype(np.int64)) >= 0).all() and place.max() < 1 << lm_score.PLACE_BITS
+            assert lm_score._places(pa.py_buffer(lm_score._steps(place))).tolist() == place.tolist()
+            seen += len(mine)
+        assert seen == len(keys)
+
+
 def test_fixed_spans_of_odd_texts():
     import random
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 _own: dict[str, str] = {}
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 #: Keys (an id and a hash) that are broadcast at most.
 FEW_ROWS = 200_000
 #: Spark's setting that deletes shuffle files at the end of the query that wrote them.
@@ -21,8 +23,14 @@ CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def map_batches(df: DataFrame, call, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors; a task's Arrow memory goes back when it ends."""
+    """``mapInArrow`` with this package at hand on the executors; a task's Arrow memory goes back when it ends.
+
+    Texts are long rows: a session that has Spark's own batch of 10,000 rows gets
+    ``BATCH_ROWS``, as JVM and Python both hold whole batches.
+    """
     ship(df.sparkSession)
+    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(partial(_released, call), schema)
 
 
@@ -67,13 +75,17 @@ class Scratch:
         self.tables: dict[str, str] = {}
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION '{folder}'")
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """The rows of ``df`` from a table; an earlier table of that name stays until it is dropped by ``drop``."""
+    def write(self, df: DataFrame, name: str, bucket_by: str | None = None, buckets: int = 0) -> DataFrame:
+        """The rows of ``df`` from a table; an earlier table of that name stays until it is dropped by ``drop``.
+
+        With ``bucket_by`` a later grouping by that column moves no rows of the table.
+        """
         table = f"{self.database}.{name.replace('-', '_')}_{uuid.uuid4().hex}"
         before = self.spark.conf.get(CLEAN_SHUFFLES, "false")
         self.spark.conf.set(CLEAN_SHUFFLES, "true")
         try:
-            df.write.format("parquet").saveAsTable(table)
+            writer = df.write.format("parquet")
+            (writer.bucketBy(buckets, bucket_by) if bucket_by else writer).saveAsTable(table)
         finally:
             self.spark.conf.set(CLEAN_SHUFFLES, before)
         self.tables[table] = name
