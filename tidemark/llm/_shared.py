@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -35,8 +36,12 @@ def map_batches(df: DataFrame, call, schema: str) -> DataFrame:
 
 
 def _released(call, batches):
+    """The batches of ``call``; then what Arrow and the C library have kept goes back, as Spark keeps workers for later tasks."""
     yield from call(batches)
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def shared_folder(spark: SparkSession) -> str:
