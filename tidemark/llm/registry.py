@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, lm_score, main_text, ngram_join, packing, pii, quality, sentence_pieces, source_audit, token_counts, toxicity
+from . import decontaminate, exact_dedup, lm_score, main_text, merkle_manifest, ngram_join, packing, pii, quality, sentence_pieces, source_audit, token_counts, toxicity
 
-MODULES = (exact_dedup, ngram_join, decontaminate, packing, token_counts, lm_score, quality, toxicity, main_text, pii, sentence_pieces, source_audit)
+MODULES = (exact_dedup, ngram_join, decontaminate, packing, token_counts, lm_score, quality, toxicity, main_text, pii, merkle_manifest, sentence_pieces, source_audit)
 
 
 def queries() -> dict:
