@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ._shared import FEW_ROWS, Scratch
 
 #: Nodes that share a parent, and levels of a block.
-ARITY, DIGITS = 2, 8
+ARITY, DIGITS = 2, 6
 #: What a leaf is the hash of, in this order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
