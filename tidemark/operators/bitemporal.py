@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .time_index import dominated, stabbed
+
 KEY = ("namespace", "instrument_id", "vt")
 NAMESPACES = ("bar", "fundamental", "corporate_action", "universe", "macro")
 
@@ -110,8 +112,16 @@ def edges_as_of(edges: DataFrame, vt, kt) -> DataFrame:
 
 
 def edges_at_points(edges: DataFrame, points: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Edges for many (vt, kt) points: an equi-join on ``on`` with the interval as residual."""
-    return points.join(edges, list(on)).filter("valid_from <= vt and valid_to >= vt and known_at <= kt")
+    """Edges for many (vt, kt) points: they meet by equality of ``on`` and a node of time (``time_index.stabbed``).
+
+    Points without a ``kt`` know what is known at vt: an edge holds from where it
+    is both valid and known.  Where the times differ, the knowledge time is looked at
+    in the pairs that meet in valid time.
+    """
+    if "kt" in points.columns:
+        return stabbed(points, edges, on, "vt", "valid_from", "valid_to").filter("known_at <= kt")
+    known = edges.filter(F.col("known_at").isNotNull()).withColumn("_from", F.greatest("valid_from", "known_at"))
+    return stabbed(points, known.filter(F.col("valid_from").isNotNull()), on, "vt", "_from", "valid_to").drop("_from")
 
 
 def edges_as_records(edges: DataFrame) -> DataFrame:
@@ -123,15 +133,15 @@ def edges_as_records(edges: DataFrame) -> DataFrame:
 
 
 def split_ratio(points: DataFrame, splits: DataFrame, key: str = "instrument_id") -> DataFrame:
-    """``points`` (key, vt, kt, ...) with the product of the ratios of splits in effect and known; 1.0 where there is none.
+    """``points`` (key, vt, kt, ...) with the product of the ratios of splits in effect and known; 1.0 where there is none."""
+    found = dominated(points, splits, key, ("vt", "kt"), {"split_ratio": ("product", F.col("ratio"))})
+    return found.withColumn("split_ratio", F.coalesce("split_ratio", F.lit(1.0)))
 
-    The splits are summed up first, so each point only meets those of its own
-    instrument: a left join on the instrument with the two times as residual.
-    """
-    s = splits.select(F.col(key), F.col("vt").alias("_vt"), F.col("kt").alias("_kt"), "ratio")
-    keyed = points.withColumn("_point", F.struct(*points.columns))
-    met = keyed.join(s, (keyed[key] == s[key]) & (s["_vt"] <= keyed["vt"]) & (s["_kt"] <= keyed["kt"]), "left")
-    return met.groupBy("_point").agg(F.coalesce(F.product("ratio"), F.lit(1.0)).alias("split_ratio")).select("_point.*", "split_ratio")
+
+def split_count(points: DataFrame, splits: DataFrame, key: str = "instrument_id") -> DataFrame:
+    """``points`` (key, vt, kt, ...) with the number of splits in effect and known."""
+    found = dominated(points, splits, key, ("vt", "kt"), {"n_splits": ("sum", F.when(F.col("ratio").isNotNull(), 1).otherwise(0))})
+    return found.withColumn("n_splits", F.coalesce("n_splits", F.lit(0)).cast("bigint"))
 
 
 def apply_split(price: Column, ratio: Column, mode: str) -> Column:

@@ -167,10 +167,7 @@ def c5_split_ratio(spark, sf):
 
 @query(sql(f"SELECT p.instrument_id, p.point, count(s.ratio) AS n_splits FROM {_POINTS} p LEFT JOIN splits s ON s.instrument_id = p.instrument_id AND s.vt <= p.vt AND s.kt <= p.kt GROUP BY ALL", "splits"))
 def d8_split_count(spark, sf):
-    p = _points(spark, sf)
-    s = V.splits(spark, sf).select(F.col("instrument_id").alias("i"), F.col("vt").alias("v"), F.col("kt").alias("k"), "ratio")
-    met = p.join(s, (p["instrument_id"] == s["i"]) & (s["v"] <= p["vt"]) & (s["k"] <= p["kt"]), "left")
-    return met.groupBy("instrument_id", "point").agg(F.count("ratio").alias("n_splits"))
+    return B.split_count(_points(spark, sf), V.splits(spark, sf)).select("instrument_id", "point", "n_splits")
 
 
 @query(sql("SELECT b.instrument_id, b.vt, round(b.close / pow(2, (b.instrument_id % 3)), 6) AS adjusted, b.close AS raw FROM bars b", "bars"))
@@ -181,7 +178,7 @@ def i14_apply_split(spark, sf):
 
 @query(sql("SELECT o_orderkey, src, dst, vt FROM (SELECT o_orderkey, (o_orderkey % 25)::INT AS dst, o_orderdate::DATE AS vt FROM orders) o JOIN edges e USING (dst) WHERE valid_from <= vt AND valid_to >= vt AND known_at <= vt", "edges"))
 def c6_interval_join(spark, sf):
-    points = V.table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 25).cast("int").alias("dst"), F.to_date("o_orderdate").alias("vt"), F.to_date("o_orderdate").alias("kt"))
+    points = V.table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 25).cast("int").alias("dst"), F.to_date("o_orderdate").alias("vt"))
     return B.edges_at_points(V.edges(spark, sf), points, ["dst"]).select("o_orderkey", "src", "dst", "vt")
 
 
