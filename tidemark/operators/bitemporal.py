@@ -52,14 +52,60 @@ def revisions(rows: DataFrame, known_from, known_to) -> DataFrame:
     return rows.filter(F.col("kt").between(known_from, known_to))
 
 
+def visible_folds(rows: DataFrame, folds: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """``rows`` that some fold sees, each with the run of folds that see it: ``first_fold`` and ``past_fold``.
+
+    Folds are numbered from 0 by their cutoffs.  A fold sees what is valid and known
+    by its cutoff, so a revision is seen from one fold on, until a higher revision of
+    its key is.  A row meets its first fold by its day, in a broadcast table of days,
+    and is moved once, by its key, whatever the number of folds.  Cutoffs are days from
+    1900 on, which bounds the days; facts may be older.
+    """
+    numbered, early = _numbered(folds), F.lit("1900-01-01").cast("date")
+    cutoff = F.to_date("cutoff")
+    before = F.coalesce(F.lag(cutoff).over(Window.orderBy("_fold")), F.when(cutoff < early, F.raise_error("cutoffs are days from 1900 on").cast("date")).otherwise(F.date_sub(early, 1)))
+    since = numbered.withColumn("_before", before).filter(F.col("_before") < cutoff)
+    days = since.select(F.explode(F.sequence(F.date_add("_before", 1), cutoff)).alias("_day"), F.col("_fold").alias("first_fold"), "_folds")  # a row for each day
+    timed = rows.withColumn("_day", F.when(F.col("vt").isNotNull() & F.col("kt").isNotNull(), F.greatest(F.to_date("vt"), F.to_date("kt"), early)))
+    higher = Window.partitionBy(*key).orderBy(F.col("revision").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    run = timed.join(F.broadcast(days), "_day").withColumn("past_fold", F.coalesce(F.min("first_fold").over(higher), F.col("_folds")))
+    return run.filter("first_fold < past_fold").select(*rows.columns, "first_fold", "past_fold")
+
+
+def _numbered(folds: DataFrame) -> DataFrame:
+    """Folds with their number and how many there are: a row for each cutoff of a study."""
+    order = Window.orderBy("cutoff", "fold_id")
+    known = folds.filter(F.col("cutoff").isNotNull())
+    return known.select("fold_id", "cutoff", (F.row_number().over(order) - 1).alias("_fold"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).cast("int").alias("_folds"))
+
+
 def as_of_folds(rows: DataFrame, folds: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """The facts that each fold sees: known and valid by its cutoff.
+    """The facts that each fold sees: rows are multiplied by their folds after they have been moved (``visible_folds``)."""
+    seen = visible_folds(rows, folds, key).withColumn("_fold", F.explode(F.sequence(F.col("first_fold"), F.col("past_fold") - 1)))
+    return seen.join(F.broadcast(_numbered(folds)), "_fold").select(*rows.columns, "fold_id", "cutoff")
+
+
+def fold_totals(rows: DataFrame, folds: DataFrame, by: Sequence[str], sums: dict[str, Column], key: Sequence[str] = KEY) -> DataFrame:
+    """(fold_id, cutoff, by, n, sums) of the facts that each fold sees, without a row for each fact and fold.
 
-    ``folds`` (fold_id, cutoff) has a row for each cutoff of a study, so it is
-    broadcast; rows are multiplied by the folds that see them.
+    A run of folds adds a value where it begins and takes it away where it
+    ends; the running sum of these differences is each fold's total.  Sums are of whole
+    numbers or decimals, which differences don't round.
     """
-    seen = rows.join(F.broadcast(folds.select("fold_id", "cutoff")), (F.col("vt") <= F.col("cutoff")) & (F.col("kt") <= F.col("cutoff")))
-    return latest(seen, ["fold_id", *key], F.col("revision").desc())
+    for name, value in sums.items():
+        if rows.select(value.alias(name)).schema[0].dataType.typeName() in ("double", "float"):
+            raise ValueError(f"{name}: differences of floating numbers aren't exact")
+    runs = visible_folds(rows, folds, key).select(*by, "first_fold", "past_fold", F.lit(1).cast("bigint").alias("n"), *(F.coalesce(v, F.lit(0)).alias(c) for c, v in sums.items()))
+    names = ["n", *sums]
+    edge = lambda at, sign: F.struct(F.col(at).alias("_fold"), *((F.col(c) * sign).alias(c) for c in names))
+    steps = runs.select(*by, F.explode(F.array(edge("first_fold", 1), edge("past_fold", -1))).alias("s")).select(*by, "s.*")
+    steps = steps.groupBy(*by, "_fold").agg(*(F.sum(c).alias(c) for c in names))
+    numbered = _numbered(folds).drop("_folds")
+    every = steps.select(*by).distinct().crossJoin(F.broadcast(numbered.select("_fold")))  # a row for each group and fold, as the result has
+    dense = steps.unionByName(every, allowMissingColumns=True).groupBy(*by, "_fold").agg(*(F.sum(c).alias(c) for c in names))
+    so_far = Window.partitionBy(*by).orderBy("_fold").rowsBetween(Window.unboundedPreceding, 0)  # a row for each fold
+    total = dense.withColumns({c: F.sum(c).over(so_far) for c in names}).filter("n > 0")
+    return total.join(F.broadcast(numbered), "_fold").select("fold_id", "cutoff", *by, *names)
 
 
 def violations(rows: DataFrame) -> Column:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import bitemporal as B
 from ..operators import labels as L
+from ..operators.snapshots import FactStore
 from . import views as V
+from .folders import new_folder, written
 from .registry import query
 from .views import sql
 
@@ -137,6 +139,42 @@ def c4_walk_forward_folds(spark, sf):
     return B.as_of_folds(V.records(spark, sf), V.folds(spark, sf))
 
 
+@query(sql("SELECT fold_id, cutoff, namespace, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM fold_facts GROUP BY ALL", "fold_facts"))
+def c4_fold_totals(spark, sf):
+    """Facts and their sum that each fold sees, by differences between folds."""
+    return B.fold_totals(V.records(spark, sf), V.folds(spark, sf), ["namespace"], {"cents": F.round(F.col("value") * 100).cast("bigint")})
+
+
+@query(sql(_AS_OF.format(cols=_ALL, where="kt <= DATE '2024-01-15'"), "records"))
+def c1_snapshot_as_of(spark, sf):
+    """All records known by a day, read from a store's snapshot of an earlier day and the facts since."""
+    store = _store(spark, sf)
+    found = written(store.as_of(MID), "as_of").select(*_ALL.split(", "))
+    store.drop()
+    return found
+
+
+@query(sql(_AS_OF.format(cols=_ALL, where="kt <= DATE '2024-01-15' AND namespace = 'bar' AND instrument_id = 15"), "records"))
+def m2_snapshot_history(spark, sf):
+    """One instrument's history as known by a day, from a store's snapshot and tail."""
+    store = _store(spark, sf)
+    found = written(store.as_of(MID, "bar", [15]), "history").select(*_ALL.split(", "))
+    store.drop()
+    return found
+
+
+def _store(spark, sf):
+    """A store of all records, appended in two batches, with snapshots after each."""
+    folder = new_folder(spark)
+    store = FactStore(spark, f"facts_{folder.rsplit('-', 1)[-1].replace('/', '_')}", path=folder)
+    r = V.records(spark, sf)
+    store.append(r.filter(F.col("kt") <= _day("2024-01-08")))
+    store.compact("2024-01-08")
+    store.append(r.filter(F.col("kt") > _day("2024-01-08")))
+    store.compact("2024-01-12")
+    return store
+
+
 @query(sql("SELECT instrument_id, vt, round(fwd, 6) AS fwd FROM labels_next", "labels_next"))
 def c2_next_day_label(spark, sf):
     return L.next_day_returns(V.bars(spark, sf), V.calendar(spark, sf)).withColumn("fwd", F.round("fwd", 6))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,18 +13,11 @@ from ..operators import search as S
 from ..operators.ranks import placed
 from ..sources import ingest as I
 from . import views as V
+from .folders import new_folder as _folder
 from .registry import query
 from .views import sql
 
 
-def _folder(spark) -> str:
-    """A new folder where the cluster's checkpoints go; a temporary one only in a local session where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{named.rstrip('/')}/landed-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="tidemark-landed-") + "/data"
-
-
 def _print_sql(rows: str, by: str) -> str:
     """Fingerprints of groups: digests in order by their first three digits, then those of the parts."""
     part = f"SELECT {by}, substr(d, 1, 3) AS b, sha256(string_agg(d, '' ORDER BY d)) AS d, count(*) AS n FROM ({rows}) GROUP BY ALL"
