@@ -176,9 +176,8 @@ def _pairs_of_block(rows: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
     groups = groups.sort_values("source")
     own, base = groups["source"].to_numpy(), groups["base"].to_numpy(np.int64)
     n = len(own)
-    lang = groups["lang"].iloc[0] if n else None
     if n < 2 or not len(rows):
-        return pd.DataFrame({"lang": [], "source": [], "item": [], "value": []})
+        return _sums([], np.array([], object), np.array([], object), np.array([], np.int64))
     column = np.searchsorted(own, rows["source"].to_numpy())
     order = np.lexsort((rows["part"].to_numpy(), rows["digest"].to_numpy()))
     digest, part, column, p = rows["digest"].to_numpy()[order], rows["part"].to_numpy()[order], column[order], rows["p"].to_numpy(np.int64)[order]
@@ -195,7 +194,11 @@ def _pairs_of_block(rows: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
             gap = dense - dense[b]
             total[:, b] += (gap * gap // dense[b]).sum(axis=1)
     a, b = np.nonzero(~np.eye(n, dtype=bool))
-    return pd.DataFrame({"lang": lang, "source": own[a], "item": own[b], "value": total[a, b]})
+    return _sums([groups["lang"].iloc[0]] * len(a), own[a], own[b], total[a, b])
+
+
+def _sums(lang, source, item, value) -> pd.DataFrame:
+    return pd.DataFrame({"lang": np.array(lang, object), "source": np.asarray(source, object), "item": np.asarray(item, object), "value": value}, copy=False).astype({"lang": object, "source": object, "item": object})
 
 
 def pair_sums(shares: DataFrame, groups: DataFrame) -> DataFrame:
