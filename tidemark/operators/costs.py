@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ranks import ends_of, range_of
+from .scan import PER_RANGE, range_ends, running
 
 # Fixed values: (scenario, fee and slippage in basis points).
 SCENARIOS = (("c-free", 0.0, 0.0), ("c-stress2x", 10.0, 20.0))
@@ -45,44 +45,45 @@ def drawdown(returns: Column) -> Column:
     return F.aggregate(returns, zero, step, lambda a: a["worst"])
 
 
-def drawdowns(rows: DataFrame, by: Sequence[str], order: str, ret: str = "ret") -> DataFrame:
-    """(by, max_drawdown): the deepest fall from a peak of each series; equity and peak begin at 1.
+def drawdowns(rows: DataFrame, by: Sequence[str], order: str, ret: str = "ret", per_range: int = PER_RANGE) -> DataFrame:
+    """(by, max_drawdown): the deepest fall from a peak of each series; equity and peak begin at 1."""
+    curve = equity_curve(rows, by, order, ret, per_range)
+    return curve.groupBy(*by).agg(F.greatest(F.lit(0.0), F.max("fall")).alias("max_drawdown"))
 
-    A series is cut into ranges of its order.  Within a range equity runs from 1;
-    what the ranges before have left (their product, and the peak so far) comes
-    from a row for each range.  So a series of any length is many tasks.
-    """
-    ranged = rows.withColumn("_range", range_of(F.col(order), dict(rows.dtypes)[order], ends_of(rows, order)))
-    so_far = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ranged = ranged.withColumn("_e", F.product(1 + F.col(ret)).over(so_far)).withColumns({"_high": F.max("_e").over(so_far), "_low": F.min("_e").over(so_far)})
-    whole = ranged.groupBy(*by, "_range").agg(F.max_by("_e", order).alias("_factor"), F.max("_e").alias("_top"), F.min("_e").alias("_bottom"))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    whole = whole.withColumn("_from", F.coalesce(F.product("_factor").over(before), F.lit(1.0)))
-    reached = F.greatest(F.col("_from") * F.col("_top"), F.col("_from") * F.col("_bottom"))
-    whole = whole.withColumn("_reached", reached).withColumn("_peak", F.greatest(F.lit(1.0), F.max("_reached").over(before)))
-    met = ranged.join(whole.select(*by, "_range", "_from", "_peak").hint("merge"), [*by, "_range"])
-    equity = F.col("_from") * F.col("_e")
-    peak = F.greatest(F.col("_peak"), F.col("_from") * F.col("_high"), F.col("_from") * F.col("_low"))
-    return met.groupBy(*by).agg(F.greatest(F.lit(0.0), F.max((peak - equity) / peak)).alias("max_drawdown"))
-
-
-def metrics(signals: DataFrame, slippage_bps: Sequence[float], by: Sequence[str] = ("strategy",), order: str = "seq") -> DataFrame:
+
+def metrics(signals: DataFrame, slippage_bps: Sequence[float], by: Sequence[str] = ("strategy",), order: str = "seq", per_range: int = PER_RANGE) -> DataFrame:
     """(by, slippage_bps, signal_count, total_return, sharpe, max_drawdown, turnover) from rows with ret and turnover.
 
     A missing turnover is 1, a missing return 0; costs fall on the last return.
+    So all returns but the last are the same at every slippage: one scan of the
+    series gives their equity, peak and deepest fall and the moments of all
+    returns, and what a slippage does to the last one follows for each series.
     """
-    s = signals.withColumns({"ret": F.coalesce("ret", F.lit(0.0)), "turnover": F.coalesce("turnover", F.lit(1.0))})
-    sums = s.groupBy(*by).agg(F.sum("turnover").alias("_cost"), F.max(order).alias("_last"))
-    s = s.join(sums.hint("merge"), list(by)).withColumn("slippage_bps", F.explode(F.array(*(F.lit(float(b)) for b in slippage_bps))))
-    s = s.withColumn("_r", F.col("ret") - F.when(F.col(order) == F.col("_last"), F.col("_cost") * F.col("slippage_bps") / 10000.0).otherwise(0.0))
-    s = s.select(*by, "slippage_bps", order, "_r", "turnover")
-    spread = F.stddev_pop("_r")
-    found = s.groupBy(*by, "slippage_bps").agg(
-        F.count(F.lit(1)).alias("signal_count"), F.sum("_r").alias("total_return"),
-        F.when(spread > 0, F.avg("_r") / F.when(spread > 0, spread) * F.sqrt(F.count(F.lit(1)))).otherwise(0.0).alias("sharpe"),
-        F.sum("turnover").alias("turnover"),
+    s = signals.select(*by, order, F.coalesce("ret", F.lit(0.0)).alias("ret"), F.coalesce("turnover", F.lit(1.0)).alias("turnover"))
+    ends = range_ends(s, order, per_range)
+    run = running(s, by, [order], {"_equity": ("product", 1 + F.col("ret")), "_at": ("sum", F.lit(1))}, totals=["_at"], ends=ends)
+    run = running(run, by, [order], {"_peak": ("max", F.col("_equity"))}, ends=ends).withColumn("_peak", F.greatest(F.lit(1.0), "_peak"))
+    left = F.col("_at_total") - F.col("_at")
+    seen = run.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("signal_count"), F.sum("ret").alias("_sum"), F.avg("ret").alias("_mean"), F.var_pop("ret").alias("_var"), F.sum("turnover").alias("turnover"),
+        F.max(F.when(left == 0, F.col("ret"))).alias("_last"), F.max(F.when(left == 1, F.col("_equity"))).alias("_equity"), F.max(F.when(left == 1, F.col("_peak"))).alias("_peak"),
+        F.min(F.when(left > 0, F.col("ret"))).alias("_low"), F.max(F.when(left > 0, F.col("ret"))).alias("_high"),
+        F.max(F.when(left > 0, (F.col("_peak") - F.col("_equity")) / F.col("_peak"))).alias("_fall"),
     )
-    return found.join(drawdowns(s, [*by, "slippage_bps"], order, "_r"), [*by, "slippage_bps"])
+    out = seen.withColumn("slippage_bps", F.explode(F.array(*(F.lit(float(b)) for b in slippage_bps)))).withColumn("_cost", F.col("turnover") * F.col("slippage_bps") / 10000.0)
+    n, last = F.col("signal_count"), F.col("_last") - F.col("_cost")
+    # the moments without the last return, and with what it is after costs
+    rest = F.when(n > 1, (n * F.col("_mean") - F.col("_last")) / F.nullif(n - 1, F.lit(0)))
+    spread_of_rest = F.greatest(F.lit(0.0), n * F.col("_var") - (F.col("_last") - F.col("_mean")) * (F.col("_last") - rest))
+    flat = (n == 1) | (F.col("_low") == F.col("_high")) & (F.col("_low") == last)
+    spread = F.when(~flat, F.sqrt((spread_of_rest + (last - rest) * (last - rest) * (n - 1) / n) / n)).otherwise(0.0)
+    equity = F.coalesce("_equity", F.lit(1.0)) * (1 + last)
+    peak = F.greatest(F.coalesce("_peak", F.lit(1.0)), equity)
+    total = F.col("_sum") - F.col("_cost")
+    return out.withColumns({
+        "total_return": total, "sharpe": F.when(spread > 0, total / n / F.when(spread > 0, spread) * F.sqrt(n)).otherwise(0.0),
+        "max_drawdown": F.greatest(F.lit(0.0), "_fall", (peak - equity) / peak),
+    }).select(*by, "slippage_bps", "signal_count", "total_return", "sharpe", "turnover", "max_drawdown")
 
 
 def portfolio(found: DataFrame, by: Sequence[str] = ("slippage_bps",)) -> DataFrame:
@@ -95,17 +96,17 @@ def portfolio(found: DataFrame, by: Sequence[str] = ("slippage_bps",)) -> DataFr
 
 def degrades(found: DataFrame, nominal: float, stressed: float, by: str = "strategy") -> DataFrame:
     """One row: whether no strategy, nor all together, gains return or loses drawdown under stress."""
-    whole = portfolio(found).withColumn(by, F.lit("aggregate").cast(dict(found.dtypes)[by]))
-    all_ = found.withColumn("_g", F.lit(0)).unionByName(whole.select(*found.columns).withColumn("_g", F.lit(1)))
+    sets = found.groupingSets([[by, "slippage_bps"], ["slippage_bps"]], by, "slippage_bps")  # strategies, and all of them together
+    both = sets.agg(F.grouping(by).alias("_all"), F.sum("total_return").alias("total_return"), F.max("max_drawdown").alias("max_drawdown"))
     pick = lambda c, b: F.max(F.when(F.col("slippage_bps") == b, F.col(c)))
-    pairs = all_.groupBy("_g", by).agg(*(pick(c, b).alias(f"{c}_{k}") for c in ("total_return", "max_drawdown") for k, b in (("a", nominal), ("b", stressed))))
+    pairs = both.groupBy("_all", by).agg(*(pick(c, b).alias(f"{c}_{k}") for c in ("total_return", "max_drawdown") for k, b in (("a", nominal), ("b", stressed))))
     ok = (F.col("total_return_b") <= F.col("total_return_a")) & (F.col("max_drawdown_b") >= F.col("max_drawdown_a"))
     return pairs.agg(F.bool_and(ok).alias("monotone"), F.count(F.lit(1)).alias("compared"))
 
 
-def equity_curve(rows: DataFrame, by: Sequence[str], order: str, ret: str = "ret") -> DataFrame:
-    """``rows`` with running equity, its peak and the fall from it."""
-    so_far = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("equity", F.product(1 + F.col(ret)).over(so_far))
-    out = out.withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(so_far)))
+def equity_curve(rows: DataFrame, by: Sequence[str], order: str, ret: str = "ret", per_range: int = PER_RANGE) -> DataFrame:
+    """``rows`` with running equity, its peak and the fall from it; a series of any length is many ranges."""
+    ends = range_ends(rows, order, per_range)
+    out = running(rows, by, [order], {"equity": ("product", 1 + F.col(ret))}, ends=ends)
+    out = running(out, by, [order], {"peak": ("max", F.col("equity"))}, ends=ends).withColumn("peak", F.greatest(F.lit(1.0), "peak"))
     return out.withColumn("fall", (F.col("peak") - F.col("equity")) / F.col("peak"))

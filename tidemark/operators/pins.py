@@ -47,29 +47,104 @@ def verify(rows: DataFrame, frozen: DataFrame, columns: Sequence[str] | None = N
     return frozen.withColumn("_k", F.lit(1)).join(now, "_k").withColumn("matches", (F.col("pin") == F.col("_pin")) & (F.col("n") == F.col("_n"))).drop("_k", "_pin", "_n")
 
 
-def merkle_root(leaves: DataFrame, leaf: str = "leaf") -> str:
-    """The root of a binary tree over sorted hex leaves: a parent is the SHA-256 of its two children's hex, an odd last one pairs with itself.
+#: Levels of an aligned subtree, which is made by one task at a time of 2 ** SUBTREE leaves.
+SUBTREE = 10
 
-    A level is a job: leaves are numbered by a range sort (a count for each
-    range, then numbers within), and each level halves the rows.
+
+def _parents(nodes: Column, more: Column) -> Column:
+    """The next level of an array of hex nodes; an odd last one pairs with itself.  Where ``more`` is false the level is the same."""
+    half = F.floor((F.size(nodes) + 1) / 2).cast("int")
+    pair = lambda k: F.sha2(F.concat(F.get(nodes, 2 * k), F.coalesce(F.get(nodes, 2 * k + 1), F.get(nodes, 2 * k))), 256)
+    return F.when(more, F.transform(F.sequence(F.lit(0), half - 1), pair)).otherwise(nodes)
+
+
+def _once(array: Column) -> Column:
+    """An array as a column of its own, which a generator keeps from being written into each use."""
+    return F.explode(F.array(array))
+
+
+def _subtrees(nodes: DataFrame, total: int, depth: int) -> DataFrame:
+    """(b, levels) of nodes (i, h): the levels of each aligned subtree of 2 ** depth nodes, up to its root.
+
+    A tree of one subtree ends where one node is left; in a larger tree a lone
+    last node goes on pairing with itself up to the subtrees' roots.
+    """
+    width = 1 << depth
+    rows = nodes.groupBy(F.floor(F.col("i") / width).alias("b")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]).alias("l0"))
+    height = min(depth, max(0, (total - 1).bit_length())) if total <= width else depth
+    for k in range(height):
+        rows = rows.select("b", *(f"l{j}" for j in range(k + 1)), _once(_parents(F.col(f"l{k}"), F.lit(True))).alias(f"l{k + 1}"))
+    return rows.select("b", F.array(*(f"l{k}" for k in range(height + 1))).alias("levels"))
+
+
+def merkle_levels(leaves: DataFrame, leaf: str = "leaf", depth: int = SUBTREE) -> list[DataFrame]:
+    """The tree over sorted hex leaves as tables (b, levels) of aligned subtrees; the last one has the root alone on top.
+
+    Leaves are numbered by one range sort and dealt to their subtree by one
+    exchange; a further tier has a row for each subtree of the one below.  A parent is
+    the SHA-256 of its two children's hex, and an odd last node pairs with itself.
     """
     parts = leaves.select(F.col(leaf).alias("h")).repartitionByRange("h").sortWithinPartitions("h").withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id()).persist()
     sizes = parts.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("low"))
     before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("p")) - F.col("n"))  # a row for each partition
-    level = parts.join(F.broadcast(before), "p").select((F.col("before") + F.col("m") - F.col("low")).alias("i"), "h")
+    nodes = parts.join(F.broadcast(before), "p").select((F.col("before") + F.col("m") - F.col("low")).alias("i"), "h")
     n = parts.count()
     if not n:
+        parts.unpersist()
         raise ValueError("no leaves")
-    while n > 1:
-        pair = F.array_sort(F.collect_list(F.struct("i", "h")))
-        left, right = F.get(pair, F.lit(0))["h"], F.coalesce(F.get(pair, F.lit(1))["h"], F.get(pair, F.lit(0))["h"])
-        level = level.groupBy(F.floor(F.col("i") / 2).alias("k")).agg(F.sha2(F.concat(left, right), 256).alias("h")).select(F.col("k").alias("i"), "h")
-        n = (n + 1) // 2
-    root = level.first()["h"]
-    parts.unpersist()
+    tiers = []
+    while True:
+        tier = _subtrees(nodes, n, depth).persist()
+        tiers.append(tier)
+        if len(tiers) == 1:
+            tier.count()
+            parts.unpersist()
+        if n <= 1 << depth:
+            return tiers
+        nodes = tier.select(F.col("b").alias("i"), F.get(F.element_at("levels", -1), F.lit(0)).alias("h"))
+        n = -(-n // (1 << depth))
+
+
+def merkle_root(leaves: DataFrame, leaf: str = "leaf", depth: int = SUBTREE) -> str:
+    """The root of ``merkle_levels``."""
+    tiers = merkle_levels(leaves, leaf, depth)
+    root = tiers[-1].select(F.get(F.element_at("levels", -1), F.lit(0)).alias("h")).first()["h"]
+    for tier in tiers:
+        tier.unpersist()
     return root
 
 
+STEPS = "array<struct<left:boolean,h:string>>"
+
+
+def merkle_proofs(tiers: Sequence[DataFrame], depth: int = SUBTREE) -> DataFrame:
+    """(i, leaf, proof) of every leaf of ``merkle_levels``: what a leaf is hashed with up to the root, each with its side.
+
+    A tier's subtrees get the steps above them from the tier above, a row for each subtree.
+    """
+    width, proofs = 1 << depth, None
+    for tier in reversed(tiers):
+        top = F.size("levels") - 1
+
+        def own(k: Column) -> Column:
+            def step(level: Column) -> Column:
+                nodes, at = F.get("levels", level), F.call_function("shiftright", k, level)
+                beside = F.when(at % 2 == 1, F.get(nodes, at - 1)).otherwise(F.coalesce(F.get(nodes, at + 1), F.get(nodes, at)))
+                return F.struct((at % 2 == 1).alias("left"), beside.alias("h"))
+
+            return F.when(top > 0, F.transform(F.sequence(F.lit(0), top - 1), step)).otherwise(F.array().cast(STEPS))
+
+        met = tier.withColumn("above", F.array().cast(STEPS)) if proofs is None else tier.join(proofs.select(F.col("i").alias("b"), F.col("proof").alias("above")).hint("merge"), "b")
+        leaves = F.transform(F.get("levels", F.lit(0)), lambda leaf, k: F.struct(k.alias("k"), leaf.alias("leaf"), F.concat(own(k), F.col("above")).alias("proof")))
+        proofs = met.select("b", F.explode(leaves).alias("x")).select((F.col("b") * width + F.col("x.k")).alias("i"), "x.leaf", "x.proof")
+    return proofs
+
+
+def proven_root(leaf: Column, proof: Column) -> Column:
+    """The root that a leaf and its proof give."""
+    return F.aggregate(proof, leaf, lambda h, step: F.sha2(F.when(step["left"], F.concat(step["h"], h)).otherwise(F.concat(h, step["h"])), 256))
+
+
 def stable_id(*columns: str) -> Column:
     """An id from named columns, whatever their order."""
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)

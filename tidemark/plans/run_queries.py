@@ -14,6 +14,7 @@ from ..operators.ranks import placed
 from ..sources import ingest as I
 from . import views as V
 from .folders import new_folder as _folder
+from .folders import written
 from .registry import query
 from .views import sql
 
@@ -219,6 +220,24 @@ def k4_merkle_root(spark, sf):
     return spark.range(1).select(F.lit(K.merkle_root(leaves)).alias("root"), F.lit(n).alias("n"))
 
 
+@query("""WITH RECURSIVE o AS (SELECT o_orderkey, sha256(o_orderkey::VARCHAR) AS leaf, row_number() OVER (ORDER BY sha256(o_orderkey::VARCHAR)) - 1 AS i FROM orders),
+t(lvl, h) AS (SELECT 0, list(leaf ORDER BY leaf) FROM o
+UNION ALL SELECT lvl + 1, list_transform(range(0, (len(h) + 1) // 2), lambda k: sha256(h[2 * k + 1] || coalesce(h[2 * k + 2], h[2 * k + 1]))) FROM t WHERE len(h) > 1),
+s AS (SELECT o.i, lvl, CASE WHEN (i >> lvl) & 1 = 1 THEN '<' || h[i >> lvl] ELSE '>' || coalesce(h[(i >> lvl) + 2], h[(i >> lvl) + 1]) END AS step FROM o JOIN t ON len(h) > 1)
+SELECT o_orderkey, count(*)::INT AS n_steps, sha256(string_agg(step, '' ORDER BY lvl)) AS proof, true AS verified FROM o JOIN s USING (i) GROUP BY o_orderkey""")
+def k4_inclusion_proofs(spark, sf):
+    """A proof for each order that it is under the root of all of them, and whether it gives that root."""
+    orders = V.table(spark, sf, "orders").select("o_orderkey", F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256).alias("leaf"))
+    tiers = K.merkle_levels(orders)
+    root = tiers[-1].select(F.get(F.element_at("levels", -1), F.lit(0)).alias("root"))
+    steps = F.transform("proof", lambda x: F.concat(F.when(x["left"], "<").otherwise(">"), x["h"]))
+    proofs = K.merkle_proofs(tiers).crossJoin(F.broadcast(root)).withColumn("verified", K.proven_root(F.col("leaf"), F.col("proof")) == F.col("root"))  # one row
+    found = written(orders.join(proofs.hint("merge"), "leaf").select("o_orderkey", F.size("proof").alias("n_steps"), F.sha2(F.concat_ws("", steps), 256).alias("proof"), "verified"), "proofs")
+    for tier in tiers:
+        tier.unpersist()
+    return found
+
+
 @query("SELECT o_orderkey, sha256('{\"o_custkey\":' || o_custkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}') AS run_id FROM orders")
 def k6_stable_ids(spark, sf):
     return V.table(spark, sf, "orders").select("o_orderkey", K.stable_id("o_orderstatus", "o_custkey").alias("run_id"))
