@@ -45,6 +45,7 @@ APART = frozenset("nav header footer aside form button select textarea dialog me
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NAMES = re.compile(
@@ -70,6 +71,10 @@ class Lines(HTMLParser):
         self.lines: list[list] = []
         self.fresh()
 
+    def parse_marked_section(self, i, report=1):
+        """``<![`` begins a comment up to the next ``>``, whatever follows it; the base class refuses most of these."""
+        return self.parse_bogus_comment(i)
+
     def fresh(self) -> None:
         self.line = [[], 0, 0, False, False]
         self.lines.append(self.line)
@@ -93,8 +98,8 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.line[2] += 1
-        if tag == "body":
-            self.end("head")
+        if tag not in IN_HEAD and not (self.count["template"] or self.count["noscript"]):
+            self.end("head")  # a page may leave out </head> and <body>
         if tag in BLOCK:
             if tag in ENDS_P:
                 self.end("p", within=("article", "div", "section", "td", "th", "li", "body", "main", "blockquote"))
