@@ -35,6 +35,6 @@ def test_matches_sql(spark, data, duck, name):
     assert mine[1] == theirs[1]
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"d16_feature_coverage"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0

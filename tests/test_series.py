@@ -59,7 +59,7 @@ def plain_root(leaves):
     return level[0]
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 13, 16, 17, 33, 64, 65, 100])
+@pytest.mark.parametrize("n", [1, 2, 5, 16, 17, 100])
 def test_trees_of_tiers(spark, n):
     """With subtrees of four leaves a hundred leaves have four tiers; every proof gives the root, and a wrong leaf doesn't."""
     leaves = [digest(str(k % 90)) for k in range(n)]  # the last ten are there twice

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .factors import Factor, binary, const, evaluate, field, lag, rolling, rolling_pair, unary
 
@@ -109,3 +110,24 @@ def features(names: Sequence[str] | None = None, windows: Sequence[int] = WINDOW
 def compute(bars: DataFrame, names: Sequence[str] | None = None, windows: Sequence[int] = WINDOWS) -> DataFrame:
     """``bars`` (instrument_id, vt, open, high, low, close, volume, vwap) with a column for each feature."""
     return evaluate(bars, features(names, windows), status=False)
+
+
+#: Percent of the catalog that data must be able to express.
+GATE = 70.0
+
+
+def coverage(bars: DataFrame, names: Sequence[str] | None = None, windows: Sequence[int] = WINDOWS) -> DataFrame:
+    """(family, total_count, expressible_count, percentage, values, rows, passes) of each family and, as ``total``, of all features.
+
+    A feature is expressible where it compiles and has a value in some row of
+    ``bars``; ``passes`` says whether the percentage reaches ``GATE``.  All features are
+    counted in one pass.
+    """
+    own = [*features(names, windows)]
+    counts = compute(bars, names, windows).agg(F.count(F.lit(1)).alias("rows"), *(F.count(n).alias(n) for n in own))
+    long = counts.select("rows", F.explode(F.array(*(F.struct(F.lit(n.rstrip("0123456789")).alias("family"), F.col(n).alias("n")) for n in own))).alias("f")).select("rows", "f.family", "f.n")
+    sets = long.groupingSets([["family"], []], "family")  # families, and all of them
+    some = F.count_if(F.col("n") > 0)
+    found = sets.agg(F.count(F.lit(1)).cast("int").alias("total_count"), some.cast("int").alias("expressible_count"), F.sum("n").alias("values"), F.max("rows").alias("rows"))
+    share = 100.0 * F.col("expressible_count") / F.col("total_count")
+    return found.select(F.coalesce("family", F.lit("total")).alias("family"), "total_count", "expressible_count", F.round(share, 2).alias("percentage"), "values", "rows", (share >= GATE).alias("passes"))

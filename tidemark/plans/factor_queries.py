@@ -220,14 +220,28 @@ def f28_bar_and_price(spark, sf):
     return found.select("instrument_id", "vt", *(F.round(k, 6).alias(k.lower()) for k in _BAR_SQL))
 
 
-@query()
+def _coverage_sql() -> str:
+    """Counts of all features by family, and the totals, from the same expressions that each family is held against."""
+    counts = [(name, f"count({value})") for name, value in _BAR_SQL.items()]
+    for name in catalog.FAMILIES:
+        for w in catalog.WINDOWS:
+            value, need = family_sql(name, w)
+            counts.append((name, f"count({name.lower()}{w})"))
+    inner = ["*", *(f"CASE WHEN t >= {family_sql(n, w)[1]} THEN {family_sql(n, w)[0]} END AS {n.lower()}{w}" for n in catalog.FAMILIES for w in catalog.WINDOWS)]
+    rows = f"(SELECT *, (row_number() {W})::DOUBLE AS t, lag(close) {W} AS pc, lag(volume) {W} AS pv FROM long_bars)"
+    listed = ", ".join(f"{{'family': '{name.rstrip('0123456789')}', 'n': {count}}}" for name, count in counts)
+    return sql(
+        f"""SELECT coalesce(family, 'total') AS family, count(*)::INT AS total_count, count(*) FILTER (n > 0)::INT AS expressible_count, round(100.0 * count(*) FILTER (n > 0) / count(*), 2)::DOUBLE AS percentage,
+ sum(n)::BIGINT AS "values", any_value(r)::BIGINT AS "rows", 100.0 * count(*) FILTER (n > 0) / count(*) >= 70 AS passes
+FROM (SELECT r, f.family AS family, f.n AS n FROM (SELECT count(*) AS r, unnest([{listed}]) AS f FROM (SELECT {', '.join(inner)} FROM {rows}))) GROUP BY GROUPING SETS ((family), ())""",
+        "long_bars",
+    )
+
+
+@query(_coverage_sql())
 def d16_feature_coverage(spark, sf):
-    """(family, features, values) of the whole catalog over the data: how many rows have each."""
-    found = catalog.compute(V.long_bars(spark, sf))
-    names = list(catalog.features())
-    counts = found.agg(F.count(F.lit(1)).alias("rows"), *(F.count(n).alias(n) for n in names))
-    long = counts.select("rows", F.explode(F.array(*(F.struct(F.lit(n.rstrip("0123456789")).alias("family"), F.col(n).alias("n")) for n in names))).alias("f"))
-    return long.groupBy("f.family").agg(F.count(F.lit(1)).alias("features"), F.sum("f.n").alias("values"), F.max("rows").alias("rows"))
+    """How much of the catalog the data can express, by family and in all."""
+    return catalog.coverage(V.long_bars(spark, sf))
 
 
 _ORDINAL = """SELECT {by}, count(*) AS n, round(CASE WHEN count(*) < 2 OR min(signal) = max(signal) OR var_pop(a) * var_pop(b) = 0 THEN 0.0 ELSE covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)) END, 6) AS rank_ic

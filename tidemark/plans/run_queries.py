@@ -196,14 +196,19 @@ def k1_record_digest(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
 
 
-@query()
+_RECORD = """sha256('{"instrument_id":' || instrument_id || ',"kt":"' || kt || '","namespace":"' || namespace || '","revision":' || revision || ',"value":' || value || ',"vt":"' || vt || '"}')"""
+_PIN = f"""(SELECT sha256(string_agg(d, '' ORDER BY b)) AS pin, sum(n)::BIGINT AS n FROM (SELECT substr(b, 1, 2) AS b, sha256(string_agg(d, '' ORDER BY b)) AS d, sum(n) AS n
+ FROM (SELECT substr(d, 1, 5) AS b, sha256(string_agg(d, '' ORDER BY d)) AS d, count(*) AS n FROM (SELECT {_RECORD} AS d FROM records) GROUP BY 1) GROUP BY 1))"""
+
+
+@query(sql(f"SELECT pin, n, unnest(['as read', 'dealt anew']) AS \"order\" FROM {_PIN}", "records"))
 def k2_snapshot_pin(spark, sf):
     """The pin of all records, and that of the same rows in another order."""
     r = V.records(spark, sf)
-    return K.snapshot_pin(r).withColumn("order", F.lit("as read")).unionByName(K.snapshot_pin(r.orderBy(F.desc("value"))).withColumn("order", F.lit("by value")))
+    return K.snapshot_pin(r).withColumn("order", F.lit("as read")).unionByName(K.snapshot_pin(r.repartition(F.xxhash64("value", "vt"))).withColumn("order", F.lit("dealt anew")))
 
 
-@query()
+@query(sql(f"SELECT 'records' AS manifest_id, pin, n, first, last, n_instruments, true AS matches FROM {_PIN}, (SELECT min(vt) AS first, max(vt) AS last, count(DISTINCT instrument_id) AS n_instruments FROM records)", "records"))
 def k3_manifest(spark, sf):
     """A manifest of all records, verified against them."""
     r = V.records(spark, sf)
