@@ -28,10 +28,19 @@ def snapshot_pin(rows: DataFrame, columns: Sequence[str] | None = None, prefix:
     a thousand digests.
     """
     digests = rows.select(row_digest(rows, columns).alias("d"))
-    small = digests.groupBy(F.substring("d", 1, prefix).alias("b")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("d"))), 256).alias("d"), F.count(F.lit(1)).alias("n"))
-    mid = small.groupBy(F.substring("b", 1, 2).alias("b")).agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])), 256).alias("d"), F.sum("n").alias("n"))
-    top = F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])
-    return mid.agg(F.sha2(F.concat_ws("", top), 256).alias("pin"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return pin_of_nodes(bucket_nodes(digests.withColumn("b", F.substring("d", 1, prefix))))
+
+
+def bucket_nodes(digests: DataFrame) -> DataFrame:
+    """(b, d, n): the digest and number of each bucket's digests ``d``."""
+    return digests.groupBy("b").agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("d"))), 256).alias("d"), F.count(F.lit(1)).alias("n"))
+
+
+def pin_of_nodes(nodes: DataFrame) -> DataFrame:
+    """The pin (pin, n) of all buckets' digests (b, d, n)."""
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])
+    mid = nodes.groupBy(F.substring("b", 1, 2).alias("b")).agg(F.sha2(F.concat_ws("", in_order), 256).alias("d"), F.sum("n").alias("n"))
+    return mid.agg(F.sha2(F.concat_ws("", in_order), 256).alias("pin"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def manifest(rows: DataFrame, manifest_id: str, columns: Sequence[str] | None = None, key: str = "instrument_id", time: str = "vt") -> DataFrame:

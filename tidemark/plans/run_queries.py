@@ -10,6 +10,7 @@ from ..operators import pins as K
 from ..operators import projections as P
 from ..operators import runlog as G
 from ..operators import search as S
+from ..operators.pin_store import PinStore
 from ..operators.ranks import placed
 from ..sources import ingest as I
 from . import views as V
@@ -208,6 +209,32 @@ def k2_snapshot_pin(spark, sf):
     return K.snapshot_pin(r).withColumn("order", F.lit("as read")).unionByName(K.snapshot_pin(r.repartition(F.xxhash64("value", "vt"))).withColumn("order", F.lit("dealt anew")))
 
 
+_PINNED = ("2024-01-08", "2024-01-12", "9999-12-31")
+
+
+def _pinned_sql(k: int, until: str) -> str:
+    known = _PIN.replace("FROM records)", f"FROM records WHERE kt <= DATE '{until}')")
+    return f"SELECT {k}::BIGINT AS batch, pin, n, pin AS fresh FROM {known}"
+
+
+@query(sql(" UNION ALL ".join(_pinned_sql(k, until) for k, until in enumerate(_PINNED)), "records"))
+def k2_pin_store(spark, sf):
+    """Pins of a store after each of three appends by knowledge time, beside fresh pins of all that is known by then."""
+    folder = _folder(spark)
+    store = PinStore(spark, f"pins_{folder.rsplit('-', 1)[-1].replace('/', '_')}", path=folder)
+    r, since, found = V.records(spark, sf), "0001-01-01", None
+    for k, until in enumerate(_PINNED):
+        known = F.col("kt") <= F.lit(until).cast("date")
+        store.append(r.filter(known & (F.col("kt") > F.lit(since).cast("date"))), k)
+        since, batch = until, F.lit(k).cast("bigint").alias("batch")
+        fresh = K.snapshot_pin(r.filter(known)).select(batch, F.col("pin").alias("fresh"))
+        both = store.pin(k).withColumn("batch", batch).join(F.broadcast(fresh), "batch").select("batch", "pin", "n", "fresh")  # a row each
+        found = both if found is None else found.unionByName(both)
+    found = written(found, "pins")
+    store.drop()
+    return found
+
+
 @query(sql(f"SELECT 'records' AS manifest_id, pin, n, first, last, n_instruments, true AS matches FROM {_PIN}, (SELECT min(vt) AS first, max(vt) AS last, count(DISTINCT instrument_id) AS n_instruments FROM records)", "records"))
 def k3_manifest(spark, sf):
     """A manifest of all records, verified against them."""
