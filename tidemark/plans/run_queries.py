@@ -547,6 +547,30 @@ def n1_stream_append(spark, sf):
     return spark.read.parquet(f"{root}/facts").select(F.col("instrument_id").alias("event_id"), "namespace", "vt")
 
 
+def _changes_sql(k: int) -> str:
+    """Keys whose visible fact at one of the times isn't that of the time before."""
+    known = lambda j: f"(SELECT namespace, instrument_id, vt, max(revision) AS revision, max_by(value, revision) AS value FROM records WHERE kt <= DATE '{_PINNED[j]}' GROUP BY ALL)"
+    was = known(k - 1) if k else f"(SELECT * FROM {known(0)} WHERE false)"
+    return f"SELECT {k} AS landing, namespace, instrument_id, vt, revision, a.value AS old_value, b.value AS new_value FROM {known(k)} b LEFT JOIN {was.replace('max(revision) AS revision', 'max(revision) AS before')} a USING (namespace, instrument_id, vt) WHERE before IS DISTINCT FROM revision"
+
+
+@query(sql(" UNION ALL ".join(map(_changes_sql, range(3))), "records"))
+def n1_stream_restatements(spark, sf):
+    """Records that land in three parts by knowledge time, and each visible fact that a landing brings or restates."""
+    from ..streaming.append import record_stream
+    from ..streaming.restate import restatement_stream
+
+    root, since = _folder(spark), "0001-01-01"
+    r = V.records(spark, sf)
+    for k, until in enumerate(_PINNED):
+        r.filter((F.col("kt") > F.lit(since).cast("date")) & (F.col("kt") <= F.lit(until).cast("date"))).write.mode("append").parquet(f"{root}/landed")
+        since = until
+        rows = record_stream(spark, f"{root}/landed", r.schema, "parquet", files_per_batch=1_000_000)
+        restatement_stream(rows, ["value"], f"{root}/changes/landing={k}", f"{root}/progress").awaitTermination()
+    found = spark.read.parquet(f"{root}/changes")
+    return found.select("landing", "namespace", "instrument_id", "vt", "revision", F.col("old.value").alias("old_value"), F.col("new.value").alias("new_value"))
+
+
 @query(sql("SELECT 'records-v1' AS manifest_id, count(*) AS n, true AS matches FROM records", "records"))
 def a14_a15_freeze(spark, sf):
     """All records frozen as sorted JSON with a manifest, read again and verified against it."""
