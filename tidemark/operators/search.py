@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions.factors import Factor, binary, evaluate, field, lag, last_rows, rolling
 from ..session import ship
@@ -115,6 +116,68 @@ def score_candidates(values: DataFrame, by: Sequence[str] = ("candidate",)) -> D
     return values.groupBy(*by).agg(F.when(bad.isNull(), F.avg("value")).alias("score"), bad.isNull().alias("valid"), bad.alias("error"))
 
 
+#: Instruments whose ranks one task multiplies at a time; candidates times sets of instruments are the other side of its matrix.
+CHUNK = 2048
+
+
+def mutual_ic(values: DataFrame, by: Sequence[str] = ("fold_id",), chunk: int | None = None) -> DataFrame:
+    """(by, candidate, other, n, rank_ic) of every two candidates, candidate < other, over the instruments that have both values.
+
+    ``values`` are (by, candidate, instrument_id, value), a row each.  Ordinal ranks, ties in the order
+    of the id; 0.0 for fewer than two instruments or where the first candidate is constant on them.
+
+    Candidates with values for the same instruments are of one set (told by a count and 128 bits of hash).  A candidate is
+    ranked once on what it has in common with each set, not once for each other
+    candidate, and products of ranks are summed as matrices over chunks of instruments, so a
+    chunk sends a row for each two candidates and none is made for an instrument of a pair.
+    With as many sets as candidates there are as many rankings as pairs.
+    """
+    ship(values.sparkSession)
+    by, chunk = list(by), chunk or CHUNK
+    rows = values.filter(F.col("value").isNotNull()).select(*by, "candidate", "instrument_id", "value")
+    mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.col("instrument_id")).cast("decimal(38,0)"))
+    sets = rows.groupBy(*by, "candidate").agg(F.concat_ws("/", F.count(F.lit(1)), mark(1), mark(2)).alias("own"))
+    tagged = rows.join(sets.hint("merge"), [*by, "candidate"])
+    per_row = Window.partitionBy(*by, "instrument_id")
+    common = tagged.withColumn("all", F.collect_set("own").over(per_row)).withColumn("met", F.explode("all")).drop("all")
+    ranked = common.withColumns({
+        "r": F.row_number().over(Window.partitionBy(*by, "candidate", "met").orderBy("value", "instrument_id")).cast("double"),
+        "n": F.count(F.lit(1)).over(Window.partitionBy(*by, "candidate", "met")),
+        "flat": (F.min("value").over(Window.partitionBy(*by, "candidate", "met")) == F.max("value").over(Window.partitionBy(*by, "candidate", "met"))),
+    })
+    kinds = {f.name: f for f in values.schema}
+    out = StructType([*(kinds[c] for c in by), StructField("candidate", StringType()), StructField("other", StringType()), StructField("n", LongType()), StructField("flat", BooleanType()), StructField("dot", DoubleType())])
+
+    def products(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        """Sums of the products of centred ranks of every two candidates over a chunk of instruments."""
+        part = part.assign(c=part["r"] - (part["n"] + 1) / 2, at=pd.factorize(part["instrument_id"])[0])
+        width, cells = part["at"].max() + 1, part.groupby(["own", "met"]).indices
+        names = {own: np.sort(of["candidate"].unique()) for own, of in part.groupby("own")}
+
+        def ranks(own: str, met: str) -> tuple[np.ndarray, np.ndarray, int]:
+            """The ranks of a set's candidates on what it shares with another, whether each is constant there, and on how many instruments."""
+            of = part.iloc[cells[own, met]]
+            k, dense, flat = np.searchsorted(names[own], of["candidate"]), np.zeros((len(names[own]), width)), np.zeros(len(names[own]), bool)
+            dense[k, of["at"]], flat[k] = of["c"], of["flat"]
+            return dense, flat, int(of["n"].iloc[0])
+
+        found = []
+        for mine, theirs in cells:
+            (a, flat, n), (b, _, _) = ranks(mine, theirs), ranks(theirs, mine)
+            i, j = np.nonzero(names[mine][:, None] < names[theirs][None, :])
+            found.append(pd.DataFrame({"candidate": names[mine][i], "other": names[theirs][j], "n": n, "flat": flat[i], "dot": (a @ b.T)[i, j]}))
+        found = pd.concat(found)
+        for k, c in enumerate(by):
+            found.insert(k, c, group[k])
+        return found
+
+    sized = ranked.withColumn("_most", F.max("n").over(Window.partitionBy(*by, "instrument_id")))
+    dealt = sized.withColumn("_chunk", F.pmod(F.xxhash64("instrument_id"), F.lit(1 << 20)) % F.ceil(F.col("_most") / F.lit(chunk)))
+    sums = dealt.groupBy(*by, "_chunk").applyInPandas(products, out).groupBy(*by, "candidate", "other").agg(F.max("n").alias("n"), F.max("flat").alias("flat"), F.sum("dot").alias("dot"))
+    n = F.col("n").cast("double")
+    return sums.select(*by, "candidate", "other", "n", F.when(F.col("flat") | (F.col("n") < 2), F.lit(0.0)).otherwise(12 * F.col("dot") / (n * (n * n - 1))).alias("rank_ic"))
+
+
 def chronological_split(rows: DataFrame, share: float = 0.8, day: str = "vt") -> DataFrame:
     """``rows`` with ``part``: train up to the calendar day that has ``share`` of all days before it, else test."""
     days = [r[0] for r in rows.select(day).distinct().orderBy(day).collect()]

@@ -486,14 +486,16 @@ def _mutual_sql() -> str:
     return sql("@", "bars", "folds").replace("\n@", f", wide AS MATERIALIZED ({wide}), long AS MATERIALIZED ({long}) " + _ORDINAL.format(by="fold_id, candidate, other", rows=pairs))
 
 
+def _mutual_values(spark, sf):
+    named = {n: X.rolling(op, CLOSE, w) for n, op, w in (("mean3", "mean", 3), ("std5", "std", 5), ("rank5", "rank", 5), ("slope4", "slope", 4))}
+    return S.candidate_values(_facts(spark, sf), named, ("fold_id", "instrument_id"))
+
+
 @query(_mutual_sql())
 def l7_mutual_ic(spark, sf):
-    """Rank correlation of every two candidates over the instruments at each fold: an instrument's few values are paired in its own row."""
-    values = S.candidate_values(_facts(spark, sf), {n: X.rolling(op, CLOSE, w) for n, op, w in (("mean3", "mean", 3), ("std5", "std", 5), ("rank5", "rank", 5), ("slope4", "slope", 4))}, ("fold_id", "instrument_id"))
-    good = values.filter("status = 'ok'").groupBy("fold_id", "instrument_id").agg(F.array_sort(F.collect_list(F.struct("candidate", "value"))).alias("c"))
-    pairs = good.select("fold_id", "instrument_id", F.posexplode("c").alias("k", "a"), "c").select("fold_id", "instrument_id", "a", F.explode(F.slice(F.col("c"), F.col("k") + 2, F.size("c"))).alias("b"))
-    pairs = pairs.select("fold_id", "instrument_id", F.col("a.candidate").alias("candidate"), F.col("b.candidate").alias("other"), F.col("a.value").alias("signal"), F.col("b.value").alias("fwd"))
-    return L.rank_ic(pairs, ["fold_id", "candidate", "other"]).withColumn("rank_ic", F.round("rank_ic", 6))
+    """Rank correlation of every two candidates over the instruments that have both, at each fold."""
+    return S.mutual_ic(_mutual_values(spark, sf).filter("status = 'ok'")).withColumn("rank_ic", F.round("rank_ic", 6))
+
 
 
 _CAMPAIGN = {
