@@ -229,3 +229,21 @@ def test_pipeline(spark, data):
             assert all(before[i] == t for i, t in texts.items())
             docs = spark.createDataFrame(rows, docs.schema)
     assert corpus_pipeline.run(spark, data).count() > 0
+
+
+def test_copies_are_reduced_before_they_are_dealt(spark, make):
+    """A text that is a third of all rows is one row before the anti-join with an index that has digests already."""
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    exact_dedup.dedup(make([(k, f"t{k}") for k in range(20)]), index).count()
+    rows = make([(100 + k, "hot" if k % 3 == 0 else f"u{k}") for k in range(300)])
+    marks = exact_dedup.Scratch(spark).write(exact_dedup.digests(rows), "marks")
+    found = exact_dedup.Scratch(spark).write(exact_dedup.groups(marks), "groups")
+    new = index.unknown(found)
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Aggregate" not in plan and plan.count("Exchange") == 1
+    assert found.count() == new.count() == 201
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(rows, index).collect()}
+    assert got[100] == (100, 100, True) and got[103] == (100, 100, False) and got[101] == (101, 1, True)
+    again = exact_dedup.dedup(rows, index)
+    assert again.filter("kept").count() == 0 and again.filter("keep_id = 100").count() == 100
+    index.drop()

@@ -2,10 +2,11 @@
 
 The index is a table with one row for each distinct text: its digest, the id
 that stays and the number of copies seen, bucketed and sorted by digest.  New
-rows are first reduced to one row for each digest (a partial aggregate, so a
-text that makes up a third of all rows costs no more than any other), then
-found new or known by a sort-merge anti-join whose index side needs neither
-exchange nor sort, and appended.
+rows are first reduced to one row for each digest by a partial aggregate, and
+those are written, as Spark would else move the anti-join below the aggregate
+and shuffle every copy: a text that makes up a third of all rows costs no more
+than any other.  They are then found new or known by a sort-merge anti-join, for which the
+index isn't exchanged (nor sorted, until a second batch gives a bucket a second file), and appended.
 
 Texts are equal when they are identical after deleting every character of
 ``[\\x20\\x09-\\x0D]``.  Of equal texts in one batch the row with the most code
@@ -87,9 +88,13 @@ class DigestIndex:
             about = {r["col_name"]: r["data_type"] for r in self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}").collect()}
             self.buckets = int(about["Num Buckets"])
 
+    def unknown(self, found: DataFrame) -> DataFrame:
+        """Those groups whose digest the index doesn't have, by a sort-merge anti-join; ``found`` is read from a table."""
+        return found.join(self.rows().hint("merge").select("digest"), "digest", "left_anti")
+
     def add(self, found: DataFrame) -> None:
-        """Append those groups whose digest the index doesn't have, by a sort-merge anti-join."""
-        self._save(found.join(self.rows().hint("merge").select("digest"), "digest", "left_anti"), "append")
+        """Append those groups whose digest the index doesn't have."""
+        self._save(self.unknown(found), "append")
 
     def rebucket(self, buckets: int) -> DigestIndex:
         """The same digests in a new table with another number of buckets; this one stays."""
@@ -126,17 +131,19 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_
     marks = scratch.write(digests(docs, id_col, text_col), "marks")
     before = index.exists()
     index.open(dict(marks.dtypes)["id"], marks.count())
-    first = scratch.write(index.rows().select("digest"), "known") if before else None
-    index.add(groups(marks))
+    found = scratch.write(groups(marks), "groups")
+    if before:
+        found = scratch.write(index.unknown(found), "fresh")
+    index.add(found)
     out = index.mark(marks)
     if before:
-        out = out.join(first.withColumn("seen", F.lit(True)).hint("merge"), "digest", "left")
-    fresh = F.col("seen").isNull() if before else F.lit(True)
+        out = out.join(found.select("digest", F.lit(True).alias("new")).hint("merge"), "digest", "left")
+    fresh = F.col("new").isNotNull() if before else F.lit(True)
     out = out.select(F.col("id").alias(id_col), "keep_id", F.col("copies").alias("group_size"), (F.col("id").eqNullSafe(F.col("keep_id")) & fresh).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     if one_off:  # nobody has a name for the index, so it goes when the verdicts are written
         out = scratch.write(out, "verdicts")
         index.drop()
-        scratch.drop("marks")
+        scratch.drop("marks", "groups")
     return out
 
 
