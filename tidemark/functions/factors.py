@@ -164,62 +164,103 @@ def lag(e: Factor, n: int) -> Factor:
     return Factor(make, look + n, universe)
 
 
-#: Windows up to BASE rows are read row by row; longer ones are put together of a window of LADDER and the rest before it.
-BASE, LADDER = 8, (5, 10, 20, 30, 60, 120, 250)
+#: Windows up to BASE rows are read row by row; longer ones are put together of windows of the largest of UNITS that is shorter.
+BASE, UNITS = 8, (60, 5)
 
 
-def _halves(w: int) -> tuple[int, int]:
-    """(rows of the earlier part, rows of the later part) of a window."""
-    early = max(x for x in LADDER if x < w)
-    return early, w - early
+def _parts(w: int) -> list[tuple[int, int]]:
+    """(rows, rows after them) of the parts of a window, the latest first."""
+    unit = next(u for u in UNITS if u < w)
+    return [(min(unit, w - after), after) for after in range(0, w, unit)]
 
 
 def _before(p: Panel, at: tuple[str, int], n: int) -> tuple[str, int]:
     """A staged column ``n`` rows ago."""
+    if n == 0:
+        return at
     key = f"{at[0]} before {n}"
-    return p.stage(key, at[1], F.lag(at[0], n).over(p.window)), p.names[key][1]
+    return p.names[key] if key in p.names else (p.stage(key, at[1], F.lag(at[0], n).over(p.window)), p.names[key][1])
 
 
 def _folded(p: Panel, name: str, key: str, level: int, w: int, part: Column, join: Callable) -> tuple[str, int]:
     """The staged column of an aggregate over ``w`` rows, and its level.
 
-    ``join`` (later, earlier, their rows) puts two windows that follow one
-    another together, so a long window costs a few columns whatever its length.
+    ``join`` (names of parts, their rows) is SQL that puts windows that follow one another together.
+    All windows over a column share the short ones and their lags, so they take
+    two passes over the rows in all, whatever the number and length of windows.
     """
     own = f"{name}({key},{w})"
+    if own in p.names:
+        return p.names[own]
     if w <= BASE:
         return p.stage(own, level, part.over(p.frame(w))), p.names[own][1]
-    early, late = _halves(w)
-    a = _before(p, _folded(p, name, key, level, early, part, join), late)
-    b = _folded(p, name, key, level, late, part, join)
-    return p.stage(own, max(a[1], b[1]), join(F.col(b[0]), F.col(a[0]), late, early)), p.names[own][1]
+    parts = [_before(p, _folded(p, name, key, level, rows, part, join), after) for rows, after in _parts(w)]
+    return p.stage(own, max(x[1] for x in parts), F.expr(join([x[0] for x in parts], [rows for rows, _ in _parts(w)]))), p.names[own][1]
+
+
+def _added(parts: list[str], _: list[int]) -> str:
+    return " + ".join(parts)
+
+
+def _ends(name: str) -> Callable:
+    return lambda parts, _: f"{name}({', '.join(parts)})"
 
 
 def _count(p: Panel, key: str, level: int, w: int, part: Column) -> tuple[str, int]:
-    return _folded(p, "n", key, level, w, F.count(part), lambda b, a, *_: b + F.coalesce(a, F.lit(0)))
+    return _folded(p, "n", key, level, w, F.count(part), lambda parts, _: " + ".join(f"coalesce({x}, 0)" for x in parts))
 
 
 def _mean(p: Panel, key: str, level: int, w: int, part: Column) -> tuple[str, int]:
-    return _folded(p, "mean", key, level, w, F.avg(part), lambda b, a, late, early: b + (a - b) * (early / (late + early)))  # exact where the parts are equal
+    def join(parts, rows):  # exact where the parts are equal
+        return parts[0] + "".join(f" + ({x} - {parts[0]}) * {n / sum(rows)!r}D" for x, n in zip(parts[1:], rows[1:]))
+
+    return _folded(p, "mean", key, level, w, F.avg(part), join)
 
 
 def _comoment(p: Panel, name: str, key: str, level: int, w: int, part: Column, means: Sequence[Callable]) -> tuple[str, int]:
     """The sum over ``w`` rows of the product of two deviations from their means, merged without subtracting large sums."""
     own = f"{name}({key},{w})"
+    if own in p.names:
+        return p.names[own]
     if w <= BASE:
         return p.stage(own, level, part.over(p.frame(w)) * w), p.names[own][1]
-    early, late = _halves(w)
-    a = _before(p, _comoment(p, name, key, level, early, part, means), late)
-    b = _comoment(p, name, key, level, late, part, means)
-    top, value = max(a[1], b[1]), F.col(a[0]) + F.col(b[0])
-    product = F.lit(early * late / w)
-    for mean in means:
-        if mean is None:  # the number of the row: the parts' means are half a window apart
-            product = product * F.lit(w / 2)
-        else:
-            x, y = mean(late), _before(p, mean(early), late)
-            top, product = max(top, x[1], y[1]), product * (F.col(x[0]) - F.col(y[0]))
-    return p.stage(own, top, value + product), p.names[own][1]
+    top, terms = level + 1, []
+    whole = [mean and mean(w) for mean in means]
+    for rows, after in _parts(w):
+        inner = _before(p, _comoment(p, name, key, level, rows, part, means), after)
+        product = f"{float(rows)!r}D"
+        for mean, all_ in zip(means, whole):
+            if mean is None:  # the number of the row: means are the middles
+                product += f" * {(w - 1) / 2 - after - (rows - 1) / 2!r}D"
+            else:
+                x = _before(p, mean(rows), after)
+                top, product = max(top, x[1], all_[1]), f"{product} * ({x[0]} - {all_[0]})"
+        top = max(top, inner[1])
+        terms += [inner[0], product]
+    return p.stage(own, top, F.expr(" + ".join(terms))), p.names[own][1]
+
+
+def _run(p: Panel, key: str, level: int, w: int, v: Column) -> tuple[str, int]:
+    """The staged values of ``w`` rows in ascending order: short runs are sorted, longer ones are merged of those.
+
+    A run is null before row ``w`` if it is merged and, so that sorting has no nulls
+    to look for, has NaN for a missing value; callers drop windows that lack one.
+    """
+    own = f"run({key},{w})"
+    if own in p.names:
+        return p.names[own]
+    if w <= BASE:
+        values = [F.coalesce(F.lag(v, k).over(p.window) if k else v, F.lit(float("nan"))) for k in range(w)]
+        return p.stage(own, level, F.sort_array(F.array(*values))), p.names[own][1]
+    parts = [_before(p, _run(p, key, level, rows, v), after) for rows, after in _parts(w)]
+    return p.stage(own, max(x[1] for x in parts), F.expr(f"sort_array(concat({', '.join(x[0] for x in parts)}))")), p.names[own][1]
+
+
+def _extreme(p: Panel, op: str, key: str, level: int, w: int, v: Column) -> tuple[str, int]:
+    """The staged (value, row) of the largest or smallest of ``w`` rows, the earliest of equal ones."""
+    top = op == "idxmax"
+    pair = F.when(v.isNotNull(), F.struct(v.alias("v"), (-F.col("_t") if top else F.col("_t")).alias("t")))
+    return _folded(p, op, key, level, w, (F.max if top else F.min)(pair), _ends("greatest" if top else "least"))
 
 
 ROLLING = ("mean", "sum", "std", "rank", "slope", "residual", "rsquare", "max", "min", "idxmax", "idxmin", "quantile")
@@ -249,18 +290,16 @@ def rolling(op: str, e: Factor, w: int, q: float | None = None) -> Factor:
             got.append(at[1])
             return F.col(at[0])
 
-        part = lambda name, column: of((p.stage(f"{name}({key},{w})", level, column.over(frame)), level + 1))
         mean = lambda w: _mean(p, key, level, w, v)
         n = of(_count(p, key, level, w, v))
         if op == "mean":
             value = of(mean(w))
         elif op == "sum":
-            value = of(_folded(p, "sum", key, level, w, F.sum(v), lambda b, a, *_: b + a))
+            value = of(_folded(p, "sum", key, level, w, F.sum(v), _added))
         elif op == "std":
             value = F.sqrt(of(_comoment(p, "m2", key, level, w, F.var_pop(v), (mean, mean))) / w)
         elif op in ("max", "min"):
-            ends = F.greatest if op == "max" else F.least
-            value = of(_folded(p, op, key, level, w, getattr(F, op)(v), lambda b, a, *_: ends(b, a)))
+            value = of(_folded(p, op, key, level, w, getattr(F, op)(v), _ends("greatest" if op == "max" else "least")))
         elif op in ("slope", "residual", "rsquare"):
             cov = of(_comoment(p, "cov_t", key, level, w, F.covar_pop(v, F.col("_t")), (mean, None))) / w if w > 1 else F.lit(0.0)
             slope = cov / F.lit((w * w - 1) / 12) if w > 1 else F.lit(0.0)
@@ -271,15 +310,13 @@ def rolling(op: str, e: Factor, w: int, q: float | None = None) -> Factor:
             else:
                 var = of(_comoment(p, "m2", key, level, w, F.var_pop(v), (mean, mean))) / w
                 value = F.when(var > 0, cov * cov / (var * F.lit((w * w - 1) / 12))).otherwise(0.0) if w > 1 else F.lit(0.0)
+        elif op == "rank":  # the place of the last of equal values
+            value = (F.lit(w + 1) - F.array_position(F.reverse(of(_run(p, key, level, w, v))), v)) / F.lit(w)
+        elif op == "quantile":
+            value = F.get(of(_run(p, key, level, w, v)), F.lit(int(q * (w - 1))))
         else:
-            held = part("list", F.collect_list(v))
-            if op == "rank":
-                value = F.size(F.filter(held, lambda y: y <= v)) / F.lit(w)
-            elif op == "quantile":
-                value = F.get(F.sort_array(held), F.lit(int(q * (w - 1))))
-            else:
-                end = F.array_max(held) if op == "idxmax" else F.array_min(held)
-                value = (F.array_position(held, end) - 1).cast("double")
+            row = of(_extreme(p, op, key, level, w, v)).getField("t")
+            value = (-row if op == "idxmax" else row) - (F.col("_t") - (w - 1))
         own = f"{op}({key},{w},{q})"
         value = F.when(n >= w, value)
         top = max(top, *got)
