@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .factors import Factor, binary, const, evaluate, field, lag, rolling, rolling_pair, unary
 
+# The names and windows of the feature set, which results are told apart by.
 WINDOWS = (5, 10, 20, 30, 60)
 BAR = ("KMID", "KLEN", "KMID2", "KUP", "KUP2", "KLOW", "KLOW2", "KSFT", "KSFT2")
 PRICE = ("OPEN0", "HIGH0", "LOW0", "VWAP0")
