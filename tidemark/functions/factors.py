@@ -187,7 +187,7 @@ def _folded(p: Panel, name: str, key: str, level: int, w: int, part: Column, joi
 
     ``join`` (names of parts, their rows) is SQL that puts windows that follow one another together.
     All windows over a column share the short ones and their lags, so they take
-    two passes over the rows in all, whatever the number and length of windows.
+    two passes over the rows in all, and a third if any has over 60 rows.
     """
     own = f"{name}({key},{w})"
     if own in p.names:
