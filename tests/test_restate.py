@@ -54,3 +54,26 @@ def test_rows_without_times(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/landed")
     restatement_stream(record_stream(spark, f"{tmp_path}/landed", spark.createDataFrame([], SCHEMA).schema, "parquet"), ["value", "note"], f"{tmp_path}/changes", f"{tmp_path}/progress").awaitTermination()
     assert [(r["instrument_id"], r["note"], r["revision"]) for r in standing(spark.read.parquet(f"{tmp_path}/changes")).collect()] == [("b", "first", 0)]
+
+
+def test_state_over_many_batches(spark, tmp_path, monkeypatch):
+    """A batch for each file, more of them than folders of state; a restarted stream goes on from it, and no key costs a call of Python."""
+    from tidemark.streaming import restate
+
+    monkeypatch.setattr(restate, "EVERY", 2)
+    rows = history(5)
+    schema = spark.createDataFrame([], SCHEMA).schema
+    starts = [*range(0, len(rows), 15)]
+    for k in starts:
+        spark.createDataFrame(rows[k : k + 15], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/landed")
+        if k in (30, starts[-1]):
+            restatement_stream(record_stream(spark, f"{tmp_path}/landed", schema, "parquet", files_per_batch=1), ["value", "note"], f"{tmp_path}/changes", f"{tmp_path}/progress").awaitTermination()
+    changes = spark.read.parquet(f"{tmp_path}/changes")
+    assert changes.agg(F.max("batch")).first()[0] > 2 * restate.EVERY
+    assert texts(standing(changes), COLUMNS) == texts(B.as_of(spark.createDataFrame(rows, SCHEMA), day(99)), COLUMNS)
+    steps = {}
+    for r in changes.orderBy("batch").collect():
+        assert r["old"] == steps.get(r[0:3])
+        steps[r[0:3]] = r["new"]
+    plan = restate.restatements(spark.createDataFrame(rows, SCHEMA), None, ["value", "note"])._jdf.queryExecution().toString()
+    assert "Pandas" not in plan and "Python" not in plan
