@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from ..functions.factors import Factor, binary, evaluate, field, lag, last_rows, rolling
+from ..functions.factors import Factor, binary, evaluate, field, lag, rolling
 from ..session import ship
+from .labels import rank_ic
 from .ranks import ends_of, medians, range_of
 
 
@@ -103,13 +104,39 @@ def factor_grid(fields: Sequence[str] = ("close", "volume", "open", "high", "low
     return out
 
 
+def _last_values(bars: DataFrame, factors: dict[str, Factor], by: Sequence[str], least_rows: int) -> DataFrame:
+    """(by, a column and a status for each candidate) of each instrument's last row.
+
+    Only rows that the last value rests on are kept, and which one is last is told on them
+    before there is a column for each candidate: wide rows are neither moved nor sorted.
+    """
+    order = Window.partitionBy(*by)
+    told = bars.withColumns({"_place": F.row_number().over(order.orderBy(F.desc("vt"))), "_rows": F.count(F.lit(1)).over(order)})
+    kept = told.filter((F.col("_place") <= max(f.lookback for f in factors.values()) + 1) & (F.col("_rows") >= least_rows))
+    return evaluate(kept, factors, by).filter("_place = 1").select(*by, *factors, *(f"{n}_status" for n in factors))
+
+
 def candidate_values(bars: DataFrame, factors: dict[str, Factor], by: Sequence[str] = ("instrument_id",), least_rows: int = 3) -> DataFrame:
     """(candidate, by, value, status): every candidate's last value, all from one pass over the bars."""
-    found = last_rows(evaluate(bars.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*by))), factors, by), by).filter(F.col("_rows") >= least_rows)
+    found = _last_values(bars, factors, by, least_rows)
     wide = found.select(*by, F.explode(F.array(*(F.struct(F.lit(n).alias("candidate"), F.col(n).alias("value"), F.col(f"{n}_status").alias("status")) for n in factors))).alias("c"))
     return wide.select(*by, "c.candidate", "c.value", "c.status")
 
 
+def candidate_rank_ic(bars: DataFrame, factors: dict[str, Factor], labels: DataFrame, by: Sequence[str] = ("fold_id",), least_rows: int = 3) -> DataFrame:
+    """(by, candidate, n, rank_ic) of every candidate's valid last values with the ``labels`` (by, instrument_id, fwd).
+
+    Labels are met by one row an instrument; a row for each candidate, with its number for its name, is moved once, to be ranked.
+    """
+    by, names = list(by), list(factors)
+    key = [*by, "instrument_id"]
+    met = _last_values(bars, factors, key, least_rows).join(labels.select(*key, "fwd").hint("merge"), key)
+    valid = F.array(*(F.when(F.col(f"{n}_status") == "ok", F.struct(F.lit(k).cast("smallint").alias("k"), F.col(n).alias("signal"))) for k, n in enumerate(names)))
+    rows = met.select(*key, "fwd", F.explode(valid).alias("c")).filter("c is not null").select(*key, "fwd", F.col("c.k").alias("_k"), "c.signal")
+    ic = rank_ic(rows, [*by, "_k"])
+    return ic.select(*by, F.element_at(F.array(*map(F.lit, names)), F.col("_k") + 1).alias("candidate"), "n", "rank_ic")
+
+
 def score_candidates(values: DataFrame, by: Sequence[str] = ("candidate",)) -> DataFrame:
     """(candidate, score, valid, error): the mean over instruments; one that fails makes the candidate invalid, never absent."""
     bad = F.min(F.when(F.col("status") != "ok", F.col("status")))

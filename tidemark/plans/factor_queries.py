@@ -12,6 +12,7 @@ from ..operators import bitemporal as B
 from ..operators import labels as L
 from ..operators import search as S
 from . import views as V
+from .folders import written
 from .registry import query
 from .views import sql
 
@@ -389,11 +390,8 @@ def l1_score_candidates(spark, sf):
 @query()
 def l2_candidate_rank_ic(spark, sf):
     """Rank IC of every candidate of the full grid at every fold, with its p-value and the discoveries over all of them."""
-    facts, grid = _facts(spark, sf), S.factor_grid()
-    values = S.candidate_values(facts, grid, ("fold_id", "instrument_id"))
     labels = E.fold_labels(V.bars(spark, sf).withColumn("revision", F.lit(0)), V.folds(spark, sf), V.calendar(spark, sf))
-    rows = values.filter("status = 'ok'").withColumnRenamed("value", "signal").join(labels.hint("merge"), ["fold_id", "instrument_id"])
-    ic = L.rank_ic(rows, ["fold_id", "candidate"])
+    ic = written(S.candidate_rank_ic(_facts(spark, sf), S.factor_grid(), labels), "ic")  # a row for each fold and candidate, read several times
     return S.benjamini_hochberg(ic.withColumn("p", S.spearman_p(F.col("rank_ic"), F.col("n")))).select("fold_id", "candidate", "n", F.round("rank_ic", 6).alias("rank_ic"), F.round("p", 6).alias("p"), "accepted")
 
 
