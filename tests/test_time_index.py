@@ -108,3 +108,13 @@ def test_intervals_against_loops(spark):
     assert sorted((r["point"], r["src"]) for r in one.collect()) == sorted((q[0], x[0]) for q in points for x in edges if q[1] == x[1] and q[2] and meets(q[2], q[2], x))
     join = [line for line in plan(one).split("\n") if "SortMergeJoin" in line]
     assert join and all("_node" in line and "<=" not in line for line in join)
+
+
+def test_a_large_cell_is_many_tasks(spark):
+    """All points and intervals of one key and day: each pair is there once, and no task has them all."""
+    e = spark.range(40).select(F.col("id").cast("int").alias("src"), F.lit("x").alias("dst"), F.lit(day(3)).alias("valid_from"), F.lit(day(5)).alias("valid_to"))
+    p = spark.range(300).select(F.col("id").alias("point"), F.lit("x").alias("dst"), F.lit(day(4)).alias("vt"))
+    found = time_index.stabbed(p, e, ["dst"], "vt", "valid_from", "valid_to", pairs=500).withColumn("task", F.spark_partition_id())
+    assert found.select("point", "src").distinct().count() == found.count() == 40 * 300
+    sizes = [r["count"] for r in found.groupBy("task").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 12000 / 4
