@@ -112,8 +112,8 @@ def test_intervals_against_loops(spark):
 
 def test_a_large_cell_is_many_tasks(spark):
     """All points and intervals of one key and day: each pair is there once, and no task has them all."""
-    e = spark.range(40).select(F.col("id").cast("int").alias("src"), F.lit("x").alias("dst"), F.lit(day(3)).alias("valid_from"), F.lit(day(5)).alias("valid_to"))
-    p = spark.range(300).select(F.col("id").alias("point"), F.lit("x").alias("dst"), F.lit(day(4)).alias("vt"))
+    e = spark.createDataFrame([(k, "x", day(3), day(5)) for k in range(40)], "src int, dst string, valid_from date, valid_to date")
+    p = spark.createDataFrame([(k, "x", day(4)) for k in range(300)], "point int, dst string, vt date")
     found = time_index.stabbed(p, e, ["dst"], "vt", "valid_from", "valid_to", pairs=500).withColumn("task", F.spark_partition_id())
     assert found.select("point", "src").distinct().count() == found.count() == 40 * 300
     sizes = [r["count"] for r in found.groupBy("task").count().collect()]
