@@ -154,6 +154,17 @@ def proven_root(leaf: Column, proof: Column) -> Column:
     return F.aggregate(proof, leaf, lambda h, step: F.sha2(F.when(step["left"], F.concat(step["h"], h)).otherwise(F.concat(h, step["h"])), 256))
 
 
+def proof_digests(tiers: Sequence[DataFrame], depth: int = SUBTREE) -> DataFrame:
+    """(leaf, n_steps, proof, verified) of every leaf: a digest of its steps, and whether they give the root.
+
+    A proof has a node for each level; what is joined further on is of one size.
+    """
+    root = tiers[-1].select(F.get(F.element_at("levels", -1), F.lit(0)).alias("root"))
+    proofs = merkle_proofs(tiers, depth).crossJoin(F.broadcast(root))  # one row
+    steps = F.transform("proof", lambda x: F.concat(F.when(x["left"], "<").otherwise(">"), x["h"]))
+    return proofs.select("leaf", F.size("proof").alias("n_steps"), F.sha2(F.concat_ws("", steps), 256).alias("proof"), (proven_root(F.col("leaf"), F.col("proof")) == F.col("root")).alias("verified"))
+
+
 def stable_id(*columns: str) -> Column:
     """An id from named columns, whatever their order."""
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
