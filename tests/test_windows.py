@@ -2,12 +2,15 @@
 
 import math
 import random
+import re
 from statistics import fmean
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import catalog
 from tidemark.functions import factors as X
+from tidemark.plans import views
 
 LENGTHS = (1, 2, 5, 7, 8, 9, 13, 20, 30, 60, 61, 64, 125)
 
@@ -105,3 +108,19 @@ def test_no_lists_and_two_passes(spark):
     few, many = plan((10, 60)), plan((10, 15, 20, 30, 45, 60))
     assert "collect_list" not in many
     assert few.count("Window [") == many.count("Window [") <= 4
+
+
+#: Bytes of a method beyond which the JVM doesn't compile it but interprets it for every row.
+COMPILED = 8000
+
+
+@pytest.mark.parametrize("name", ["CORR", "CORD", "RSQR", "STD", "RESI", "WVMA"])
+def test_generated_code_is_compiled(spark, data, capsys, name):
+    """A family's windows in one plan stay below what the JVM compiles."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the code is there before the plan has run
+    try:
+        catalog.compute(views.long_bars(spark, data), [name]).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < COMPILED

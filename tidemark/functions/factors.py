@@ -166,78 +166,109 @@ def lag(e: Factor, n: int) -> Factor:
 
 #: Windows up to BASE rows are read row by row; longer ones are put together of windows of the largest of UNITS that is shorter.
 BASE, UNITS = 8, (60, 5)
+#: Levels above a column's own at which its windows up to UNITS[0] rows stand: short ones, their lags, and four of pairs.
+DEPTH = 6
+
+
+def _unit(w: int) -> int:
+    return next(u for u in UNITS if u < w)
 
 
 def _parts(w: int) -> list[tuple[int, int]]:
     """(rows, rows after them) of the parts of a window, the latest first."""
-    unit = next(u for u in UNITS if u < w)
+    unit = _unit(w)
     return [(min(unit, w - after), after) for after in range(0, w, unit)]
 
 
-def _before(p: Panel, at: tuple[str, int], n: int) -> tuple[str, int]:
+def _before(p: Panel, at: tuple[str, int], n: int, default: float | None = None) -> tuple[str, int]:
     """A staged column ``n`` rows ago."""
     if n == 0:
         return at
     key = f"{at[0]} before {n}"
-    return p.names[key] if key in p.names else (p.stage(key, at[1], F.lag(at[0], n).over(p.window)), p.names[key][1])
+    return p.names[key] if key in p.names else (p.stage(key, at[1], F.lag(at[0], n, default).over(p.window)), p.names[key][1])
+
 
+def _own(p: Panel, level: int, at: tuple[str, int], unit: int) -> tuple[str, int]:
+    """A unit's window at the level from which its lags are taken, the same for all statistics."""
+    return (at[0], max(at[1], level + DEPTH)) if unit == UNITS[0] else at
 
-def _folded(p: Panel, name: str, key: str, level: int, w: int, part: Column, join: Callable) -> tuple[str, int]:
-    """The staged column of an aggregate over ``w`` rows, and its level.
 
-    ``join`` (names of parts, their rows) is SQL that puts windows that follow one another together.
-    All windows over a column share the short ones and their lags, so they take
-    two passes over the rows in all, and a third if any has over 60 rows.
+@dataclass(frozen=True)
+class Folded:
+    """A statistic of windows over one column, staged; windows that follow one another are put together in pairs.
+
+    ``join`` ((name, rows, rows after) of the later part, the same of the earlier one, their unit) gives SQL and the
+    levels that it reads.  Pairs are the same for all windows, so these take two passes over the rows in all, and a third
+    if any has over 60 rows.  With a ``default`` no part is null, which keeps the generated code small enough to be compiled.
     """
-    own = f"{name}({key},{w})"
-    if own in p.names:
+
+    panel: Panel
+    name: str
+    level: int
+    part: Column
+    join: Callable
+    default: float | None = None
+    scale: bool = False
+
+    def window(self, w: int) -> tuple[str, int]:
+        """The staged column of the last ``w`` rows, and its level."""
+        if w > BASE:
+            return self.span(w, 0, _unit(w))
+        own, value = f"{self.name},{w}", self.part.over(self.panel.frame(w))
+        if self.scale:
+            value = value * w
+        return self.panel.stage(own, self.level, value if self.default is None else F.coalesce(value, F.lit(self.default))), self.panel.names[own][1]
+
+    def span(self, rows: int, after: int, unit: int) -> tuple[str, int]:
+        """The staged column of ``rows`` rows that ``after`` rows follow."""
+        p = self.panel
+        if rows <= unit:
+            return _before(p, _own(p, self.level, self.window(rows), unit), after, self.default)
+        own = f"{self.name},{rows} before {after}"
+        if own not in p.names:
+            cut = unit << ((rows - 1) // unit).bit_length() - 1
+            late, early = self.span(cut, after, unit), self.span(rows - cut, after + cut, unit)
+            value, *levels = self.join((late[0], cut, after), (early[0], rows - cut, after + cut), unit)
+            p.stage(own, max(late[1], early[1], *levels), F.expr(value))
         return p.names[own]
-    if w <= BASE:
-        return p.stage(own, level, part.over(p.frame(w))), p.names[own][1]
-    parts = [_before(p, _folded(p, name, key, level, rows, part, join), after) for rows, after in _parts(w)]
-    return p.stage(own, max(x[1] for x in parts), F.expr(join([x[0] for x in parts], [rows for rows, _ in _parts(w)]))), p.names[own][1]
 
 
-def _added(parts: list[str], _: list[int]) -> str:
-    return " + ".join(parts)
+def _sum(p: Panel, key: str, level: int, part: Column) -> Folded:
+    return Folded(p, f"sum({key})", level, F.sum(part), lambda a, b, _: (f"{a[0]} + {b[0]}",), 0.0)
 
 
-def _ends(name: str) -> Callable:
-    return lambda parts, _: f"{name}({', '.join(parts)})"
+def _end(p: Panel, op: str, key: str, level: int, part: Column) -> Folded:
+    name = "greatest" if op.endswith("max") else "least"
+    return Folded(p, f"{op}({key})", level, (F.max if name == "greatest" else F.min)(part), lambda a, b, _: (f"{name}({a[0]}, {b[0]})",))
 
 
-def _count(p: Panel, key: str, level: int, w: int, part: Column) -> tuple[str, int]:
-    return _folded(p, "n", key, level, w, F.count(part), lambda parts, _: " + ".join(f"coalesce({x}, 0)" for x in parts))
+def _known(p: Panel, key: str, level: int, part: Column) -> tuple[str, int]:
+    """The staged number of rows since the last one that lacks a value: windows up to that are whole."""
+    own = f"known({key})"
+    last = F.max(F.when(part.isNull(), F.col("_t"))).over(p.window.rowsBetween(Window.unboundedPreceding, 0))
+    return p.stage(own, level, F.col("_t") - F.coalesce(last, F.lit(0.0))), p.names[own][1]
 
 
-def _mean(p: Panel, key: str, level: int, w: int, part: Column) -> tuple[str, int]:
-    def join(parts, rows):  # exact where the parts are equal
-        return parts[0] + "".join(f" + ({x} - {parts[0]}) * {n / sum(rows)!r}D" for x, n in zip(parts[1:], rows[1:]))
+def _mean(p: Panel, key: str, level: int, part: Column) -> Folded:
+    # exact where the parts are equal
+    return Folded(p, f"mean({key})", level, F.avg(part), lambda a, b, _: (f"{a[0]} + ({b[0]} - {a[0]}) * {b[1] / (a[1] + b[1])!r}D",), 0.0)
 
-    return _folded(p, "mean", key, level, w, F.avg(part), join)
 
+def _comoment(p: Panel, name: str, level: int, part: Column, means: Sequence[Folded | None]) -> Folded:
+    """The sum of the product of two deviations from their means, merged without subtracting large sums."""
 
-def _comoment(p: Panel, name: str, key: str, level: int, w: int, part: Column, means: Sequence[Callable]) -> tuple[str, int]:
-    """The sum over ``w`` rows of the product of two deviations from their means, merged without subtracting large sums."""
-    own = f"{name}({key},{w})"
-    if own in p.names:
-        return p.names[own]
-    if w <= BASE:
-        return p.stage(own, level, part.over(p.frame(w)) * w), p.names[own][1]
-    top, terms = level + 1, []
-    whole = [mean and mean(w) for mean in means]
-    for rows, after in _parts(w):
-        inner = _before(p, _comoment(p, name, key, level, rows, part, means), after)
-        product = f"{float(rows)!r}D"
-        for mean, all_ in zip(means, whole):
+    def join(a, b, unit):
+        terms, levels = f"{a[1] * b[1] / (a[1] + b[1])!r}D", []
+        for mean in means:
             if mean is None:  # the number of the row: means are the middles
-                product += f" * {(w - 1) / 2 - after - (rows - 1) / 2!r}D"
+                terms += f" * {(a[1] + b[1]) / 2!r}D"
             else:
-                x = _before(p, mean(rows), after)
-                top, product = max(top, x[1], all_[1]), f"{product} * ({x[0]} - {all_[0]})"
-        top = max(top, inner[1])
-        terms += [inner[0], product]
-    return p.stage(own, top, F.expr(" + ".join(terms))), p.names[own][1]
+                x, y = mean.span(*a[1:], unit), mean.span(*b[1:], unit)
+                levels += [x[1], y[1]]
+                terms += f" * ({x[0]} - {y[0]})"
+        return f"{a[0]} + {b[0]} + {terms}", *levels
+
+    return Folded(p, name, level, part, join, 0.0, scale=True)
 
 
 def _run(p: Panel, key: str, level: int, w: int, v: Column) -> tuple[str, int]:
@@ -252,15 +283,13 @@ def _run(p: Panel, key: str, level: int, w: int, v: Column) -> tuple[str, int]:
     if w <= BASE:
         values = [F.coalesce(F.lag(v, k).over(p.window) if k else v, F.lit(float("nan"))) for k in range(w)]
         return p.stage(own, level, F.sort_array(F.array(*values))), p.names[own][1]
-    parts = [_before(p, _run(p, key, level, rows, v), after) for rows, after in _parts(w)]
+    parts = [_before(p, _own(p, level, _run(p, key, level, rows, v), _unit(w)), after) for rows, after in _parts(w)]
     return p.stage(own, max(x[1] for x in parts), F.expr(f"sort_array(concat({', '.join(x[0] for x in parts)}))")), p.names[own][1]
 
 
-def _extreme(p: Panel, op: str, key: str, level: int, w: int, v: Column) -> tuple[str, int]:
-    """The staged (value, row) of the largest or smallest of ``w`` rows, the earliest of equal ones."""
-    top = op == "idxmax"
-    pair = F.when(v.isNotNull(), F.struct(v.alias("v"), (-F.col("_t") if top else F.col("_t")).alias("t")))
-    return _folded(p, op, key, level, w, (F.max if top else F.min)(pair), _ends("greatest" if top else "least"))
+def _extreme(p: Panel, op: str, key: str, level: int, v: Column) -> Folded:
+    """The (value, row) of the largest or smallest of the rows, the earliest of equal ones."""
+    return _end(p, op, key, level, F.when(v.isNotNull(), F.struct(v.alias("v"), (-F.col("_t") if op == "idxmax" else F.col("_t")).alias("t"))))
 
 
 ROLLING = ("mean", "sum", "std", "rank", "slope", "residual", "rsquare", "max", "min", "idxmax", "idxmin", "quantile")
@@ -290,32 +319,32 @@ def rolling(op: str, e: Factor, w: int, q: float | None = None) -> Factor:
             got.append(at[1])
             return F.col(at[0])
 
-        mean = lambda w: _mean(p, key, level, w, v)
-        n = of(_count(p, key, level, w, v))
+        mean, n = _mean(p, key, level, v), of(_known(p, key, level, v))
+        m2 = _comoment(p, f"m2({key})", level, F.var_pop(v), (mean, mean))
         if op == "mean":
-            value = of(mean(w))
+            value = of(mean.window(w))
         elif op == "sum":
-            value = of(_folded(p, "sum", key, level, w, F.sum(v), _added))
+            value = of(_sum(p, key, level, v).window(w))
         elif op == "std":
-            value = F.sqrt(of(_comoment(p, "m2", key, level, w, F.var_pop(v), (mean, mean))) / w)
+            value = F.sqrt(of(m2.window(w)) / w)
         elif op in ("max", "min"):
-            value = of(_folded(p, op, key, level, w, getattr(F, op)(v), _ends("greatest" if op == "max" else "least")))
+            value = of(_end(p, op, key, level, v).window(w))
         elif op in ("slope", "residual", "rsquare"):
-            cov = of(_comoment(p, "cov_t", key, level, w, F.covar_pop(v, F.col("_t")), (mean, None))) / w if w > 1 else F.lit(0.0)
+            cov = of(_comoment(p, f"cov_t({key})", level, F.covar_pop(v, F.col("_t")), (mean, None)).window(w)) / w if w > 1 else F.lit(0.0)
             slope = cov / F.lit((w * w - 1) / 12) if w > 1 else F.lit(0.0)
             if op == "slope":
                 value = slope
             elif op == "residual":
-                value = v - (of(mean(w)) + slope * F.lit((w - 1) / 2))
+                value = v - (of(mean.window(w)) + slope * F.lit((w - 1) / 2))
             else:
-                var = of(_comoment(p, "m2", key, level, w, F.var_pop(v), (mean, mean))) / w
+                var = of(m2.window(w)) / w
                 value = F.when(var > 0, cov * cov / (var * F.lit((w * w - 1) / 12))).otherwise(0.0) if w > 1 else F.lit(0.0)
         elif op == "rank":  # the place of the last of equal values
             value = (F.lit(w + 1) - F.array_position(F.reverse(of(_run(p, key, level, w, v))), v)) / F.lit(w)
         elif op == "quantile":
             value = F.get(of(_run(p, key, level, w, v)), F.lit(int(q * (w - 1))))
         else:
-            row = of(_extreme(p, op, key, level, w, v)).getField("t")
+            row = of(_extreme(p, op, key, level, v).window(w)).getField("t")
             value = (-row if op == "idxmax" else row) - (F.col("_t") - (w - 1))
         own = f"{op}({key},{w},{q})"
         value = F.when(n >= w, value)
@@ -352,19 +381,18 @@ def rolling_pair(op: str, left: Factor, right: Factor, w: int) -> Factor:
             return F.col(at[0])
 
         in_x, in_y = F.when(both, x), F.when(both, y)
-        mean_x, mean_y = (lambda w: _mean(p, key + " left", level, w, in_x)), (lambda w: _mean(p, key + " right", level, w, in_y))
-        n, cov = of(_count(p, key, level, w, F.when(both, 1))), of(_comoment(p, "cov", key, level, w, F.covar_pop(x, y), (mean_x, mean_y))) / w
-        vx = of(_comoment(p, "m2", key + " left", level, w, F.var_pop(in_x), (mean_x, mean_x))) / w
-        vy = of(_comoment(p, "m2", key + " right", level, w, F.var_pop(in_y), (mean_y, mean_y))) / w
-        slope = F.when(vx > 0, cov / F.when(vx > 0, vx)).otherwise(0.0)
-        corr = F.when((vx > 0) & (vy > 0), cov / F.when((vx > 0) & (vy > 0), F.sqrt(vx) * F.sqrt(vy))).otherwise(0.0)
+        mean_x, mean_y = _mean(p, key + " left", level, in_x), _mean(p, key + " right", level, in_y)
+        n, cov = of(_known(p, key, level, F.when(both, 1))), of(_comoment(p, f"cov({key})", level, F.covar_pop(x, y), (mean_x, mean_y)).window(w))
+        m2_x, m2_y = (_comoment(p, f"m2({key} {side})", level, F.var_pop(v), (mean, mean)) for side, v, mean in (("left", in_x, mean_x), ("right", in_y, mean_y)))
+        share = lambda below: F.coalesce(F.try_divide(cov, below), F.lit(0.0))  # noqa: E731  0 where a side doesn't vary
         if op == "cov":
-            value = cov
+            value = cov / w
         elif op == "slope":
-            value = slope
+            value = share(of(m2_x.window(w)))
         elif op == "residual":
-            value = y - (of(mean_y(w)) + slope * (x - of(mean_x(w))))
+            value = y - (of(mean_y.window(w)) + share(of(m2_x.window(w))) * (x - of(mean_x.window(w))))
         else:
+            corr = share(F.sqrt(of(m2_x.window(w))) * F.sqrt(of(m2_y.window(w))))
             value = corr if op == "corr" else corr * corr
         own, top = f"pair {op}{pair}", max(level + 1, *got)
         name = p.stage(own, top, F.when(n >= w, value))
