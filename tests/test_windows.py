@@ -124,3 +124,43 @@ def test_generated_code_is_compiled(spark, data, capsys, name):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
     assert sizes and max(sizes) < COMPILED
+
+
+def test_presence_is_where_values_are(spark):
+    """What a value needs, told without computing it, against the values: missing fields, zeros, NaN and logarithms that can't be had."""
+    r, odd = random.Random(3), {"open": (None, 0.0, -0.0), "high": (None, 1e-12), "low": (None, 2e-12), "close": (None, 0.0, float("nan"), -3.0), "volume": (None, 0.0, -1e-12, -1.0, -7.0, 3.0), "vwap": (None,)}
+    rows = [(k, t, *(r.choice(some) if r.random() < rare else r.uniform(1, 9) for some in odd.values())) for k, rare in (("a", 0.0), ("b", 0.02), ("c", 0.2), ("d", 0.7)) for t in range(90)]
+    rows += [("e", t, 0.0, 0.0, 1e-12, 1.0, -1e-12, 1.0) for t in range(12)]  # divisors that are 0 with their guard
+    frame = spark.createDataFrame(rows, "instrument_id string, vt int, open double, high double, low double, close double, volume double, vwap double")
+    x, y = X.field("close"), X.field("volume")
+    wanted = catalog.features(windows=(5, 20)) | {
+        "power": X.binary("signed_power", x, y), "deep": X.rolling("mean", X.lag(X.unary("log", X.binary("div", x, y)), 2), 3), "absent": X.field("nothing"),
+        "zero": X.binary("div", x, X.unary("neg", X.unary("abs", X.const(0)))), "folded": X.binary("div", x, X.rolling("sum", X.unary("abs", y), 12)),
+        "cov": X.rolling_pair("cov", X.binary("div", y, X.rolling("idxmax", x, 4)), x, 3), "fixed": X.const(2),
+    }
+    values = {(v["instrument_id"], v["vt"]): v for v in X.evaluate(frame, wanted, status=False).collect()}
+    found, names = X.presence(frame, wanted)
+    assert set(names) == set(wanted) and len(set(names.values())) < len(wanted)
+    told = found.collect()
+    assert len(told) == len(rows)
+    for row in told:
+        for name, need in names.items():
+            assert row[need] == (values[row["instrument_id"], row["vt"]][name] is not None), (name, row["instrument_id"], row["vt"])
+    counted = {row["family"]: row["values"] for row in catalog.coverage(frame, windows=(5, 20)).collect()}
+    assert counted["total"] == sum(v[n] is not None for v in values.values() for n in catalog.features(windows=(5, 20)))
+
+
+def test_coverage_computes_no_more_than_counts_need(spark, data, capsys):
+    """Runs and moments that decide on no value aren't computed, bars and windows share an exchange, and what is left is compiled."""
+    found = catalog.coverage(views.long_bars(spark, data))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 5 and not re.search("sort_array|var_pop|covar_pop", plan)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = catalog.coverage(views.long_bars(spark, data))
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(l_suppkey") == 1
+        found.explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < COMPILED

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field as _field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,20 @@ class Panel:
         self.columns = set(rows.columns)
         self.levels: list[dict[str, Column]] = [{"_t": F.row_number().over(self.window).cast("double")}]
         self.rows, self.names = rows, {"_t": ("_t", 0)}
+        self.made: dict[Factor, tuple] = {}
+        self.needed: dict[Factor, dict] = {}
+
+    def value(self, e: Factor) -> tuple[str, int, Column, Column]:
+        """What ``e.make`` gives, made once."""
+        if e not in self.made:
+            self.made[e] = e.make(self)
+        return self.made[e]
+
+    def needs(self, e: Factor) -> dict[str, tuple[int, Column]]:
+        """What ``e.has`` gives, made once."""
+        if e not in self.needed:
+            self.needed[e] = e.has(self)
+        return self.needed[e]
 
     def stage(self, key: str, below: int, column: Column) -> str:
         """The name of a column that reads names of level ``below`` and lower."""
@@ -54,12 +69,19 @@ class Panel:
 
 @dataclass(frozen=True)
 class Factor:
-    """An expression: ``make(panel)`` gives (key, level, value, status); ``lookback`` is the rows that it reaches back."""
+    """An expression: ``make(panel)`` gives (key, level, value, status); ``lookback`` is the rows that it reaches back.
+
+    ``has(panel)`` gives the conditions, {key: (level, Column)}, that all hold in the rows where there is a value, and
+    stages no values but those that divide or have a logarithm taken.  A condition is never null.  No value is below
+    ``floor``, if there is one, so that a divisor with a floor over 0 needs no look.
+    """
 
     make: Callable = _field(repr=False)
+    has: Callable = _field(repr=False)
     lookback: int = 0
     universe: str | None = None
     root_only: bool = False
+    floor: float | None = None
 
 
 def _ok() -> Column:
@@ -79,8 +101,27 @@ def _inner(*parts: Factor) -> tuple[int, str | None]:
     return max(p.lookback for p in parts), next(iter(universes), None)
 
 
+def _holds(p: Panel, key: str, level: int, condition: Column) -> dict[str, tuple[int, Column]]:
+    """The condition that this one is true, staged."""
+    name = p.stage(key, level, F.coalesce(condition, F.lit(False)))
+    return {key: (p.names[key][1], F.col(name))}
+
+
+def _all(conditions: dict[str, tuple[int, Column]]) -> tuple[str, int, Column]:
+    """(key, level, Column) of all conditions together."""
+    column = reduce(lambda a, b: a & b, (conditions[key][1] for key in sorted(conditions)), F.lit(True))
+    return " and ".join(sorted(conditions)), max((level for level, _ in conditions.values()), default=-1), column
+
+
+def _whole(p: Panel, conditions: dict[str, tuple[int, Column]], w: int) -> dict[str, tuple[int, Column]]:
+    """The condition that all of these hold in each of the last ``w`` rows."""
+    key, level, column = _all(conditions)
+    name, level = _known(p, f"has {key}", max(level, 0), lambda: F.when(column, 1))
+    return {f"{name} >= {w}": (level, F.col(name) >= w)}
+
+
 def const(v: float) -> Factor:
-    return Factor(lambda p: (f"c{float(v)!r}", -1, F.lit(float(v)), _ok()))
+    return Factor(lambda p: (f"c{float(v)!r}", -1, F.lit(float(v)), _ok()), lambda p: {}, floor=float(v))
 
 
 def field(name: str) -> Factor:
@@ -92,7 +133,11 @@ def field(name: str) -> Factor:
         value = F.col(name).cast("double")
         return f"f{name}", -1, value, F.when(value.isNull(), F.lit("missing_field"))
 
-    return Factor(make)
+    def has(p: Panel):
+        key, level, value, _ = make(p)
+        return {key: (level, value.isNotNull())}
+
+    return Factor(make, has)
 
 
 def fundamental(name: str, declared_lag: int, required_lag: int = 45) -> Factor:
@@ -109,12 +154,18 @@ def unary(op: str, e: Factor) -> Factor:
     look, universe = _inner(e)
 
     def make(p: Panel):
-        key, level, x, status = e.make(p)
+        key, level, x, status = p.value(e)
         if op == "log":
             return f"log({key})", level, F.when(x > 0, F.ln(x)), _first(status, F.when(x <= 0, F.lit("domain_error")))
         return f"{op}({key})", level, ops[op](x), status
 
-    return Factor(make, look, universe)
+    def has(p: Panel):
+        if op != "log":
+            return p.needs(e)
+        key, level, x, _ = p.value(e)
+        return _holds(p, f"{key} > 0", level, x > 0)
+
+    return Factor(make, has, look, universe, floor=0.0 if op == "abs" else None)
 
 
 def binary(op: str, a: Factor, b: Factor) -> Factor:
@@ -128,18 +179,33 @@ def binary(op: str, a: Factor, b: Factor) -> Factor:
         raise ValueError(f"unknown binary operator {op!r}")
     look, universe = _inner(a, b)
 
-    def make(p: Panel):
-        ka, la, x, sa = a.make(p)
-        kb, lb, y, sb = b.make(p)
+    def below(p: Panel):
+        kb, lb, y, sb = p.value(b)
         if op == "div" and kb in ("c0.0", "c-0.0"):
             raise ValueError("division by a literal zero")
+        return kb, lb, y, sb
+
+    def make(p: Panel):
+        ka, la, x, sa = p.value(a)
+        kb, lb, y, sb = below(p)
         own = [F.when(y == 0, F.lit("division_by_zero"))] if op == "div" else [F.when((x == 0) & (y < 0), F.lit("domain_error"))] if op == "signed_power" else []
         value = ops[op](x, y)
         if op == "signed_power":
             value = F.when((x != 0) | (y >= 0), value)
         return f"{op}({ka},{kb})", max(la, lb), value, _first(sa, sb, *own)
 
-    return Factor(make, look, universe)
+    def has(p: Panel):
+        if op == "div" and (b.floor is None or b.floor <= 0):
+            kb, lb, y, _ = below(p)
+            implied = p.needs(b)  # a divisor that isn't 0 is there
+            return {key: own for key, own in p.needs(a).items() if key not in implied} | _holds(p, f"{kb} <> 0", lb, y != 0)
+        if op == "signed_power":
+            (ka, la, x, _), (kb, lb, y, _) = p.value(a), p.value(b)
+            return p.needs(a) | p.needs(b) | _holds(p, f"{ka} <> 0 or {kb} >= 0", max(la, lb), (x != 0) | (y >= 0))
+        return p.needs(a) | p.needs(b)
+
+    floor = a.floor + b.floor if op == "add" and None not in (a.floor, b.floor) else None
+    return Factor(make, has, look, universe, floor=floor)
 
 
 def lag(e: Factor, n: int) -> Factor:
@@ -151,7 +217,7 @@ def lag(e: Factor, n: int) -> Factor:
         return e
 
     def make(p: Panel):
-        key, level, x, status = e.make(p)
+        key, level, x, status = p.value(e)
         at, own = p.stage(key, level, x), f"lag({key},{n})"
         value = F.lag(at, n).over(p.window)
         short = F.when(F.col("_t") <= n, F.lit("insufficient_history"))
@@ -161,7 +227,14 @@ def lag(e: Factor, n: int) -> Factor:
         said = F.col(p.stage("status " + own, level, _first(before, short))) if p.with_status else _ok()
         return own, p.names[own][1], F.col(name), said
 
-    return Factor(make, look + n, universe)
+    def has(p: Panel):
+        key, level, column = _all(p.needs(e))
+        key = f"has {key}"
+        at, own = p.stage(key, level, column), f"lag({key},{n})"
+        name = p.stage(own, p.names[key][1], F.lag(at, n, False).over(p.window))
+        return {own: (p.names[own][1], F.col(name))}
+
+    return Factor(make, has, look + n, universe)
 
 
 #: Windows up to BASE rows are read row by row; longer ones are put together of windows of the largest of UNITS that is shorter.
@@ -205,7 +278,7 @@ class Folded:
     panel: Panel
     name: str
     level: int
-    part: Column
+    part: Callable[[], Column]
     join: Callable
     default: float | None = None
     scale: bool = False
@@ -214,10 +287,13 @@ class Folded:
         """The staged column of the last ``w`` rows, and its level."""
         if w > BASE:
             return self.span(w, 0, _unit(w))
-        own, value = f"{self.name},{w}", self.part.over(self.panel.frame(w))
-        if self.scale:
-            value = value * w
-        return self.panel.stage(own, self.level, value if self.default is None else F.coalesce(value, F.lit(self.default))), self.panel.names[own][1]
+        own = f"{self.name},{w}"
+        if own not in self.panel.names:
+            value = self.part().over(self.panel.frame(w))
+            if self.scale:
+                value = value * w
+            self.panel.stage(own, self.level, value if self.default is None else F.coalesce(value, F.lit(self.default)))
+        return self.panel.names[own]
 
     def span(self, rows: int, after: int, unit: int) -> tuple[str, int]:
         """The staged column of ``rows`` rows that ``after`` rows follow."""
@@ -234,27 +310,29 @@ class Folded:
 
 
 def _sum(p: Panel, key: str, level: int, part: Column) -> Folded:
-    return Folded(p, f"sum({key})", level, F.sum(part), lambda a, b, _: (f"{a[0]} + {b[0]}",), 0.0)
+    return Folded(p, f"sum({key})", level, lambda: F.sum(part), lambda a, b, _: (f"{a[0]} + {b[0]}",), 0.0)
 
 
 def _end(p: Panel, op: str, key: str, level: int, part: Column) -> Folded:
-    name = "greatest" if op.endswith("max") else "least"
-    return Folded(p, f"{op}({key})", level, (F.max if name == "greatest" else F.min)(part), lambda a, b, _: (f"{name}({a[0]}, {b[0]})",))
+    name, end = ("greatest", F.max) if op.endswith("max") else ("least", F.min)
+    return Folded(p, f"{op}({key})", level, lambda: end(part), lambda a, b, _: (f"{name}({a[0]}, {b[0]})",))
 
 
-def _known(p: Panel, key: str, level: int, part: Column) -> tuple[str, int]:
+def _known(p: Panel, key: str, level: int, part: Callable[[], Column]) -> tuple[str, int]:
     """The staged number of rows since the last one that lacks a value: windows up to that are whole."""
     own = f"known({key})"
-    last = F.max(F.when(part.isNull(), F.col("_t"))).over(p.window.rowsBetween(Window.unboundedPreceding, 0))
-    return p.stage(own, level, F.col("_t") - F.coalesce(last, F.lit(0.0))), p.names[own][1]
+    if own not in p.names:
+        last = F.max(F.when(part().isNull(), F.col("_t"))).over(p.window.rowsBetween(Window.unboundedPreceding, 0))
+        p.stage(own, level, F.col("_t") - F.coalesce(last, F.lit(0.0)))
+    return p.names[own]
 
 
 def _mean(p: Panel, key: str, level: int, part: Column) -> Folded:
     # exact where the parts are equal
-    return Folded(p, f"mean({key})", level, F.avg(part), lambda a, b, _: (f"{a[0]} + ({b[0]} - {a[0]}) * {b[1] / (a[1] + b[1])!r}D",), 0.0)
+    return Folded(p, f"mean({key})", level, lambda: F.avg(part), lambda a, b, _: (f"{a[0]} + ({b[0]} - {a[0]}) * {b[1] / (a[1] + b[1])!r}D",), 0.0)
 
 
-def _comoment(p: Panel, name: str, level: int, part: Column, means: Sequence[Folded | None]) -> Folded:
+def _comoment(p: Panel, name: str, level: int, part: Callable[[], Column], means: Sequence[Folded | None]) -> Folded:
     """The sum of the product of two deviations from their means, merged without subtracting large sums."""
 
     def join(a, b, unit):
@@ -309,7 +387,7 @@ def rolling(op: str, e: Factor, w: int, q: float | None = None) -> Factor:
     look, universe = _inner(e)
 
     def make(p: Panel):
-        key, level, x, status = e.make(p)
+        key, level, x, status = p.value(e)
         v = F.col(p.stage(key, level, x))
         said = p.stage("status " + key, level, status) if p.with_status else None
         level, frame = p.names[key][1], p.frame(w)
@@ -319,8 +397,8 @@ def rolling(op: str, e: Factor, w: int, q: float | None = None) -> Factor:
             got.append(at[1])
             return F.col(at[0])
 
-        mean, n = _mean(p, key, level, v), of(_known(p, key, level, v))
-        m2 = _comoment(p, f"m2({key})", level, F.var_pop(v), (mean, mean))
+        mean, n = _mean(p, key, level, v), of(_known(p, key, level, lambda: v))
+        m2 = _comoment(p, f"m2({key})", level, lambda: F.var_pop(v), (mean, mean))
         if op == "mean":
             value = of(mean.window(w))
         elif op == "sum":
@@ -330,7 +408,7 @@ def rolling(op: str, e: Factor, w: int, q: float | None = None) -> Factor:
         elif op in ("max", "min"):
             value = of(_end(p, op, key, level, v).window(w))
         elif op in ("slope", "residual", "rsquare"):
-            cov = of(_comoment(p, f"cov_t({key})", level, F.covar_pop(v, F.col("_t")), (mean, None)).window(w)) / w if w > 1 else F.lit(0.0)
+            cov = of(_comoment(p, f"cov_t({key})", level, lambda: F.covar_pop(v, F.col("_t")), (mean, None)).window(w)) / w if w > 1 else F.lit(0.0)
             slope = cov / F.lit((w * w - 1) / 12) if w > 1 else F.lit(0.0)
             if op == "slope":
                 value = slope
@@ -355,7 +433,8 @@ def rolling(op: str, e: Factor, w: int, q: float | None = None) -> Factor:
         name = p.stage(own, top, value)
         return own, p.names[own][1], F.col(name), said if p.with_status else _ok()
 
-    return Factor(make, look + w - 1, universe)
+    floor = 0.0 if op == "sum" and e.floor is not None and e.floor >= 0 else None
+    return Factor(make, lambda p: _whole(p, p.needs(e), w), look + w - 1, universe, floor=floor)
 
 
 PAIRS = ("cov", "slope", "residual", "rsquare", "corr")
@@ -370,8 +449,8 @@ def rolling_pair(op: str, left: Factor, right: Factor, w: int) -> Factor:
     look, universe = _inner(left, right)
 
     def make(p: Panel):
-        ka, la, x, sa = left.make(p)
-        kb, lb, y, sb = right.make(p)
+        ka, la, x, sa = p.value(left)
+        kb, lb, y, sb = p.value(right)
         x, y = F.col(p.stage(ka, la, x)), F.col(p.stage(kb, lb, y))
         level, frame, pair = max(p.names[ka][1], p.names[kb][1]), p.frame(w), f"({ka},{kb},{w})"
         both, key, got = x.isNotNull() & y.isNotNull(), f"{ka},{kb}", []
@@ -382,8 +461,8 @@ def rolling_pair(op: str, left: Factor, right: Factor, w: int) -> Factor:
 
         in_x, in_y = F.when(both, x), F.when(both, y)
         mean_x, mean_y = _mean(p, key + " left", level, in_x), _mean(p, key + " right", level, in_y)
-        n, cov = of(_known(p, key, level, F.when(both, 1))), of(_comoment(p, f"cov({key})", level, F.covar_pop(x, y), (mean_x, mean_y)).window(w))
-        m2_x, m2_y = (_comoment(p, f"m2({key} {side})", level, F.var_pop(v), (mean, mean)) for side, v, mean in (("left", in_x, mean_x), ("right", in_y, mean_y)))
+        n, cov = of(_known(p, key, level, lambda: F.when(both, 1))), of(_comoment(p, f"cov({key})", level, lambda: F.covar_pop(x, y), (mean_x, mean_y)).window(w))
+        m2_x, m2_y = (_comoment(p, f"m2({key} {side})", level, lambda v=v: F.var_pop(v), (mean, mean)) for side, v, mean in (("left", in_x, mean_x), ("right", in_y, mean_y)))
         share = lambda below: F.coalesce(F.try_divide(cov, below), F.lit(0.0))  # noqa: E731  0 where a side doesn't vary
         if op == "cov":
             value = cov / w
@@ -402,7 +481,7 @@ def rolling_pair(op: str, left: Factor, right: Factor, w: int) -> Factor:
             said = F.col(p.stage("status " + own, top, F.coalesce(*inner, F.when(F.col("_t") < w, F.lit("insufficient_history")))))
         return own, p.names[own][1], F.col(name), said
 
-    return Factor(make, look + w - 1, universe)
+    return Factor(make, lambda p: _whole(p, p.needs(left) | p.needs(right), w), look + w - 1, universe)
 
 
 def evaluate(rows: DataFrame, factors: dict[str, Factor], by: Sequence[str] = ("instrument_id",), order: str = "vt", status: bool = True) -> DataFrame:
@@ -412,13 +491,28 @@ def evaluate(rows: DataFrame, factors: dict[str, Factor], by: Sequence[str] = ("
     for name, factor in factors.items():
         if factor.root_only:
             raise ValueError("a cross-section is evaluated by cross_section()")
-        _, _, value, said = factor.make(panel)
+        _, _, value, said = panel.value(factor)
         out[name] = value
         if status:
             out[f"{name}_status"] = F.coalesce(said, F.when(value.isNull(), F.lit("insufficient_history")), F.lit("ok"))
     return panel.done().select(*rows.columns, *(c.alias(n) for n, c in out.items()))
 
 
+def presence(rows: DataFrame, factors: dict[str, Factor], by: Sequence[str] = ("instrument_id",), order: str = "vt") -> tuple[DataFrame, dict[str, str]]:
+    """(``by`` and ``order`` with a boolean for each different need, its name for each factor): where ``evaluate`` has a value.
+
+    Told row by row by what a value needs, without computing it: its fields, whole
+    windows, divisors that aren't 0 and logarithms of positive numbers.
+    """
+    panel, columns, names = Panel(rows, by, order, status=False), {}, {}
+    for name, factor in factors.items():
+        if factor.root_only:
+            raise ValueError("a cross-section is evaluated by cross_section()")
+        key, _, column = _all(panel.needs(factor))
+        names[name] = columns.setdefault(key, (f"_p{len(columns)}", column))[0]
+    return panel.done().select(*by, order, *(column.alias(n) for n, column in columns.values())), names
+
+
 def last_rows(rows: DataFrame, by: Sequence[str] = ("instrument_id",), order: str = "vt") -> DataFrame:
     """Each instrument's latest row, which may be an old one."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")
@@ -438,7 +532,7 @@ def cross_section(op: str, e: Factor, universe: str) -> Factor:
     look, inner = _inner(e)
     if inner and inner != universe:
         raise ValueError("universes can't be mixed")
-    return Factor(e.make, look, universe, root_only=True)
+    return Factor(e.make, e.has, look, universe, root_only=True)
 
 
 def evaluate_cross_section(rows: DataFrame, op: str, e: Factor, group: Sequence[str] = (), key: str = "instrument_id", order: str = "vt") -> DataFrame:
