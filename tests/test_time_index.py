@@ -118,3 +118,69 @@ def test_a_large_cell_is_many_tasks(spark):
     assert found.select("point", "src").distinct().count() == found.count() == 40 * 300
     sizes = [r["count"] for r in found.groupBy("task").count().collect()]
     assert len(sizes) >= 8 and max(sizes) < 12000 / 4
+
+
+def long_and_many(spark, intervals, points):
+    e = spark.range(intervals).select(F.col("id").alias("src"), F.lit("x").alias("dst"), F.lit(day(0)).alias("valid_from"), F.lit(day(700)).alias("valid_to"))
+    p = spark.range(points).select(F.col("id").alias("point"), F.lit("x").alias("dst"), F.date_add(F.lit(day(3)), (F.col("id") % 600).cast("int")).alias("vt"))
+    return p, e
+
+
+def test_levels_move_the_fewest_rows():
+    """Nodes of each level that lie whole in intervals of 676 days: many points are in one node, as many as intervals in one of each level, and no mask for short ones."""
+    whole = [676 // 4**k for k in range(time_index.NODE_LEVELS)]
+    assert time_index.levels_for(150_000, 1000, 676_000, [1000 * n for n in whole])[0] == (3, 3)
+    first, last = time_index.levels_for(1000, 1000, 676_000, [1000 * n for n in whole])[0]
+    assert first < last
+    assert time_index.levels_for(150_000, 1000, 2000, [2000, *[0] * 11]) == [(0, 0)]
+    assert all(first == 0 for first, _ in time_index.levels_for(150_000, 1000, 676_000, [1000 * n for n in whole])[1:])
+
+
+def test_a_point_is_moved_once(spark):
+    """Many points and long intervals: the join's side of points is dealt by one node of a point, not by one of each level."""
+    p, e = long_and_many(spark, 20, 6000)
+    found = time_index.stabbed(p, e, ["dst"], "vt", "valid_from", "valid_to")
+    assert found.count() == 20 * 6000
+    assert not any("explode(array(" in line for line in plan(found).split("\n"))
+
+
+def test_a_result_takes_few_bytes(spark, tmp_path):
+    """A row of the result has an interval and a point; files hold each of them far less often than that."""
+    p, e = long_and_many(spark, 1501, 4801)
+    time_index.stabbed(p, e, ["dst"], "vt", "valid_from", "valid_to").write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out")
+    assert rows.count() == rows.select("point", "src").distinct().count() == 1501 * 4801
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.25 * 1501 * 4801
+
+
+@pytest.mark.parametrize("pairs,held", [(None, None), (300, 7), (10**9, 5)])
+def test_parts_of_points_and_intervals(spark, pairs, held):
+    """Short, long, open and empty intervals over the days of masks and nodes: each pair once, whatever the parts."""
+    rng = random.Random(11)
+    when = lambda: day(rng.randrange(-90, 500))
+    e = [(k, rng.choice(["x", "x", "y", None]), a := when(), rng.choice([None, a, a + dt.timedelta(rng.randrange(-2, 400)), dt.date(9999, 12, 31)])) for k in range(90)]
+    q = [(k % 350, rng.choice(["x", "x", "z", None]), rng.choice([None, when(), day(63), day(64)])) for k in range(400)]
+    found = time_index.stabbed(spark.createDataFrame(q, "point int, dst string, vt date"), spark.createDataFrame(e, "src int, dst string, valid_from date, valid_to date"), ["dst"], "vt", "valid_from", "valid_to", pairs, held)
+    want = sorted((p, d, v, s) for p, d, v in q for s, f, a, b in e if d and d == f and v and b and a <= v <= b)
+    assert sorted((r["point"], r["dst"], r["vt"], r["src"]) for r in found.collect()) == want and len(want) > 500
+    assert time_index.stabbed(spark.createDataFrame([], "point int, dst string, vt date"), spark.createDataFrame(e, "src int, dst string, valid_from date, valid_to date"), ["dst"], "vt", "valid_from", "valid_to").count() == 0
+
+
+@pytest.mark.parametrize("begin,end", [(0, 0), (63, 64), (64, 127), (-70, 5), (3, 60), (1, 719), (70, 127), (128, 200), (5, 4)])
+@pytest.mark.parametrize("level", [1, 3])
+def test_masks_are_exact(spark, begin, end, level):
+    size = 4**level
+    df = spark.createDataFrame([(begin, end)], "a int, b int").select(time_index.ends_of(F.col("a"), F.col("b"), level).alias("m"), time_index.cover(F.col("a"), F.col("b"), level, 5).alias("c"))
+    r = df.first()
+    held = [x["node"] * size + k for x in r["m"] or [] for k in range(size) if x["mask"] >> k & 1]
+    assert all(x["mask"] >> size & 1 == 0 or size == 64 for x in r["m"] or [])
+    held += [k for x in r["c"] or [] for k in range(x["node"] << 2 * x["level"], (x["node"] + 1) << 2 * x["level"])]
+    assert sorted(held) == list(range(begin, end + 1))
+
+
+def test_masks_that_decide_too_often_are_not_used(spark):
+    """All points are on the day after the intervals: no pair is made to be turned down."""
+    e = spark.range(50).select(F.col("id").alias("src"), F.lit("x").alias("dst"), F.lit(day(0)).alias("valid_from"), F.lit(day(200)).alias("valid_to"))
+    p = spark.range(3000).select(F.col("id").alias("point"), F.lit("x").alias("dst"), F.when(F.col("id") == 0, F.lit(day(0))).otherwise(F.lit(day(201))).alias("vt"))
+    found = time_index.stabbed(p, e, ["dst"], "vt", "valid_from", "valid_to")
+    assert found.count() == 50 and "1.0E" not in plan(found)
