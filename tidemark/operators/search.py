@@ -116,24 +116,29 @@ def _last_values(bars: DataFrame, factors: dict[str, Factor], by: Sequence[str],
     return evaluate(kept, factors, by).filter("_place = 1").select(*by, *factors, *(f"{n}_status" for n in factors))
 
 
-def candidate_values(bars: DataFrame, factors: dict[str, Factor], by: Sequence[str] = ("instrument_id",), least_rows: int = 3) -> DataFrame:
-    """(candidate, by, value, status): every candidate's last value, all from one pass over the bars."""
-    found = _last_values(bars, factors, by, least_rows)
-    wide = found.select(*by, F.explode(F.array(*(F.struct(F.lit(n).alias("candidate"), F.col(n).alias("value"), F.col(f"{n}_status").alias("status")) for n in factors))).alias("c"))
-    return wide.select(*by, "c.candidate", "c.value", "c.status")
+def candidate_values(bars: DataFrame, factors: dict[str, Factor], by: Sequence[str] = ("instrument_id",), least_rows: int = 3, labels: DataFrame | None = None) -> DataFrame:
+    """(by, candidate, value, status): every candidate's last value, all from one pass over the bars.
+
+    With ``labels`` (by, fwd) it is (by, fwd, candidate, value) of valid values that have a label, where ``candidate`` is its number
+    in ``factors``: labels are met by one row an instrument, before there is one for each candidate.
+    """
+    found, by = _last_values(bars, factors, by, least_rows), list(by)
+    if labels is None:
+        wide = found.select(*by, F.explode(F.array(*(F.struct(F.lit(n).alias("candidate"), F.col(n).alias("value"), F.col(f"{n}_status").alias("status")) for n in factors))).alias("c"))
+        return wide.select(*by, "c.candidate", "c.value", "c.status")
+    met = found.join(labels.select(*by, "fwd").hint("merge"), by)
+    valid = F.array(*(F.when(F.col(f"{n}_status") == "ok", F.struct(F.lit(k).cast("smallint").alias("candidate"), F.col(n).alias("value"))) for k, n in enumerate(factors)))
+    return met.select(*by, "fwd", F.explode(valid).alias("c")).filter("c is not null").select(*by, "fwd", "c.candidate", "c.value")
 
 
 def candidate_rank_ic(bars: DataFrame, factors: dict[str, Factor], labels: DataFrame, by: Sequence[str] = ("fold_id",), least_rows: int = 3) -> DataFrame:
     """(by, candidate, n, rank_ic) of every candidate's valid last values with the ``labels`` (by, instrument_id, fwd).
 
-    Labels are met by one row an instrument; a row for each candidate, with its number for its name, is moved once, to be ranked.
+    A row for each candidate, with its number for its name, is moved once, to be ranked.
     """
     by, names = list(by), list(factors)
-    key = [*by, "instrument_id"]
-    met = _last_values(bars, factors, key, least_rows).join(labels.select(*key, "fwd").hint("merge"), key)
-    valid = F.array(*(F.when(F.col(f"{n}_status") == "ok", F.struct(F.lit(k).cast("smallint").alias("k"), F.col(n).alias("signal"))) for k, n in enumerate(names)))
-    rows = met.select(*key, "fwd", F.explode(valid).alias("c")).filter("c is not null").select(*key, "fwd", F.col("c.k").alias("_k"), "c.signal")
-    ic = rank_ic(rows, [*by, "_k"])
+    rows = candidate_values(bars, factors, [*by, "instrument_id"], least_rows, labels)
+    ic = rank_ic(rows.withColumnsRenamed({"candidate": "_k", "value": "signal"}), [*by, "_k"])
     return ic.select(*by, F.element_at(F.array(*map(F.lit, names)), F.col("_k") + 1).alias("candidate"), "n", "rank_ic")
 
 
